@@ -137,5 +137,12 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: f
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with every document as often as the mix takes it; rows repeated with one doc_id are one, taken as often as all of them."""
+    taken = mix(spark, docs).where("taken > 0").groupBy("doc_id").agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"))
+    copies = docs.join(taken, "doc_id").dropDuplicates(["doc_id"])
+    return copies.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, table(spark, sf_dir, "documents"))

@@ -162,5 +162,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The document with the smallest doc_id of each class, once; rows with a null doc_id do not stay."""
+    classes = near_duplicates(spark, docs)
+    first = classes.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
