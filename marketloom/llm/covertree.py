@@ -238,7 +238,8 @@ def threshold_links(spark: SparkSession, points: DataFrame, scratch: Scratch, le
         (ids_a, a), (ids_b, b) = trees[0], trees[-1]
         weight, forest = links(ids_a, a, b, ids_b, least, same)
         out = [(p, w, None, None) for p, w in weight.items()] + [(None, None, x, y) for x, y in forest]
-        return pd.DataFrame(out, columns=["point", "weight", "a", "b"]).astype("Int64")
+        columns = zip(*out, strict=True) if out else [()] * 4
+        return pd.DataFrame({k: pd.array(list(c), "Int64") for k, c in zip(("point", "weight", "a", "b"), columns, strict=True)})  # no float between
 
     found = sent.select("point", "v", "n", "side", "cell_a", "cell_b").groupBy("cell_a", "cell_b").applyInPandas(traverse, "point long, weight long, a long, b long")
     found = scratch.save(found, "found")
