@@ -249,7 +249,7 @@ def shared_lines(parts: DataFrame, scratch: Scratch) -> DataFrame:
             if ARTICLE not in roles and any(roles[p] == OPEN for p in found):
                 keys.append(chunk["key"].iloc[i])
                 gone.append([int(p) for p in found if roles[p] == OPEN])
-        return pd.DataFrame({"key": keys, "gone": gone})
+        return pd.DataFrame({"key": keys, "gone": gone}, dtype=object)
 
     return scratch.save(spread.groupBy("chunk").applyInPandas(align, "key string, gone array<int>"), "gone")
 
