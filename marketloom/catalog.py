@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
+from .plans import bars, indicators, reports
+
+FLAGSHIP = "vwap_session_bands"
+QUERIES = bars.QUERIES | indicators.QUERIES | reports.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for name, (run, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Queries without SQL are state machines, random resamples, and folds; tests hold them against row loops."""
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
