@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.units import floor_time, round_to_side_step, round_to_step
 
-ORDER = F.struct("ts_ms", "seq")
+
+
+def order() -> Column:
+    return F.struct("ts_ms", "seq")
 
 
 def buy_qty() -> Column:
@@ -27,7 +30,7 @@ def time_bars(trades: DataFrame, interval_ms: int) -> DataFrame:
     return (
         trades.groupBy("symbol", floor_time(F.col("ts_ms"), interval_ms).alias("bucket"))
         .agg(
-            F.min_by("price", ORDER).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", ORDER).alias("close"),
+            F.min_by("price", order()).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order()).alias("close"),
             buy_qty().alias("buy_qty"), sell_qty().alias("sell_qty"), F.sum("qty").alias("volume"), F.count(F.lit(1)).alias("n_trades"),
         )
         .withColumn("delta", F.col("buy_qty") - F.col("sell_qty"))
@@ -37,7 +40,7 @@ def time_bars(trades: DataFrame, interval_ms: int) -> DataFrame:
 def first_trade_bars(trades: DataFrame, interval_ms: int) -> DataFrame:
     """Candles that exist only as trades made them: flat at the first trade's price, with all volume."""
     return trades.groupBy("symbol", floor_time(F.col("ts_ms"), interval_ms).alias("bucket")).agg(
-        F.min_by("price", ORDER).alias("price"), buy_qty().alias("buy_qty"), sell_qty().alias("sell_qty")
+        F.min_by("price", order()).alias("price"), buy_qty().alias("buy_qty"), sell_qty().alias("sell_qty")
     )
 
 
@@ -64,7 +67,7 @@ def tick_bars(trades: DataFrame, size: int) -> DataFrame:
     bar = F.floor(F.col("n") / size).cast("long").alias("bar")
     return numbered(trades).groupBy("symbol", bar).agg(
         F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"),
-        F.min_by("price", ORDER).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", ORDER).alias("close"),
+        F.min_by("price", order()).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order()).alias("close"),
         buy_qty().alias("buy_qty"), sell_qty().alias("sell_qty"), F.count(F.lit(1)).alias("n_trades"),
     )
 

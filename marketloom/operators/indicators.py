@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.clocks import DAY, SESSIONS, in_session
 
-BY_TIME = Window.partitionBy("symbol").orderBy("bucket")
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("bucket")
 
 
 def rows(first: int, last: int = 0) -> WindowSpec:
-    return BY_TIME.rowsBetween(first, last)
+    return by_time().rowsBetween(first, last)
 
 
 def by_day() -> WindowSpec:
@@ -60,7 +62,7 @@ def slope(value: str, n: int, least: int) -> Column:
 
 
 def with_number(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("n", F.row_number().over(BY_TIME))
+    return bars.withColumn("n", F.row_number().over(by_time()))
 
 
 def vpin_share(n: int = 20) -> Column:
@@ -108,26 +110,26 @@ def z_score(value: str, n: int, least: int, population: bool = True) -> Column:
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(BY_TIME)
+    before = F.lag("close").over(by_time())
     spread = F.col("high") - F.col("low")
     return F.coalesce(F.greatest(spread, F.abs(F.col("high") - before), F.abs(F.col("low") - before)), spread)
 
 
 def atr_mean(n: int = 14) -> Column:
     """Mean true range of the last ``n`` bars; the first bar has none."""
-    known = F.when(F.lag("close").over(BY_TIME).isNotNull(), F.col("tr"))
+    known = F.when(F.lag("close").over(by_time()).isNotNull(), F.col("tr"))
     return F.avg(known).over(rows(-(n - 1)))
 
 
 def runs_of(sign: Column, name: str) -> dict[str, Column]:
     """Columns for ``withColumns`` in turn: a change flag and its group, so that a run's length is a row number in it."""
-    return {f"_{name}": (sign != F.coalesce(F.lag(sign).over(BY_TIME), F.lit(99))).cast("int")}
+    return {f"_{name}": (sign != F.coalesce(F.lag(sign).over(by_time()), F.lit(99))).cast("int")}
 
 
 def run_length(bars: DataFrame, sign: Column, name: str) -> DataFrame:
     """Signed length of the run of equal ``sign`` (-1, 0, 1) that ends in each bar; 0 for sign 0."""
     out = bars.withColumn("_s", sign)
-    out = out.withColumn("_new", (F.col("_s") != F.coalesce(F.lag("_s").over(BY_TIME), F.lit(99))).cast("int"))
+    out = out.withColumn("_new", (F.col("_s") != F.coalesce(F.lag("_s").over(by_time()), F.lit(99))).cast("int"))
     out = out.withColumn("_run", F.sum("_new").over(rows(Window.unboundedPreceding)))
     length = F.row_number().over(Window.partitionBy("symbol", "_run").orderBy("bucket"))
     return out.withColumn(name, (length * F.col("_s")).cast("long")).drop("_s", "_new", "_run")
@@ -135,15 +137,15 @@ def run_length(bars: DataFrame, sign: Column, name: str) -> DataFrame:
 
 def divergence_sign() -> Column:
     """1 where price rose and cumulative delta did not, -1 where delta rose and price did not, else 0."""
-    up = F.col("close") > F.lag("close").over(BY_TIME)
-    flow = F.col("cvd") > F.lag("cvd").over(BY_TIME)
+    up = F.col("close") > F.lag("close").over(by_time())
+    flow = F.col("cvd") > F.lag("cvd").over(by_time())
     return F.coalesce(F.when(up & ~flow, 1).when(~up & flow, -1), F.lit(0))
 
 
 def efficiency(n: int) -> Column:
     """Net change over the sum of absolute changes of ``n`` steps."""
     step = F.abs(F.col("close") - F.col("prev_close"))
-    return F.try_divide(F.abs(F.col("close") - F.lag("close", n).over(BY_TIME)), F.sum(step).over(rows(-(n - 1))))
+    return F.try_divide(F.abs(F.col("close") - F.lag("close", n).over(by_time())), F.sum(step).over(rows(-(n - 1))))
 
 
 def choppiness(n: int = 14) -> Column:
@@ -154,7 +156,7 @@ def choppiness(n: int = 14) -> Column:
 
 def reversals(n: int) -> Column:
     """Changes of direction within the last ``n`` bars."""
-    turn = (F.col("close") - F.col("prev_close")) * (F.col("prev_close") - F.lag("prev_close").over(BY_TIME)) < 0
+    turn = (F.col("close") - F.col("prev_close")) * (F.col("prev_close") - F.lag("prev_close").over(by_time())) < 0
     return F.sum(turn.cast("int")).over(rows(-(n - 1)))
 
 
@@ -174,7 +176,7 @@ def trailing_sums(events: DataFrame, width_ms: int, short_ms: int, cascade: floa
 def forward_returns(bars: DataFrame, steps: tuple[int, ...], horizon: int) -> DataFrame:
     """Returns in basis points after each number of bars, and the best and worst excursion within the horizon."""
     ahead = rows(1, horizon)
-    out = {f"fwd_{k}": (F.lead("close", k).over(BY_TIME) / F.col("close") - 1) * 1e4 for k in steps}
+    out = {f"fwd_{k}": (F.lead("close", k).over(by_time()) / F.col("close") - 1) * 1e4 for k in steps}
     out["mfe"] = (F.max("high").over(ahead) / F.col("close") - 1) * 1e4
     out["mae"] = (F.min("low").over(ahead) / F.col("close") - 1) * 1e4
     return bars.withColumns(out)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clocks import DAY, in_session, week_start
-from .indicators import BY_TIME, rows
+from .indicators import by_time, rows
 
 
 def pivots(bars: DataFrame, left: int, right: int) -> DataFrame:
@@ -16,14 +16,14 @@ def pivots(bars: DataFrame, left: int, right: int) -> DataFrame:
     highest = F.greatest(F.max("high").over(rows(-left, -1)), F.max("high").over(rows(1, right)))
     lowest = F.least(F.min("low").over(rows(-left, -1)), F.min("low").over(rows(1, right)))
     return bars.withColumns(
-        {"swing_high": F.when(full & (F.col("high") > highest), F.col("high")), "swing_low": F.when(full & (F.col("low") < lowest), F.col("low")), "known_at": F.lead("bucket", right).over(BY_TIME)}
+        {"swing_high": F.when(full & (F.col("high") > highest), F.col("high")), "swing_low": F.when(full & (F.col("low") < lowest), F.col("low")), "known_at": F.lead("bucket", right).over(by_time())}
     )
 
 
 def confirmed_swings(bars: DataFrame, left: int, right: int) -> DataFrame:
     """The last swing high and low that each bar can know of."""
     found = pivots(bars, left, right)
-    shifted = found.withColumns({f"_{c}": F.lag(c, right).over(BY_TIME) for c in ("swing_high", "swing_low")})
+    shifted = found.withColumns({f"_{c}": F.lag(c, right).over(by_time()) for c in ("swing_high", "swing_low")})
     last = {f"last_{c}": F.last(f"_{c}", True).over(rows(Window.unboundedPreceding)) for c in ("swing_high", "swing_low")}
     return shifted.withColumns(last).drop("_swing_high", "_swing_low")
 
@@ -44,7 +44,7 @@ def breaks(bars: DataFrame) -> DataFrame:
 def equal_extremes(bars: DataFrame, n: int, tolerance: float) -> DataFrame:
     """Rolling extremes including the bar, whether it meets the extreme before it, and sweeps of that extreme."""
     out = bars.withColumns({"roll_high": F.max("high").over(rows(-(n - 1))), "roll_low": F.min("low").over(rows(-(n - 1)))})
-    out = out.withColumns({"prior_high": F.lag("roll_high").over(BY_TIME), "prior_low": F.lag("roll_low").over(BY_TIME)})
+    out = out.withColumns({"prior_high": F.lag("roll_high").over(by_time()), "prior_low": F.lag("roll_low").over(by_time())})
     near = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) <= F.col(b) * tolerance, F.lit(False))
     return out.withColumns(
         {
@@ -69,7 +69,7 @@ def fair_value_gaps(bars: DataFrame, newest: int = 5) -> DataFrame:
     A gap up spans the previous high and the next low; it is filled once a later low reaches its bottom.
     """
     around = bars.select(
-        "symbol", "bucket", F.lag("high").over(BY_TIME).alias("ph"), F.lag("low").over(BY_TIME).alias("pl"), F.lead("high").over(BY_TIME).alias("nh"), F.lead("low").over(BY_TIME).alias("nl"),
+        "symbol", "bucket", F.lag("high").over(by_time()).alias("ph"), F.lag("low").over(by_time()).alias("pl"), F.lead("high").over(by_time()).alias("nh"), F.lead("low").over(by_time()).alias("nl"),
         F.min("low").over(rows(2, Window.unboundedFollowing)).alias("later_low"), F.max("high").over(rows(2, Window.unboundedFollowing)).alias("later_high"),
     )
     up = F.struct(F.lit("up").alias("side"), F.col("ph").alias("bottom"), F.col("nl").alias("top"), (F.col("later_low") <= F.col("ph")).alias("filled"))
@@ -82,7 +82,7 @@ def fair_value_gaps(bars: DataFrame, newest: int = 5) -> DataFrame:
 
 def order_blocks(bars: DataFrame, newest: int = 5) -> DataFrame:
     """The last opposite candle before two bars that run beyond it, with its volume against the mean of 20."""
-    ahead = lambda c, k: F.lead(c, k).over(BY_TIME)
+    ahead = lambda c, k: F.lead(c, k).over(by_time())
     up = (F.col("close") < F.col("open")) & (ahead("close", 1) > ahead("open", 1)) & (ahead("close", 2) > ahead("open", 2)) & (ahead("close", 2) > F.col("high"))
     down = (F.col("close") > F.col("open")) & (ahead("close", 1) < ahead("open", 1)) & (ahead("close", 2) < ahead("open", 2)) & (ahead("close", 2) < F.col("low"))
     ratio = F.try_divide("volume", F.avg("volume").over(rows(-19)))

@@ -50,9 +50,9 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.indicators import BY_TIME, true_range, with_number
+    from ..operators.indicators import by_time, true_range, with_number
 
-    return with_number(hourly(spark, sf_dir)).withColumns({"prev_close": F.lag("close").over(BY_TIME), "tr": true_range()})
+    return with_number(hourly(spark, sf_dir)).withColumns({"prev_close": F.lag("close").over(by_time()), "tr": true_range()})
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,8 +89,8 @@ def rolling_quantiles(s, d):
 
 def open_interest(s, d):
     oi = op.cvd(hourly(s, d), daily=False).withColumn("oi", F.col("cvd") + 100_000)
-    oi = oi.withColumn("oi_delta", F.col("oi") - F.lag("oi").over(op.BY_TIME))
-    trend = (F.col("oi") / F.lag("oi", 5).over(op.BY_TIME) - 1) * 100
+    oi = oi.withColumn("oi_delta", F.col("oi") - F.lag("oi").over(op.by_time()))
+    trend = (F.col("oi") / F.lag("oi", 5).over(op.by_time()) - 1) * 100
     out = oi.select("symbol", "bucket", "oi_delta", trend.alias("change"), op.z_score("oi_delta", 20, 2).alias("z"))
     name = F.when(F.col("change") > 1.0, "fast_up").when(F.col("change") > 0.3, "up").when(F.col("change") < -1.0, "fast_down").when(F.col("change") < -0.3, "down").otherwise("flat")
     return rounded(out.withColumn("trend", name), "change", "z")

@@ -16,11 +16,6 @@ BOOK_JSON = T.StructType([
     T.StructField("ts", T.LongType()),
     T.StructField("data", T.StructType([T.StructField("s", T.StringType()), T.StructField("b", LEVELS), T.StructField("a", LEVELS)])),
 ])
-FORCE_ORDER = T.StructType([
-    T.StructField("e", T.StringType()),
-    T.StructField("o", T.StructType([T.StructField(n, T.StringType()) for n in ("s", "S", "q", "ap", "p")] + [T.StructField("T", T.LongType())])),
-])
-
 
 def event_trades(events: DataFrame) -> DataFrame:
     """Events as trades: ``symbol, ts_ms, seq, price, price_units, qty, is_sell``."""
@@ -65,12 +60,13 @@ def read_book_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_force_orders(lines: DataFrame) -> DataFrame:
-    """Liquidation events of a column ``value``: a SELL order liquidates longs."""
-    m = lines.select(F.from_json("value", FORCE_ORDER).alias("m")).where("m.e = 'forceOrder' and m.o.S in ('SELL', 'BUY')")
-    price = F.coalesce(F.nullif(F.col("m.o.ap").cast("double"), F.lit(0.0)), F.col("m.o.p").cast("double"))
+    """Liquidation events of a column ``value``: a SELL order liquidates longs. Field names differ by case only, so paths read them."""
+    at = lambda path: F.get_json_object("value", f"$.{path}")
+    m = lines.where((at("e") == "forceOrder") & at("o.S").isin("SELL", "BUY"))
+    price = F.coalesce(F.nullif(at("o.ap").cast("double"), F.lit(0.0)), at("o.p").cast("double"))
     return m.select(
-        F.col("m.o.s").alias("symbol"), F.col("m.o.T").alias("ts_ms"), F.when(F.col("m.o.S") == "SELL", "long").otherwise("short").alias("liquidated"),
-        price.alias("price"), F.col("m.o.q").cast("double").alias("qty"), (price * F.col("m.o.q").cast("double")).alias("usd"),
+        at("o.s").alias("symbol"), at("o.T").cast("long").alias("ts_ms"), F.when(at("o.S") == "SELL", "long").otherwise("short").alias("liquidated"),
+        price.alias("price"), at("o.q").cast("double").alias("qty"), (price * at("o.q").cast("double")).alias("usd"),
     )
 
 
