@@ -62,6 +62,14 @@ class Scratch:
             hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, salt_of: Column, salts: int = 16) -> DataFrame:
     """Left join on ``key`` (null matches null) with the right side repeated for each of ``salts``.
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 BITS = 16
 SAMPLE = 2_000
@@ -235,8 +235,9 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -
 
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that are in no language."""
-    found = docs.withColumn("_language", identified(spark, fit(docs)))
-    return found.where("_language.lang_pred <> 'und'").select(docs.columns)
+    name = fresh(docs, "_language")
+    found = docs.withColumn(name, identified(spark, fit(docs)))
+    return found.where(F.col(name)["lang_pred"] != "und").select(docs.columns)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

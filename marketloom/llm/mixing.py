@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, table
+from .common import WORD, Scratch, fresh, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -139,9 +139,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: f
 
 def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with every document as often as the mix takes it; rows repeated with one doc_id are one, taken as often as all of them."""
-    taken = mix(spark, docs).where("taken > 0").groupBy("doc_id").agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"))
-    copies = docs.join(taken, "doc_id").dropDuplicates(["doc_id"])
-    return copies.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    copies, copy = fresh(docs, "_copies"), fresh(docs, "_copy")
+    taken = mix(spark, docs).where("taken > 0").groupBy("doc_id").agg(F.sum(F.expr("taken div size")).cast("int").alias(copies))
+    kept = docs.join(taken, "doc_id").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
