@@ -13,6 +13,7 @@ from .language import op7_language
 from .mixing import op3_mix
 from .packing import op5_pack
 from .pii import op2_pii
+from .scoring import op4_score
 from .simhash import op8_simhash
 from .warc import OP1_SQL, op1_warc
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc_index": op1_warc,
         "op2_pii_bilstm_crf": op2_pii,
         "op3_pivotal_mix": op3_mix,
+        "op4_pseudo_likelihood": op4_score,
         "op5_best_fit_packing": op5_pack,
         "op6_html_differencing": op6_extract,
         "op7_language_viterbi": op7_language,

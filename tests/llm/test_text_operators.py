@@ -252,7 +252,7 @@ def test_mixing_meets_targets(spark, docs):
 def test_mixing_edge_cases(spark, odd):
     found = mixing.mix(spark, odd).collect()
     assert len(found) == 12 and all(r.taken == 0 for r in found if r.size == 0)
-    assert {r.target for r in found if r.doc_id == 5} == {pytest.approx(min(8.0, next(r.target for r in found if r.doc_id == 5)))}
+    assert all(r.source_size == 4 and r.target <= 8.0 for r in found if r.doc_id == 5)
     assert mixing.mix(spark, none(odd)).count() == 0
     blank = spark.createDataFrame([(1, " ", "en", "a", 1), (2, None, "en", None, 1)], DOC)
     assert [(r.target, r.taken) for r in mixing.mix(spark, blank).collect()] == [(0.0, 0), (0.0, 0)]
@@ -324,21 +324,27 @@ def test_viterbi_beats_every_other_path():
 
 
 def test_pii_query_and_added_spans(spark, odd, docs):
-    many = docs.unionByName(odd.select(docs.columns))
-    for k in range(60):
-        row = [(1000 + k, f"write to user{k}@host{k % 7}.example.com or +1 (55{k % 10}) 555-{1000 + k} from 10.{k}.0.{k}, card 4539 1488 0343 6467 or (55{k % 10}) 555-{2000 + k}", "en", "a", 1)]
-        many = many.unionByName(spark.createDataFrame(row, DOC)) if k % 30 == 0 else many
-    found = pii.find(spark, many).collect()
+    many = docs.withColumn("doc_id", F.col("doc_id") + 1000).unionByName(odd.select(docs.columns))
     text = {r.doc_id: r.text for r in many.collect()}
-    for r in found:
-        if r.doc_id not in (5,):
-            own = [(s.kind, s.start, s.end) for s in r.base or []]
-            assert own == plain_spans(text[r.doc_id] or "")
-            for s in r.added or []:
-                assert not any(s.start < b and a < s.end for _, a, b in own)
+    for r in pii.find(spark, many).collect():
+        own = [(s.kind, s.start, s.end) for s in r.base or []]
+        assert own == plain_spans(text[r.doc_id] or "")
+        assert not any(s.start < b and a < s.end for s in r.added or [] for _, a, b in own)
     assert pii.find(spark, none(odd)).count() == 0
 
 
+def test_tagger_adds_spans_that_patterns_miss(spark):
+    rows = []
+    for k in range(400):
+        kind = (f"user{k}@host{k % 7}.example.com", f"+1 (5{k % 90 + 10}) 555-{1000 + k}", f"10.{k % 250}.0.{k % 200}", "4539 1488 0343 6467", f"version {k}.{k % 9} of {1900 + k % 100}")[k % 5]
+        rows.append((k, f"some words here {'and more ' * (k % 4)}then {kind} follows in the text", "en", "a", 1))
+    tagger = pii.fit(spark.createDataFrame(rows, DOC))
+    texts = ["some words here then (555) 555-2345 follows in the text", "some words here and more then 4539 1488 0343 6467 4539 1488 0343 6467 follows", "released in 1998 with version 4.2 of it"]
+    base = [pii.base_spans(t) for t in texts]
+    added = pii.added_spans(tagger, texts, base)
+    assert base == [[], [], []] and [(k, texts[0][a:b]) for k, a, b in added[0]] == [("phone", "(555) 555-2345")] and added[2] == []
+
+
 def test_redaction_keeps_columns(spark, odd):
     got = {r.doc_id: r for r in pii.redacted(spark, odd).collect()}
     assert got[7].text.startswith("mail <EMAIL> and <PHONE>, <IP> and <CARD>") and got[7].n_chars == len(got[7].text)
