@@ -70,6 +70,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def thinned(df: DataFrame, most: int, *by: str) -> DataFrame:
+    """About ``most`` rows, drawn by a hash of ``by``: each task of a large table sends few of them on."""
+    share = min(1.0, most / max(1, df.count()))
+    draw = F.shiftrightunsigned(F.xxhash64(*by, F.lit("sample")), 11) / F.lit(float(1 << 53))
+    return df.where(draw < share) if share < 1 else df
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, salt_of: Column, salts: int = 16) -> DataFrame:
     """Left join on ``key`` (null matches null) with the right side repeated for each of ``salts``.
 

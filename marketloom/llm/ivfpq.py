@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, thinned
 from .covertree import usable
 
 K = 20
@@ -137,7 +137,7 @@ def search(spark: SparkSession, rows: DataFrame, k: int = K, every: int = EVERY,
     """``query_id, rank, vec_id, score``: queries are the rows of ``rows`` (vec_id, embedding) whose id divides by ``every``."""
     scratch = Scratch(spark, "ivfpq")
     valid = rows.select(F.col("vec_id").cast("long"), usable(F.col("embedding")).alias("v")).where("vec_id is not null and v is not null")
-    drawn = valid.orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
+    drawn = thinned(valid, SAMPLE + SAMPLE // 16, "vec_id").orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
     empty = "query_id long, rank int, vec_id long, score double"
     if drawn.empty:
         return spark.createDataFrame([], empty)
