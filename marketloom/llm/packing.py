@@ -17,7 +17,6 @@ each row. A null doc_id is kept as it is. An empty table gives no rows. Other co
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -45,7 +44,7 @@ class WordEncoder:
 
     SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -121,14 +120,11 @@ class Move:
 def sweeps(counts: dict[int, int], capacity: int) -> tuple[list[Move], int]:
     """Supersteps over the number of documents of each length; the moves and the number of sequences."""
     gaps: dict[int, list[tuple[int, int]]] = {}  # size -> ranges (first sequence, how many)
-    sizes: list[int] = []
     moves: list[Move] = []
     opened = 0
 
     def put(gap: int, first: int, many: int) -> None:
         if gap and many:
-            if gap not in gaps:
-                heapq.heappush(sizes, gap)
             gaps.setdefault(gap, []).append((first, many))
 
     for length in sorted(counts, reverse=True):
