@@ -241,7 +241,7 @@ def threshold_links(spark: SparkSession, points: DataFrame, scratch: Scratch, le
         columns = zip(*out, strict=True) if out else [()] * 4
         return pd.DataFrame({k: pd.array(list(c), "Int64") for k, c in zip(("point", "weight", "a", "b"), columns, strict=True)})  # no float between
 
-    found = sent.select("point", "v", "n", "side", "cell_a", "cell_b").groupBy("cell_a", "cell_b").applyInPandas(traverse, "point long, weight long, a long, b long")
+    found = sent.select("point", "label", "v", "n", "side", "cell_a", "cell_b").groupBy("label", "cell_a", "cell_b").applyInPandas(traverse, "point long, weight long, a long, b long")
     found = scratch.save(found, "found")
     weights = found.where("point is not null").groupBy("point").agg(F.sum("weight").alias("weight"))
     return weights, found.where("a is not null").select("a", "b").distinct()

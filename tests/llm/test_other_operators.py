@@ -186,7 +186,7 @@ def test_search_edge_cases(spark, vectors):
     df = spark.createDataFrame(odd, VECTOR).withColumn("v", F.lit(1)).withColumn("shard", F.lit(1))
     for r in ivfpq.search(spark, df).collect():
         found[r.query_id].append((r["rank"], r.vec_id))
-    assert {q: [i for _, i in sorted(v)] for q, v in found.items()} == {0: [21, 22, 22, 20], 20: [0, 21, 22, 22]}
+    assert {q: [i for _, i in sorted(v)] for q, v in found.items()} == {0: [21, 22, 22, 20, 505], 20: [0, 21, 22, 22, 505]}
     assert ivfpq.search(spark, spark.createDataFrame([], VECTOR)).count() == 0
 
 
