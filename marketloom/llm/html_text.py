@@ -34,7 +34,7 @@ from .common import Scratch, table
 
 CHUNK = 64
 REACH = 3
-COPY_SHARE = 0.5
+COPY_SHARE = 0.8
 RANGE_ROWS = 20_000
 BOILERPLATE, ARTICLE, OPEN = 0, 1, 2
 
