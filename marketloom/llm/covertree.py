@@ -279,10 +279,10 @@ def op9_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false)))
-    AND list_bool_or(list_transform(embedding, x -> x <> 0))
+    AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
 ),
 p AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
