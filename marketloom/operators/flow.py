@@ -83,11 +83,11 @@ def big_levels(cells: DataFrame, factor: float = 2.5) -> DataFrame:
 def range_state(bars: DataFrame, n: int = 36) -> DataFrame:
     """Range of the ``n`` bars before each bar, with touches of its ends, and where the bar is: the range excludes the bar,
 
-    so that sweeps and breakouts of it can be seen. Needs ``tr``.
+    so that sweeps and breakouts of it can be seen. Needs ``tr``; without movement (zero ATR) the size is null.
     """
     w = rows(-n, -1)
     out = bars.withColumns({"range_high": F.max("high").over(w), "range_low": F.min("low").over(w), "in_range": F.count(F.lit(1)).over(w), "atr": F.avg("tr").over(rows(-14, -1))})
-    size = (F.col("range_high") - F.col("range_low")) / F.col("atr")
+    size = F.try_divide(F.col("range_high") - F.col("range_low"), F.col("atr"))
     place = (
         F.when(F.col("in_range") < n, "none").when((F.col("low") < F.col("range_low")) & (F.col("close") > F.col("range_low")), "sweep_low")
         .when((F.col("high") > F.col("range_high")) & (F.col("close") < F.col("range_high")), "sweep_high").when(F.col("close") > F.col("range_high"), "break_up")
@@ -194,5 +194,5 @@ def outcome_horizons(signals: DataFrame, bars: DataFrame, horizons: tuple[int, .
     """Result in units of risk of long signals (symbol, n, entry, stop) at each horizon in bars, null beyond the series."""
     later = bars.select("symbol", F.col("n").alias("m"), "close")
     near = signals.withColumn("h", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("m", F.col("n") + F.col("h"))
-    r = (F.col("close") - F.col("entry")) / (F.col("entry") - F.col("stop"))
+    r = F.try_divide(F.col("close") - F.col("entry"), F.col("entry") - F.col("stop"))
     return near.join(later, ["symbol", "m"], "left").groupBy("symbol", "n").pivot("h", list(horizons)).agg(F.first(r))
