@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, salted_join, table
-from .graph import components
+from .graph import components, looked_up
 
 LEAST = 0.98
 CELL = 2048
@@ -265,7 +265,7 @@ def near_pairs(spark: SparkSession, rows: DataFrame, least: float = LEAST, cell:
     labels = components(scratch.save(forest, "forest"), scratch).withColumnRenamed("node", "point")
     classed = points.select("point", "n", "first").join(labels, "point", "left").withColumn("label", F.coalesce("label", "point"))
     smallest = classed.groupBy("label").agg(F.min("first").alias("component_id"))
-    classed = classed.join(smallest, "label").join(weights, "point", "left")
+    classed = looked_up(classed, "label", "point", smallest).join(weights, "point", "left")
     n_links = (F.coalesce("weight", F.lit(0)) + F.col("n") - 1).cast("long")
     classed = scratch.save(classed.select(F.col("point").alias("key"), n_links.alias("n_links"), "component_id"), "classed")
     out = salted_join(slim.select("vec_id", "key"), classed, "key", F.col("vec_id"))

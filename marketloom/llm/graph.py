@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Tasks over which rows that look up one node are spread.
+SALTS = 64
+
+
+def looked_up(rows: DataFrame, key: str, by: str, found: DataFrame) -> DataFrame:
+    """Left join of ``rows`` with ``found``, which has one row a ``key``.
+
+    A crowded class has most of its rows look up one node. Rows ask by (key, salt) and each such pair asks once, so
+    that a node is asked ``SALTS`` times at most and its rows are dealt over as many tasks; rare keys are not repeated.
+    """
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    answers = rows.select(key, "salt").distinct().join(found, key)
+    return rows.join(answers, [key, "salt"], "left").drop("salt")
+
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "labels") -> DataFrame:
     """``(node, label)`` for every node of ``edges(a, b)``: the smallest node that it reaches.
@@ -21,13 +35,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "labels") -> Data
     turn = 0
     while True:
         turn += 1
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        near = looked_up(both, "b", "a", labels.withColumnRenamed("node", "b")).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("next"))
         # the old label hears of the new one: whole trees move, not only their leaves
         told = step.where("next < label").groupBy(F.col("label").alias("node")).agg(F.min("next").alias("told"))
         step = step.join(told, "node", "left").select("node", "label", F.least("next", "told").alias("next"))
         roots = step.select(F.col("node").alias("next"), F.col("next").alias("root"))
-        jumped = step.join(roots, "next", "left").select("node", F.least("next", "root").alias("label"), (F.least("next", "root") < F.col("label")).alias("moved"))
+        jumped = looked_up(step, "next", "node", roots).select("node", F.least("next", "root").alias("label"), (F.least("next", "root") < F.col("label")).alias("moved"))
         written = scratch.save(jumped, f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")
         labels = written.select("node", "label")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, salted_join, table
-from .graph import components
+from .graph import components, looked_up
 
 WORDS = 3
 RADIUS = 3
@@ -157,7 +157,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET)
     labels = components(links, scratch).withColumnRenamed("node", "fp")
     classed = first.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = classed.groupBy("label").agg(F.min("first").alias("component_id"))
-    component = scratch.save(classed.join(smallest, "label").select("fp", "component_id"), "components")
+    component = scratch.save(looked_up(classed, "label", "fp", smallest).select("fp", "component_id"), "components")
     out = salted_join(found, component, "fp", F.col("doc_id"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
