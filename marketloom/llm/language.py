@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, small_batches, table
 
 BITS = 16
 SAMPLE = 2_000
@@ -179,6 +179,7 @@ def fold() -> Column:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from text and lang of labelled documents outside fold 0, about ``sample`` per language at most."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0)).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(counts)
@@ -214,6 +215,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def identified(spark: SparkSession, model: Model, penalty: float = PENALTY) -> Column:
     """Struct (lang_pred, score, spans) of the column ``text``."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # languages * 2 ** BITS numbers
 
     @F.pandas_udf("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 
 #: Ranks within a length are counted in so many parts, so that a very common length has no hot task.
 PARTS = 256
@@ -44,7 +44,7 @@ class WordEncoder:
 
     SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
-    def __init__(self, path: str, bound: int = 250_000):
+    def __init__(self, path: str, bound: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -199,6 +199,7 @@ def best_fit(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None =
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    small_batches(spark)
     scratch = Scratch(spark, "packing")
     found = scratch.save(pieces(docs, tokenizer_path, capacity), "pieces")
     return pack(spark, found, capacity)

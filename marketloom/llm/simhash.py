@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, salted_join, table
+from .common import Scratch, salted_join, small_batches, table
 from .graph import components, looked_up
 
 WORDS = 3
@@ -150,6 +150,7 @@ def fingerprint_links(fps: DataFrame, scratch: Scratch, bucket: int = BUCKET) ->
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``doc_id``, ``fingerprint``, ``component_id`` for every row of ``docs`` (doc_id, text)."""
+    small_batches(spark)
     scratch = Scratch(spark, "simhash")
     found = scratch.save(fingerprints(docs), "fingerprints")
     first = scratch.save(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
