@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.clocks import DAY, HOUR, region
-from ..operators import depth, detectors, mining, profile, recursive, reports, simulate, structure
+from ..operators import depth, detectors, managers, mining, profile, recursive, reports, simulate, structure
 from ..operators import indicators as ind
 from ..operators import sets as op
 from ..sources.trades import trades
@@ -60,6 +60,17 @@ def simulated(s, d):
     return rounded(out, "entry", "exit", "size", "gross", "fees", "funding", "net", "r", "mfe_r", "mae_r", "balance", digits=4)
 
 
+def trailed(s, d):
+    signals = detectors.route(context(s, d)).select("symbol", "bucket", "side", "entry", "stop", "target")
+    return rounded(managers.trailed_trades(hourly(s, d), signals), "entry", "exit", "r", digits=4)
+
+
+def filled(s, d):
+    t = trades(s, d).select("symbol", "ts_ms", "seq", "price")
+    orders = t.where("seq % 5 = 0").selectExpr("symbol", "ts_ms", "seq as order_id", "price * 0.9 as price")
+    return managers.limit_fills(orders, t, 2.0, DAY, 0.5)
+
+
 def runs(s, d):
     u = trades(s, d).select("symbol", "ts_ms", "seq", (F.floor(F.col("price_units") / WIDE) * WIDE).cast("long").alias("level"), (F.col("qty") % 4).alias("qty"), (~F.col("is_sell")).alias("is_bid"))
     return depth.coalesce_runs(depth.depth_runs(u, 6 * HOUR), 0.5)
@@ -169,4 +180,7 @@ SELECT symbol, CAST(sum(a) AS BIGINT) AS n_recent, CAST(sum(b) AS BIGINT) AS n_b
     "detector_candidates": (routed, None),
     "paper_account": (simulated, None),
     "cooldown": (lambda s, d: structure.cooldown(trades(s, d).select("symbol", "ts_ms", "seq"), "symbol", "ts_ms", 6 * HOUR), None),
+    "trailed_trades": (trailed, None),
+    "limit_fills": (filled, None),
+    "price_chases": (lambda s, d: managers.chases(trades(s, d).select("symbol", "ts_ms", "seq", "price")), None),
 } | op.QUERIES
