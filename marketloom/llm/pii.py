@@ -3,12 +3,13 @@
 The base spans (``base_spans``) are exact matches of the patterns. The network is trained in numpy on
 windows around base spans of a bounded sample of documents, and on rewritten forms of the same spans
 (other separators, spelled-out signs, neighbours without a gap) that the patterns miss. Overlapping
-windows cover every digit and ``@`` of the whole text; each is decoded, pieces of one span that
+windows cover every digit, ``@``, ``(at)`` and ``[at]`` of the whole text; each is decoded, pieces of one span that
 windows share are stitched, and of conflicting spans the set of highest total confidence stays
 (weighted interval scheduling over the whole text). Of these, spans that touch no base span, are
 confident, and pass their kind's arithmetic (Luhn, octets, number of digits) are added.
 
-All four kinds hold a digit or ``@``, so texts and windows without one are settled without the network.
+All four kinds hold a digit, ``@`` or a spelled-out sign, ``(at)`` or ``[at]``, so texts and windows without any of
+these are settled without the network. Spelled-out addresses have no label: windows with one are no training examples.
 
 Edge cases: a null text is empty and has no span. A text of any length is read whole, in windows.
 Without any base span in the sample there is no network, and base spans are all. Repeated rows
@@ -31,7 +32,9 @@ from .common import fresh, small_batches, table, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-TRIGGER = r"[0-9@]"
+#: Signs of an address, in the forms that ``plausible`` takes for one.
+SPELLED = r"\(at\)|\[at\]"
+TRIGGER = rf"[0-9@]|{SPELLED}"
 WINDOW, STRIDE = 96, 48
 SAMPLE_DOCS, SAMPLE_WINDOWS = 60_000, 1_500
 STEPS, BATCH, HIDDEN, EMBED, RATE = 350, 48, 16, 12, 0.02
@@ -80,7 +83,7 @@ def ordered(spans: list[Span]) -> list[Span]:
 def plausible(kind: str, text: str) -> bool:
     """Whether a span of the network is such data, once signs are written plainly."""
     if kind == "email":
-        plain = re.sub(r"\s*(?:\(at\)|\[at\]|@)\s*", "@", text)
+        plain = re.sub(rf"\s*(?:{SPELLED}|@)\s*", "@", text)
         return plain.count("@") == 1 and base_spans(plain)[:1] == [("email", 0, len(plain))]
     if kind == "ip":
         parts = re.split(r"\s*\.\s*", text)
@@ -236,7 +239,7 @@ class Tagger:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of the overlapping windows that hold a digit or @."""
+    """Starts of the overlapping windows that hold a digit, @ or a spelled-out sign."""
     found: set[int] = set()
     last = -1
     for m in re.finditer(TRIGGER, text):
@@ -369,6 +372,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE_WINDOWS) -> Tagger | None:
             for text in texts:
                 base, rows = base_spans(text), []
                 for at in window_starts(text)[:4]:  # a long list of numbers does not fill the sample
+                    if re.search(SPELLED, text[at : at + WINDOW]):
+                        continue
                     own = [(k, a - at, b - at) for k, a, b in base if a >= at and b <= at + WINDOW]
                     if not any(a < at < b or a < at + WINDOW < b for _, a, b in base):
                         rows.append({"text": text[at : at + WINDOW], "kinds": [s[0] for s in own], "places": [x for s in own for x in s[1:]]})
@@ -388,7 +393,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_WINDOWS) -> Tagger | None:
 def spans_of(spark: SparkSession, tagger: Tagger | None) -> Column:
     """Struct (base, added: arrays of kind, start, end; redacted: the text with ``<KIND>`` for each span) of column ``text``.
 
-    Null where the text has no digit and no @.
+    Null where the text has no ``TRIGGER``.
     """
     small_batches(spark)
     shared = spark.sparkContext.broadcast(tagger)  # a few thousand numbers

@@ -345,6 +345,14 @@ def test_tagger_adds_spans_that_patterns_miss(spark):
     assert base == [[], [], []] and [(k, texts[0][a:b]) for k, a, b in added[0]] == [("phone", "(555) 555-2345")] and added[2] == []
 
 
+def test_spelled_out_addresses_are_read_without_digit_or_at_sign(spark):
+    rows = [(k, f"some words here {'and more ' * (k % 4)}then {'abcdefghij'[k % 10]}nna.{'klmnopqrst'[k // 10 % 10]}eyer@host.example.{('com', 'org')[k % 2]} follows in the text", "en", "a", 1) for k in range(400)]
+    forms = ["anna.meyer (at) host.example.org", "anna.meyer(at)host.example.org", "anna.meyer [at] host.example.com"]
+    rows += [(1000 + i, f"some words here and more then {form} follows in the text", "en", "a", 1) for i, form in enumerate(forms)]
+    got = {r.doc_id: r.text for r in pii.redacted(spark, spark.createDataFrame(rows, DOC)).collect()}
+    assert {got[1000 + i] for i in range(len(forms))} == {"some words here and more then <EMAIL> follows in the text"}
+
+
 def test_redaction_keeps_columns(spark, odd):
     got = {r.doc_id: r for r in pii.redacted(spark, odd).collect()}
     assert got[7].text.startswith("mail <EMAIL> and <PHONE>, <IP> and <CARD>") and got[7].n_chars == len(got[7].text)
