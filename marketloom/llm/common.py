@@ -82,6 +82,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def keyed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with a key of 128 bits over all its columns, and the key's two names: only rows equal throughout share a key."""
+    cols = [c for name in df.columns for c in (df[name].isNull(), df[name])]  # the hash passes over nulls
+    names = [fresh(df, "_key_a"), fresh(df, "_key_b")]
+    return df.select("*", *[F.xxhash64(F.lit(name), *cols).alias(name) for name in names]), names
+
+
 def thinned(df: DataFrame, most: int, *by: str) -> DataFrame:
     """About ``most`` rows, drawn by a hash of ``by``: each task of a large table sends few of them on."""
     share = min(1.0, most / max(1, df.count()))

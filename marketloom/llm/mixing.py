@@ -17,11 +17,13 @@ sizes are 0, targets are 0. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, fresh, table
+from .common import WORD, Scratch, fresh, keyed, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -31,11 +33,12 @@ FAN = 32
 ROWS = 20_000
 EPS = 1e-9
 DRAWN = "doc_id long, source string, size long, copies long, p double, u double, bucket long"
+BY = ("doc_id", "source")
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD)))
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.cast("long").alias("size"), *key)
 
 
 def ordered_sources(sizes: DataFrame, scratch: Scratch, groups: int = 64) -> DataFrame:
@@ -70,9 +73,9 @@ def targets(sizes: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, share:
     return scratch.save(src.select("source", "source_size", F.least(F.col("weight") * F.lit(level), cap).alias("target")), "targets")
 
 
-def pivot(rows: pd.DataFrame) -> pd.DataFrame:
+def pivot(rows: pd.DataFrame, key: Sequence[str] = ()) -> pd.DataFrame:
     """Round pairs one after the other within each source; at most one row for a source stays fractional."""
-    rows = rows.sort_values(["u", "doc_id", "size"], kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["u", "doc_id", "size", *key], kind="stable").reset_index(drop=True)
     p, size, u = rows["p"].to_numpy(copy=True), rows["size"].to_numpy(), rows["u"].to_numpy()
     hold: dict[object, int] = {}
     for j, source in enumerate(rows["source"].where(rows["source"].notna(), None)):
@@ -98,50 +101,55 @@ def pivot(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
-def draw(level: int) -> Column:
-    bits = F.xxhash64("doc_id", "source", F.lit(level))
+def draw(level: int, by: Sequence[str] = BY) -> Column:
+    bits = F.xxhash64(*by, F.lit(level))
     return F.shiftrightunsigned(bits, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of ``docs`` (doc_id, text, source)."""
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, key: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for every row of ``docs`` (doc_id, text, source).
+
+    With ``key``, long columns that tell rows apart: these too, and draws are by them and not by doc_id.
+    """
     scratch = Scratch(spark, "mixing")
-    sizes = scratch.save(sized(docs), "sizes")
+    sizes = scratch.save(sized(docs, key), "sizes")
+    by, drawn = key or BY, DRAWN + "".join(f", `{k}` long" for k in key)
     goal = targets(sizes, scratch, weights, share, most)
     leaves = max(LEAVES, -(-sizes.count() // ROWS))
     g = goal.withColumnRenamed("source", "g_source").select("g_source", "source_size", "target")
     wanted = sizes.join(g, F.col("source").eqNullSafe(F.col("g_source")), "left")
     rate = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(leaves)).cast("long")
+    bucket = F.pmod(F.xxhash64(*(key or ["doc_id"]), F.lit("bucket")), F.lit(leaves)).cast("long")
     start = wanted.select(
         "doc_id", "source", "size", F.floor(rate).cast("long").alias("copies"),
-        (rate - F.floor(rate)).alias("p"), draw(0).alias("u"), bucket.alias("bucket"),
+        (rate - F.floor(rate)).alias("p"), draw(0, by).alias("u"), bucket.alias("bucket"), *key,
     )
-    done = scratch.save(start.groupBy("bucket").applyInPandas(pivot, DRAWN), "level-0")
+    done = scratch.save(start.groupBy("bucket").applyInPandas(lambda rows: pivot(rows, key), drawn), "level-0")
     decided = [done.where("p <= 0 or p >= 1")]
     groups, level = leaves, 0
     while groups > 1:
         groups, level = -(-groups // FAN), level + 1
-        rest = done.where("p > 0 and p < 1").withColumn("u", draw(level)).withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long"))
+        rest = done.where("p > 0 and p < 1").withColumn("u", draw(level, by)).withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long"))
         # many sources are spread by hash as well; those of one source stay together
         rest = rest.withColumn("_by", F.pmod(F.xxhash64("source"), F.lit(LEAVES)))
-        done = scratch.save(rest.groupBy("bucket", "_by").applyInPandas(lambda rows: pivot(rows.drop(columns="_by")), DRAWN), f"level-{level}")
+        done = scratch.save(rest.groupBy("bucket", "_by").applyInPandas(lambda rows: pivot(rows.drop(columns="_by"), key), drawn), f"level-{level}")
         decided.append(done.where("p <= 0 or p >= 1"))
-    alone = done.where("p > 0 and p < 1").withColumn("p", (draw(-1) < F.col("p")).cast("double"))
+    alone = done.where("p > 0 and p < 1").withColumn("p", (draw(-1, by) < F.col("p")).cast("double"))
     rounded = alone
     for part in decided:
         rounded = rounded.unionByName(part)
     taken = (F.col("copies") + F.col("p").cast("long")) * F.col("size")
-    out = rounded.select("doc_id", "size", "source", taken.alias("taken"))
+    out = rounded.select("doc_id", "size", "source", taken.alias("taken"), *key)
     out = out.join(g, F.col("source").eqNullSafe(F.col("g_source")), "left")
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", *key)
 
 
 def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with every document as often as the mix takes it; rows repeated with one doc_id are one, taken as often as all of them."""
+    """``docs`` with every row as often as the mix takes it, whatever its doc_id; rows equal throughout are one, taken as often as all of them."""
+    rows, key = keyed(docs)
     copies, copy = fresh(docs, "_copies"), fresh(docs, "_copy")
-    taken = mix(spark, docs).where("taken > 0").groupBy("doc_id").agg(F.sum(F.expr("taken div size")).cast("int").alias(copies))
-    kept = docs.join(taken, "doc_id").dropDuplicates(["doc_id"])
+    taken = mix(spark, rows, key=key).where("taken > 0").groupBy(key).agg(F.sum(F.expr("taken div size")).cast("int").alias(copies))
+    kept = rows.join(taken, key).dropDuplicates(key)
     return kept.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)
 
 

@@ -21,14 +21,14 @@ result. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, salted_join, small_batches, table
+from .common import Scratch, keyed, salted_join, small_batches, table
 from .graph import components, looked_up
 
 WORDS = 3
@@ -59,15 +59,16 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``fp`` (the 64 bits as a signed long), and the long columns ``key`` of ``docs``."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps})
+            yield batch[["doc_id", *key]].assign(fp=fps)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    kept = "".join(f", `{k}` long" for k in key)
+    return docs.select(F.col("doc_id").cast("long"), *key, "text").mapInPandas(run, f"doc_id long{kept}, fp long")
 
 
 def half_variants(fps: DataFrame) -> DataFrame:
@@ -164,10 +165,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each class, once; rows with a null doc_id do not stay."""
-    classes = near_duplicates(spark, docs)
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each class: that with the smallest doc_id, null last; of rows with one doc_id, that with the smallest row key."""
+    small_batches(spark)
+    scratch = Scratch(spark, "simhash-first")
+    rows, key = keyed(docs)
+    found = scratch.save(fingerprints(rows, key), "fingerprints")
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *key))
+    first = scratch.save(found.groupBy("fp").agg(place.alias("first")), "distinct")
+    links = scratch.save(fingerprint_links(first.select("fp"), scratch), "links")
+    classed = first.join(components(links, scratch).withColumnRenamed("node", "fp"), "fp", "left")
+    kept = classed.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
+    kept = scratch.save(kept.select(*[F.col("first")[k].alias(k) for k in key]), "kept")
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select(docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,6 +220,19 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert ids and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "personal_data", "source_mix", "best_fit_packing"]
 
 
+def test_stages_tell_rows_apart_without_ids(spark):
+    from marketloom.llm import mixing, simhash
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(0), "en", "a", 1), (None, text(1), "en", "a", 1), (3, text(2), "en", "a", 1), (3, text(3), "en", "a", 1), (3, text(3), "en", "a", 1), (None, text(2), "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_key_a", F.lit("x"))
+    kept = simhash.keep_first(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, text(0)), (0, text(1)), (3, text(2)), (3, text(3))])
+    got = Counter(r.text for r in mixing.mixed(spark, kept).collect())  # 1.5 times the words
+    assert sum(got.values()) == 6 and set(got) == {text(i) for i in range(4)} and set(got.values()) <= {1, 2}
+
+
 def test_ten_queries_are_registered():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
     assert names == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
