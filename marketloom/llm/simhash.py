@@ -14,7 +14,14 @@ of a kind that share a radius-1 variant are within 2 bits, so all that meet so a
 variant as a hub, exactly and without pairs.
 
 Copies share a fingerprint; graphs are over distinct fingerprints, and documents get their class by a
-salted join. Edge cases: a null text has no words, like an empty one: fingerprint zero, linked like any
+salted join.
+
+The pipeline's stage (``keep_first``) links texts that share four fifths or more of their five-word shingles. Few such
+texts are within 3 bits, so candidates meet in bands of shingle minima as well as in the balls' buckets, and each link
+is checked on the whole shingle sets. Crowded buckets are first joined through drawn members, and compared pair by
+pair only across classes that are still apart. Texts with equal shingle sets are one node.
+
+Edge cases: a null text has no words, like an empty one: fingerprint zero, linked like any
 other. A null doc_id gets a class from the others of its class. Repeated rows are repeated in the
 result. An empty table gives no rows.
 """
@@ -36,6 +43,10 @@ RADIUS = 3
 #: Most distinct fingerprints of a bucket that are compared with each other in one task.
 BUCKET = 2048
 CHUNK = 1 << 15
+#: What the pipeline's stage takes for near copies: this share, in fifths, of the shingles of so many words.
+STAGE_WORDS, FIFTHS = 5, 4
+#: Bands of minima and minima in each: texts that share four fifths meet in a band with probability 1 - (1 - 0.8**5)**20 = 0.9996.
+BANDS, MINIMA = 20, 5
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -71,8 +82,8 @@ def fingerprints(docs: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), *key, "text").mapInPandas(run, f"doc_id long{kept}, fp long")
 
 
-def half_variants(fps: DataFrame) -> DataFrame:
-    """``bucket`` (a variant of a half) for every distinct fingerprint ``fp``; halves are kept apart by the low bit."""
+def half_variants(fps: DataFrame, *more: str) -> DataFrame:
+    """``bucket`` (a variant of a half) for every distinct fingerprint ``fp``, with the columns ``more``; halves are kept apart by the low bit."""
     half = F.col("half")
     ball = F.concat(F.array(half), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: half.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     mask = F.lit(0xFFFFFFFF).cast("long")
@@ -82,9 +93,9 @@ def half_variants(fps: DataFrame) -> DataFrame:
             F.struct(F.lit(1).alias("side"), F.col("fp").bitwiseAND(mask).alias("half")),
         )
     )
-    halves = fps.select("fp", sides.alias("s")).select("fp", "s.side", "s.half")
+    halves = fps.select("fp", *more, sides.alias("s")).select("fp", *more, "s.side", "s.half")
     variants = F.when(F.bit_count("half") % 2 == 0, ball).otherwise(F.array(half))
-    return halves.select("fp", "side", F.explode(variants).alias("v")).select((F.col("v") * 2 + F.col("side")).alias("bucket"), "fp")
+    return halves.select("fp", *more, "side", F.explode(variants).alias("v")).select((F.col("v") * 2 + F.col("side")).alias("bucket"), "fp", *more)
 
 
 def linked_in_buckets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,17 +175,107 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_hashes(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted; a text of fewer words is one shingle, one without words has none."""
+    import xxhash
+
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    grams = zip(*[found[i:] for i in range(words)], strict=False) if len(found) >= words else [found]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), seed=42) for g in grams), np.uint64))
+
+
+def band_buckets(hashes: np.ndarray) -> list[int]:
+    """A hash of each band of minima, as a signed long."""
+    import xxhash
+
+    rng = np.random.default_rng(17)
+    flip, odd = rng.integers(0, 1 << 63, (2, BANDS * MINIMA), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        mixed = (hashes[at : at + 2048, None] ^ flip) * odd
+        low = np.minimum(low, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+    raw = [xxhash.xxh64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(low.reshape(BANDS, MINIMA))]
+    return np.array(raw, np.uint64).view(np.int64).tolist()
+
+
+def sketches(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``doc_id``, ``key``, ``node`` (a hash of the shingle set), ``fp`` and ``bands`` of every row."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                sets = shingle_hashes(text)
+                ones = np.unpackbits(sets.byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+                fp = np.packbits(2 * ones > len(sets)).view(">u8")[0]
+                ids = np.array([xxhash.xxh64_intdigest(sets.tobytes(), seed=7), fp], np.uint64).view(np.int64)
+                out.append((int(ids[0]), int(ids[1]), band_buckets(sets)))
+            yield pd.concat([batch[["doc_id", *key]].reset_index(drop=True), pd.DataFrame(out, columns=["node", "fp", "bands"])], axis=1)
+
+    kept = "".join(f", `{k}` long" for k in key)
+    return rows.select(F.col("doc_id").cast("long"), *key, "text").mapInPandas(run, f"doc_id long{kept}, node long, fp long, bands array<long>")
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``node``, ``shingles`` of (node, text)."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_hashes(t).view(np.int64) for t in batch["text"]]})
+
+    return texts.select("node", "text").mapInPandas(run, "node long, shingles array<long>")
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets share ``FIFTHS`` fifths of their union or more."""
+    one = looked_up(pairs, "a", "b", sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")))
+    two = looked_up(one, "b", "a", sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return two.where(5 * both >= FIFTHS * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+
+
+def alike_links(rows: DataFrame, key: Sequence[str], nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node``, ``label`` of the nodes (node, fp, bands, first) that links of shared shingles connect."""
+    reach = nodes.select("node", F.explode("bands").alias("bucket")).unionByName(half_variants(nodes.select("fp", "node"), "node").select("node", "bucket"))
+    sizes = reach.groupBy("bucket").count().where("count > 1").select("bucket")
+    met = scratch.save(reach.join(sizes, "bucket").distinct(), "met")
+    asked = met.select("node").distinct().join(nodes, "node").select("node", *[F.col("first")[k].alias(k) for k in key])
+    texts = rows.join(asked, key).dropDuplicates(["node"])  # equal rows share a key
+    sets = scratch.save(shingle_sets(texts), "sets")
+    links, label = None, None
+    for turn in range(3):
+        seen = met.withColumn("label", F.col("node"))
+        if label is not None:
+            seen = looked_up(met, "node", "bucket", label).withColumn("label", F.coalesce("label", "node"))
+        seen = seen.select("bucket", "node", "label")
+        if turn < 2:  # a drawn member stands for its bucket
+            stand = seen.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "label")).alias("s"))
+            pairs = looked_up(seen, "bucket", "node", stand).where("label <> s.label").select(F.col("node").alias("x"), F.col("s.node").alias("y"))
+        else:
+            other = seen.select("bucket", F.col("node").alias("y"), F.col("label").alias("other"))
+            pairs = seen.join(other, "bucket").where("node < y and label <> other").select(F.col("node").alias("x"), "y")
+        pairs = scratch.save(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"pairs-{turn}")
+        found = scratch.save(alike(pairs, sets), f"links-{turn}")
+        links = found if links is None else links.unionByName(found)
+        label = components(links, scratch, f"labels-{turn}")
+    return label
+
+
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row of each class: that with the smallest doc_id, null last; of rows with one doc_id, that with the smallest row key."""
     small_batches(spark)
     scratch = Scratch(spark, "simhash-first")
     rows, key = keyed(docs)
-    found = scratch.save(fingerprints(rows, key), "fingerprints")
+    found = scratch.save(sketches(rows, key), "sketches")
     place = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *key))
-    first = scratch.save(found.groupBy("fp").agg(place.alias("first")), "distinct")
-    links = scratch.save(fingerprint_links(first.select("fp"), scratch), "links")
-    classed = first.join(components(links, scratch).withColumnRenamed("node", "fp"), "fp", "left")
-    kept = classed.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
+    nodes = scratch.save(found.groupBy("node").agg(place.alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "nodes")
+    label = alike_links(rows, key, nodes, scratch)
+    classed = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    kept = classed.groupBy("label").agg(F.min("first").alias("first"))
     kept = scratch.save(kept.select(*[F.col("first")[k].alias(k) for k in key]), "kept")
     return rows.join(kept, key, "left_semi").dropDuplicates(key).select(docs.columns)
 

@@ -220,6 +220,31 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert ids and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "personal_data", "source_mix", "best_fit_packing"]
 
 
+def test_near_dedup_stage_shares_four_fifths_of_five_word_shingles(spark):
+    from marketloom.llm import simhash
+
+    rng = random.Random(4)
+    rows, shingles = [], []
+    for k in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for j, changes in enumerate((0, 1, 2, 2, 3, 5)):  # each change alters five shingles of 116
+            words = list(base)
+            for at in rng.sample(range(5, 115, 10), changes):
+                words[at] = f"x{k}y{j}z{at}"
+            rows.append((len(rows), " ".join(words), "en", "a", 1))
+            shingles.append({tuple(words[i : i + 5]) for i in range(116)})
+    label = list(range(len(rows)))
+    apart = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                apart += (simhash.fingerprint(rows[i][1], 5) ^ simhash.fingerprint(rows[j][1], 5)).bit_count() > 3
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert apart and len(set(label)) > 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in simhash.keep_first(spark, docs).collect()} == set(label)
+
+
 def test_stages_tell_rows_apart_without_ids(spark):
     from marketloom.llm import mixing, simhash
 
