@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) a new one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else, where one machine runs all, a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="marketloom-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,26 +41,69 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_ROWS = 1_000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows; all rows still go through."""
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``BATCH_ROWS`` rows for what is written within; all rows still go through."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def shared(spark: SparkSession, what: Any) -> Callable[[], Any]:
+    """Broadcast ``what``; the function that a task calls for it.
+
+    Its classes travel as functions do, by value where the package is registered so: executors need not have it installed.
+    """
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(what))
+    return lambda: pickle.loads(packed.value)
+
+
+def worker_wide(name: str, make: Callable[[], Any]) -> Any:
+    """One object for each Python worker, which outlives the task that made it: caches start warm in the next task."""
+    store = sys.modules.setdefault("marketloom_worker", types.ModuleType("marketloom_worker"))
+    if not hasattr(store, name):
+        setattr(store, name, make())
+    return getattr(store, name)
+
+
+class Generations(dict):
+    """A bounded cache: when ``bound`` entries are held the older ones go, except those asked for since."""
+
+    def __init__(self, make: Callable[[Any], Any], bound: int):
+        super().__init__()
+        self.make, self.bound, self.older = make, bound, {}
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.older.get(key)
+        value = self.make(key) if value is None else value
+        if len(self) >= self.bound:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Scratch:
     """Tables written to the shared folder, to cut lineage.
 
-    A written table survives the loss of executors, and is smaller than a checkpoint of rows.
-    Tables that a returned DataFrame still reads stay until the caller calls ``close()``;
-    intermediate ones are dropped as soon as their successor is written.
+    A written table survives the loss of executors, and is smaller than a checkpoint of rows. Intermediate ones are
+    dropped as soon as their successor is written, all of them by ``finish``, whose table the returned DataFrame reads.
+    The caller may call ``close()`` on it; what is left goes when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(base)
+        files.deleteOnExit(base)
 
     def path(self, name: str) -> str:
         return self.paths.setdefault(name, f"{self.base}/{name}")
@@ -64,6 +116,13 @@ class Scratch:
     def drop(self, name: str) -> None:
         self._delete(self.paths.pop(name, None))
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """``df``, written as the only table that stays."""
+        out = self.save(df, "result")
+        for name in [n for n in self.paths if n != "result"]:
+            self.drop(name)
+        return out
+
     def close(self) -> None:
         self._delete(self.base)
         self.paths.clear()
