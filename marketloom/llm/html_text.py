@@ -1,12 +1,12 @@
-"""Main text of web pages, by structure and by differencing with the nearest URLs of the host.
+"""Main text of web pages: differencing with the nearest URLs of the host, on lines whose elements give roles.
 
-``read`` turns html into lines (blocks of text in page order), each with a role: boilerplate (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, by element, role or class), article
-(inside an article or main element), or open. Pages are ordered by host and URL path; each is aligned
-with its nearest neighbours by a longest common subsequence of lines, and open lines in common with one
-are deleted. A neighbour that shares most of a page's article or open lines is a copy of it, which
-tells nothing about the frame, and the next one is asked. Lines of an explicit article
-stay, shared or not: articles quote and repeat each other. On a page with an article, open lines go.
+``read`` turns html into lines (blocks of text in page order), each with a role: boilerplate (menus, headers, footers,
+sidebars, notices, adverts, forms, comments, by element, role or class), article (inside an article or main element), or
+open. Pages of one host with the same lines are one page. Pages are ordered by host and URL path; each is aligned with
+its ``ASKED`` nearest ones by longest common subsequences of lines. A line that ``SHARED`` of them or more have in line
+with it belongs to the frame and is deleted, in articles too, if at least ``FEW`` pages share it there. A passage that a
+few neighbours quote or copy stays. Of a page with an article the other lines go, as markup that says where the text is
+needs no neighbours.
 
 Only 64-bit hashes of lines are shuffled for the alignment, in chunks of ``CHUNK`` pages in URL order that
 overlap by ``REACH``, so a host of any size is spread over tasks and results do not depend on the partitions.
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 CHUNK = 64
-REACH = 3
-COPY_SHARE = 0.8
+REACH = 8
+#: Nearest pages that a page is aligned with, the share of them that makes a line the frame's, and the least number within an article.
+ASKED, SHARED, FEW = 8, 0.5, 3
 RANGE_ROWS = 20_000
 BOILERPLATE, ARTICLE, OPEN = 0, 1, 2
 
@@ -53,9 +54,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 HOLDS = frozenset("ul ol dl table div article section main body".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|nav(?:bar|igation)?|menu|"
-    r"sidebar|side|footer|header|masthead|comments?|disqus|replies|share|sharing|social|related|recommended|subscribe|newsletter|breadcrumbs?|"
-    r"pagination|pager|login|signup|popup|modal|overlay|search|toolbar|copyright|legal)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|cookies?|consent|notices?|nav(?:bar|igation)?|menu|"
+    r"sidebar|footer|header|masthead|comments?|disqus|replies|breadcrumbs?)(?:$|[\s_-])",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -180,25 +180,24 @@ def shared_prefix(a: str, b: str) -> int:
 
 
 def difference(rows: list[tuple[str, str, list[int], list[int]]], i: int) -> list[int]:
-    """Positions of the lines of page ``i`` (host, path, line hashes, roles) that its nearest neighbours share."""
+    """Positions of the lines of page ``i`` (host, path, line hashes, roles) that its nearest pages share."""
     host, path, lines, roles = rows[i]
-    heads, own = runs(lines)
     near = [j for j in range(max(0, i - REACH), min(len(rows), i + REACH + 1)) if j != i and rows[j][0] == host]
     near.sort(key=lambda j: (-shared_prefix(path, rows[j][1]), abs(j - i), j))
-    gone: set[int] = set()
-    asked = 0
+    near = near[:ASKED]
+    votes = [0] * len(lines)
+    held = set(lines)
     for j in near:
-        other, other_own = runs(rows[j][2])
-        common = longest_common(heads, other)
-        positions = [p for a, _ in common for p in own[a]]
-        said = [p for p in range(len(lines)) if roles[p] != BOILERPLATE]
-        if said and sum(roles[p] != BOILERPLATE for p in positions) > COPY_SHARE * len(said):
-            continue  # a copy
-        gone.update(positions)
-        asked += 1
-        if asked == 2:
-            break
-    return sorted(gone)
+        both = held.intersection(rows[j][2])
+        if not both:
+            continue
+        mine = [p for p, x in enumerate(lines) if x in both]  # other lines are in no common subsequence
+        heads, own = runs([lines[p] for p in mine])
+        other, _ = runs([x for x in rows[j][2] if x in both])
+        for a, _ in longest_common(heads, other):
+            for p in own[a]:
+                votes[mine[p]] += 1
+    return [p for p, n in enumerate(votes) if n and n >= SHARED * len(near) and (roles[p] != ARTICLE or n >= FEW)]
 
 
 def split_url(pages: DataFrame) -> DataFrame:
@@ -223,12 +222,13 @@ def hashed_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_lines(parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``key``, ``gone`` (positions): open lines to delete, for pages that have any."""
+    """``key``, ``gone`` (positions of lines to delete), for pages that have any."""
     slim = parts.select("key", "host", "path", "html").mapInArrow(hashed_lines, "key string, host string, path string, lines array<long>, roles array<int>")
-    slim = scratch.save(slim, "lines")
-    located = slim.where("host <> ''").dropDuplicates(["key"])
-    n = max(8, -(-slim.count() // RANGE_ROWS))
-    ranged = located.repartitionByRange(n, "host", "path", "key").sortWithinPartitions("host", "path", "key")
+    slim = scratch.save(slim.withColumn("same", F.xxhash64("host", "lines", "roles")), "lines")
+    pages = slim.where("host <> ''").groupBy("host", "same").agg(F.min("path").alias("path"), F.min("lines").alias("lines"), F.min("roles").alias("roles"))
+    pages = scratch.save(pages, "pages")
+    n = max(8, -(-pages.count() // RANGE_ROWS))
+    ranged = pages.repartitionByRange(n, "host", "path", "same").sortWithinPartitions("host", "path", "same")
     ranged = ranged.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     ranged = scratch.save(ranged, "ranged")  # numbered once
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -236,30 +236,24 @@ def shared_lines(parts: DataFrame, scratch: Scratch) -> DataFrame:
     placed = ranged.join(F.broadcast(starts), "part").withColumn("at", F.col("start") + F.col("nth"))
     chunk, rest = F.floor(F.col("at") / CHUNK).cast("long"), F.col("at") % CHUNK
     chunks = F.array_compact(F.array(chunk, F.when(rest < REACH, chunk - 1), F.when(rest >= CHUNK - REACH, chunk + 1)))
-    spread = placed.select("key", "host", "path", "lines", "roles", "at", F.explode(chunks).alias("chunk"))
+    spread = placed.select("same", "host", "path", "lines", "roles", "at", F.explode(chunks).alias("chunk"))
 
     def align(chunk: pd.DataFrame) -> pd.DataFrame:
         chunk = chunk.sort_values("at")
         rows = list(zip(chunk["host"], chunk["path"], map(list, chunk["lines"]), map(list, chunk["roles"]), strict=True))
         mine = (chunk["at"] // CHUNK == chunk["chunk"]).to_numpy()
-        keys, gone = [], []
-        for i in np.flatnonzero(mine):
-            roles = rows[i][3]
-            found = difference(rows, int(i))
-            if ARTICLE not in roles and any(roles[p] == OPEN for p in found):
-                keys.append(chunk["key"].iloc[i])
-                gone.append([int(p) for p in found if roles[p] == OPEN])
-        return pd.DataFrame({"key": keys, "gone": gone}, dtype=object)
+        found = [(rows[i][0], chunk["same"].iloc[i], difference(rows, int(i))) for i in np.flatnonzero(mine)]
+        return pd.DataFrame([f for f in found if f[2]], columns=["host", "same", "gone"], dtype=object)
 
-    return scratch.save(spread.groupBy("chunk").applyInPandas(align, "key string, gone array<int>"), "gone")
+    gone = scratch.save(spread.groupBy("chunk").applyInPandas(align, "host string, same long, gone array<int>"), "gone")
+    return scratch.save(slim.join(gone, ["host", "same"]).dropDuplicates(["key"]).select("key", "gone"), "gone-by-key")
 
 
 def main_text(html: str, gone: Iterable[int] | None = None) -> str:
     lines = read(html)
-    if any(role == ARTICLE for _, role in lines):
-        return "\n".join(line for line, role in lines if role == ARTICLE)
+    wanted = ARTICLE if any(role == ARTICLE for _, role in lines) else OPEN
     out = set(gone if gone is not None else ())
-    return "\n".join(line for i, (line, role) in enumerate(lines) if role == OPEN and i not in out)
+    return "\n".join(line for i, (line, role) in enumerate(lines) if role == wanted and i not in out)
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -274,7 +268,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
             yield pd.Series([main_text(h, g) for h, g in zip(html, out, strict=True)], dtype=object)
 
     found = parts.join(gone, "key", "left").select("page_id", "url", text_of("html", "gone").alias("text"))
-    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+    return scratch.finish(found.withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def op6_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
