@@ -16,10 +16,12 @@ variant as a hub, exactly and without pairs.
 Copies share a fingerprint; graphs are over distinct fingerprints, and documents get their class by a
 salted join.
 
-The pipeline's stage (``keep_first``) links texts that share four fifths or more of their five-word shingles. Few such
-texts are within 3 bits, so candidates meet in bands of shingle minima as well as in the balls' buckets, and each link
-is checked on the whole shingle sets. Crowded buckets are first joined through drawn members, and compared pair by
-pair only across classes that are still apart. Texts with equal shingle sets are one node.
+The pipeline's stage (``keep_first``) links texts that share four fifths or more of their five-word shingles; texts with
+equal shingle sets are one node. Candidates are fingerprints in each other's balls, and, as few such texts are within 3
+bits, nodes that agree in a band of shingle minima. In each bucket the nodes are held against two drawn members.
+Buckets whose nodes are still in several classes are searched whole, in pairs of blocks: those of over ``BLOCK`` nodes are first dealt anew,
+by every other band beside their own. Minima rule out pairs that are far from alike, and every link is checked on the
+whole shingle sets. No task emits pairs: blocks say which nodes have anything near, and then give forests of links.
 
 Edge cases: a null text has no words, like an empty one: fingerprint zero, linked like any
 other. A null doc_id gets a class from the others of its class. Repeated rows are repeated in the
@@ -45,8 +47,11 @@ BUCKET = 2048
 CHUNK = 1 << 15
 #: What the pipeline's stage takes for near copies: this share, in fifths, of the shingles of so many words.
 STAGE_WORDS, FIFTHS = 5, 4
-#: Bands of minima and minima in each: texts that share four fifths meet in a band with probability 1 - (1 - 0.8**5)**20 = 0.9996.
-BANDS, MINIMA = 20, 5
+#: Bands of minima and minima in each: texts that share four fifths meet in a band with probability 1 - (1 - 0.8**4)**14 = 0.9994.
+BANDS, MINIMA = 14, 4
+#: Share of equal minima under which a pair is not checked: 3.4 standard errors below four fifths.
+NEAR = 0.62
+BLOCK = 512
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -162,9 +167,9 @@ def fingerprint_links(fps: DataFrame, scratch: Scratch, bucket: int = BUCKET) ->
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``doc_id``, ``fingerprint``, ``component_id`` for every row of ``docs`` (doc_id, text)."""
-    small_batches(spark)
     scratch = Scratch(spark, "simhash")
-    found = scratch.save(fingerprints(docs), "fingerprints")
+    with small_batches(spark):
+        found = scratch.save(fingerprints(docs), "fingerprints")
     first = scratch.save(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     links = scratch.save(fingerprint_links(first.select("fp"), scratch, bucket), "links")
     labels = components(links, scratch).withColumnRenamed("node", "fp")
@@ -172,7 +177,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET)
     smallest = classed.groupBy("label").agg(F.min("first").alias("component_id"))
     component = scratch.save(looked_up(classed, "label", "fp", smallest).select("fp", "component_id"), "components")
     out = salted_join(found, component, "fp", F.col("doc_id"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return scratch.finish(out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
 def shingle_hashes(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
@@ -186,22 +191,19 @@ def shingle_hashes(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), seed=42) for g in grams), np.uint64))
 
 
-def band_buckets(hashes: np.ndarray) -> list[int]:
-    """A hash of each band of minima, as a signed long."""
-    import xxhash
-
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of the shingles' hashes under each of ``BANDS * MINIMA`` mixings."""
     rng = np.random.default_rng(17)
     flip, odd = rng.integers(0, 1 << 63, (2, BANDS * MINIMA), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     low = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):
         mixed = (hashes[at : at + 2048, None] ^ flip) * odd
         low = np.minimum(low, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
-    raw = [xxhash.xxh64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(low.reshape(BANDS, MINIMA))]
-    return np.array(raw, np.uint64).view(np.int64).tolist()
+    return low
 
 
 def sketches(rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``doc_id``, ``key``, ``node`` (a hash of the shingle set), ``fp`` and ``bands`` of every row."""
+    """``doc_id``, ``key``, ``node`` (a hash of the shingle set), ``fp``, ``bands`` and ``sketch`` (16 bits of each minimum) of every row."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -212,12 +214,14 @@ def sketches(rows: DataFrame, key: Sequence[str]) -> DataFrame:
                 sets = shingle_hashes(text)
                 ones = np.unpackbits(sets.byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
                 fp = np.packbits(2 * ones > len(sets)).view(">u8")[0]
-                ids = np.array([xxhash.xxh64_intdigest(sets.tobytes(), seed=7), fp], np.uint64).view(np.int64)
-                out.append((int(ids[0]), int(ids[1]), band_buckets(sets)))
-            yield pd.concat([batch[["doc_id", *key]].reset_index(drop=True), pd.DataFrame(out, columns=["node", "fp", "bands"])], axis=1)
+                low = minima(sets)
+                raw = [xxhash.xxh64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(low.reshape(BANDS, MINIMA))]
+                ids = np.array([xxhash.xxh64_intdigest(sets.tobytes(), seed=7), fp, *raw], np.uint64).view(np.int64).tolist()
+                out.append((ids[0], ids[1], ids[2:], (low & np.uint64(0xFFFF)).astype(np.uint16).tobytes()))
+            yield pd.concat([batch[["doc_id", *key]].reset_index(drop=True), pd.DataFrame(out, columns=["node", "fp", "bands", "sketch"])], axis=1)
 
     kept = "".join(f", `{k}` long" for k in key)
-    return rows.select(F.col("doc_id").cast("long"), *key, "text").mapInPandas(run, f"doc_id long{kept}, node long, fp long, bands array<long>")
+    return rows.select(F.col("doc_id").cast("long"), *key, "text").mapInPandas(run, f"doc_id long{kept}, node long, fp long, bands array<long>, sketch binary")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -230,53 +234,153 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInPandas(run, "node long, shingles array<long>")
 
 
+def with_both(pairs: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) of nodes with a column of ``found`` (node, ...) for both."""
+    one = looked_up(pairs, "a", "b", found.select(F.col("node").alias("a"), F.col(column).alias("of_a")))
+    return looked_up(one, "b", "a", found.select(F.col("node").alias("b"), F.col(column).alias("of_b")))
+
+
+def near_by_sketch(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that agree in a share ``NEAR`` of their minima."""
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
+        return pd.Series((x == y).mean(axis=1) >= NEAR)
+
+    return with_both(pairs, nodes, "sketch").where(near("of_a", "of_b")).select("a", "b")
+
+
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose shingle sets share ``FIFTHS`` fifths of their union or more."""
-    one = looked_up(pairs, "a", "b", sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")))
-    two = looked_up(one, "b", "a", sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return two.where(5 * both >= FIFTHS * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+    found = with_both(pairs, sets, "shingles").where(5 * both >= FIFTHS * (F.size("of_a") + F.size("of_b") - both))
+    return found.select("a", "b")
+
+
+def in_blocks(members: DataFrame, payload: str) -> DataFrame:
+    """Pairs of blocks of each bucket of ``members`` (bucket, node, label, and ``payload``): ``bucket``, ``one``, ``other``.
+
+    Both are lists of (node, label, payload) of at most about ``BLOCK``; ``other`` is empty where a block meets itself.
+    """
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), (F.min("label") < F.max("label")).alias("apart"))
+    cut = looked_up(members, "bucket", "node", sizes.where("apart")).where("apart")
+    own = F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int")
+    cut = cut.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    row = F.struct("node", "label", payload)
+    cut = cut.groupBy("bucket", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
+    lists = cut.agg(F.collect_list(F.when(F.col("own") <= F.col("with"), row)).alias("one"), F.collect_list(F.when(F.col("own") > F.col("with"), row)).alias("other"))
+    return lists.where("low = high or (size(one) > 0 and size(other) > 0)").select("bucket", "one", "other")
+
+
+def apart(one: list, other: list) -> tuple[list, int, np.ndarray]:
+    """Members of a pair of blocks, the number of rows that are held against the columns after it, and which pairs are in two classes."""
+    rows = [*one, *(other or [])]
+    label = np.array([r["label"] for r in rows], np.int64)
+    ask = label[:, None] != label[None]
+    if len(other):
+        ask[: len(one), : len(one)] = ask[len(one) :, len(one) :] = False
+    return rows, len(one), ask
+
+
+def with_near(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Members of a bucket that agree in a share ``NEAR`` of minima with one of another class."""
+    for batch in batches:
+        out = []
+        for bucket, one, other in zip(batch["bucket"], batch["one"], batch["other"], strict=True):
+            rows, _, ask = apart(list(one), list(other))
+            sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint16).reshape(len(rows), -1)
+            near = [ask[i] & ((sketch == sketch[i]).mean(axis=1) >= NEAR) for i in range(len(rows))]
+            out += [(bucket, r["node"], r["label"]) for r, n in zip(rows, near, strict=True) if n.any()]
+        yield pd.DataFrame(out, columns=["bucket", "node", "label"], dtype="int64")
+
+
+def linked_by_sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A forest of the links between classes within pairs of blocks, by the exact shares of their shingle sets."""
+    for batch in batches:
+        edges: list[tuple[int, int]] = []
+        for one, other in zip(batch["one"], batch["other"], strict=True):
+            rows, _, ask = apart(list(one), list(other))
+            size = np.array([len(r["shingles"]) for r in rows])
+            at = np.repeat(np.arange(len(rows)), size)
+            _, column, many = np.unique(np.concatenate([r["shingles"] for r in rows]), return_inverse=True, return_counts=True)
+            some = many[column] > 1  # shingles of one row alone are in no intersection
+            at, column = at[some], np.unique(column[some], return_inverse=True)[1]
+            both = np.zeros((len(rows), len(rows)), np.float32)
+            for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+                here = (column >= low) & (column < low + 4096)
+                held = np.zeros((len(rows), 4096), np.float32)
+                held[at[here], column[here] - low] = 1
+                both += held @ held.T
+            hit = np.argwhere(np.triu(ask & (5 * both >= FIFTHS * (size[:, None] + size[None] - both)), 1))
+            root = {r["label"]: r["label"] for r in rows}
+            for i, j in hit:
+                x, y = root[rows[i]["label"]], root[rows[j]["label"]]
+                if x != y:
+                    root = {k: x if v == y else v for k, v in root.items()}
+                    edges.append((rows[i]["node"], rows[j]["node"]))
+        yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
 def alike_links(rows: DataFrame, key: Sequence[str], nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``node``, ``label`` of the nodes (node, fp, bands, first) that links of shared shingles connect."""
-    reach = nodes.select("node", F.explode("bands").alias("bucket")).unionByName(half_variants(nodes.select("fp", "node"), "node").select("node", "bucket"))
-    sizes = reach.groupBy("bucket").count().where("count > 1").select("bucket")
-    met = scratch.save(reach.join(sizes, "bucket").distinct(), "met")
-    asked = met.select("node").distinct().join(nodes, "node").select("node", *[F.col("first")[k].alias(k) for k in key])
-    texts = rows.join(asked, key).dropDuplicates(["node"])  # equal rows share a key
-    sets = scratch.save(shingle_sets(texts), "sets")
-    links, label = None, None
-    for turn in range(3):
-        seen = met.withColumn("label", F.col("node"))
-        if label is not None:
-            seen = looked_up(met, "node", "bucket", label).withColumn("label", F.coalesce("label", "node"))
-        seen = seen.select("bucket", "node", "label")
-        if turn < 2:  # a drawn member stands for its bucket
-            stand = seen.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "label")).alias("s"))
-            pairs = looked_up(seen, "bucket", "node", stand).where("label <> s.label").select(F.col("node").alias("x"), F.col("s.node").alias("y"))
-        else:
-            other = seen.select("bucket", F.col("node").alias("y"), F.col("label").alias("other"))
-            pairs = seen.join(other, "bucket").where("node < y and label <> other").select(F.col("node").alias("x"), "y")
-        pairs = scratch.save(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"pairs-{turn}")
-        found = scratch.save(alike(pairs, sets), f"links-{turn}")
-        links = found if links is None else links.unionByName(found)
-        label = components(links, scratch, f"labels-{turn}")
-    return label
+    """``node``, ``label`` of the nodes (node, fp, bands, sketch, first) that links of shared shingles connect."""
+
+    def sets_of(asked: DataFrame, name: str) -> DataFrame:
+        asked = asked.join(nodes, "node").select("node", *[F.col("first")[k].alias(k) for k in key])
+        return scratch.save(shingle_sets(rows.join(asked, key).dropDuplicates(["node"])), name)  # equal rows share a key
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    # within balls of fingerprints: nodes of one fingerprint with its first, and those that stand for linked ones
+    stand = scratch.save(nodes.groupBy("fp").agg(F.min("node").alias("stand")), "stand")
+    of_fp = looked_up(nodes.select("fp", "node"), "fp", "node", stand).where("node <> stand").select(*ordered("node", "stand"))
+    balls = fingerprint_links(stand.select("fp"), scratch)
+    for c in ("a", "b"):
+        balls = balls.join(stand.select(F.col("fp").alias(c), F.col("stand").alias(f"node_{c}")), c)
+    balls = balls.select(*ordered("node_a", "node_b"))
+    # in bands: each node with two drawn ones of its bucket
+    reach = nodes.select("node", "bands", F.posexplode("bands").alias("band", "bucket"))
+    sizes = reach.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    met = scratch.save(looked_up(reach, "bucket", "node", sizes).where("many > 1").select("bucket", "node", "band", "many"), "met")
+    drawn = [F.min_by("node", F.xxhash64("node", F.lit(turn))).alias(f"drawn_{turn}") for turn in range(2)]
+    stars = looked_up(met.select("bucket", "node"), "bucket", "node", met.groupBy("bucket").agg(*drawn))
+    stars = stars.select("node", F.explode(F.array("drawn_0", "drawn_1")).alias("y")).where("node <> y").select(*ordered("node", "y"))
+    pairs = of_fp.unionByName(balls).unionByName(stars).distinct()
+    pairs = scratch.save(near_by_sketch(scratch.save(pairs, "pairs"), nodes), "near-pairs")
+    links = scratch.save(alike(pairs, sets_of(ends(pairs), "sets")), "links")
+    label = scratch.save(components(links, scratch, "star-labels"), "star-label")
+    # buckets that are still apart, whole; crowded ones dealt anew by the other bands
+    seen = looked_up(met, "node", "bucket", label).withColumn("label", F.coalesce("label", "node"))
+    split = seen.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("apart")).where("apart")
+    seen = looked_up(seen, "bucket", "node", split).where("apart").drop("apart")
+    dealt = looked_up(seen.where(F.col("many") > BLOCK), "node", "bucket", nodes.select("node", "bands"))
+    dealt = dealt.select("bucket", "band", "node", "label", F.posexplode("bands").alias("again", "by")).where("again <> band")
+    dealt = dealt.select(F.xxhash64("bucket", "again", "by").alias("bucket"), "node", "label")
+    members = scratch.save(seen.where(F.col("many") <= BLOCK).select("bucket", "node", "label").unionByName(dealt), "members")
+    sketch = nodes.select("node", "sketch")
+    near = in_blocks(looked_up(members, "node", "bucket", sketch), "sketch").mapInPandas(with_near, "bucket long, node long, label long")
+    near = scratch.save(near.distinct(), "near")
+    sets = sets_of(near.select("node").distinct(), "rest-sets")
+    rest = in_blocks(looked_up(near, "node", "bucket", sets), "shingles").mapInPandas(linked_by_sets, "a long, b long")
+    rest = scratch.save(rest.distinct(), "rest-links")
+    return components(links.unionByName(rest), scratch, "all-labels")
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row of each class: that with the smallest doc_id, null last; of rows with one doc_id, that with the smallest row key."""
-    small_batches(spark)
     scratch = Scratch(spark, "simhash-first")
     rows, key = keyed(docs)
-    found = scratch.save(sketches(rows, key), "sketches")
+    with small_batches(spark):
+        found = scratch.save(sketches(rows, key), "sketches")
     place = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *key))
-    nodes = scratch.save(found.groupBy("node").agg(place.alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "nodes")
-    label = alike_links(rows, key, nodes, scratch)
+    nodes = scratch.save(found.groupBy("node").agg(place.alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "nodes")
+    with small_batches(spark):
+        label = scratch.save(alike_links(rows, key, nodes, scratch), "labels")
     classed = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     kept = classed.groupBy("label").agg(F.min("first").alias("first"))
-    kept = scratch.save(kept.select(*[F.col("first")[k].alias(k) for k in key]), "kept")
+    kept = scratch.finish(kept.select(*[F.col("first")[k].alias(k) for k in key]))
     return rows.join(kept, key, "left_semi").dropDuplicates(key).select(docs.columns)
 
 
