@@ -7,7 +7,7 @@ script; its score in each is the sum over its letters. The Viterbi path through
 that labels most letters, and its score that share of letters.
 
 The model is fitted on a sample of labelled documents of at most about ``sample`` per language, chosen by
-hash: the bound is that parameter. Everything else covers whole texts of all rows.
+hash, of the commonest ``MOST_LANGS`` languages: these bounds are parameters. Everything else covers whole texts of all rows.
 
 Edge cases: a text that is null, empty or has no letter is ``und`` with score 0; so is every text if
 nothing could be learned. Ties go to the first language by code point. Words in a script that no
@@ -26,10 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, table
+from .common import Scratch, fresh, shared, small_batches, table
 
 BITS = 16
 SAMPLE = 2_000
+#: Most values of lang that are learned, the commonest: tables of the driver and of tasks are bounded by it.
+MOST_LANGS = 128
 FOLDS = 5
 PENALTY = 8.0
 #: Of a language's letters, the share from which a script counts as its own.
@@ -177,11 +179,11 @@ def fold() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from text and lang of labelled documents outside fold 0, about ``sample`` per language at most."""
-    small_batches(docs.sparkSession)
+def fit(docs: DataFrame, sample: int = SAMPLE, most: int = MOST_LANGS) -> Model:
+    """Learn from text and lang of labelled documents outside fold 0: the ``most`` commonest values, about ``sample`` documents of each."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0)).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    by_lang = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang")
+    counts = {r["lang"]: r["count"] for r in by_lang.limit(most).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((OTHER + 1, 0), np.float32))
@@ -201,9 +203,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         i, j = table.nonzero()
         yield pd.DataFrame({"lang": i, "feature": j, "n": table[i, j]})
 
-    sampled = labelled.where(draw < shares[F.col("lang")]).select("lang", "text")
+    sampled = labelled.where(F.col("lang").isin(langs)).where(draw < shares[F.col("lang")]).select("lang", "text")
     sums = sampled.mapInPandas(count, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    got = sums.toPandas()  # at most languages * (2 ** BITS + scripts) rows
+    with small_batches(docs.sparkSession):
+        got = sums.toPandas()  # at most languages * (2 ** BITS + scripts) rows
     counted = np.zeros((len(langs), (1 << BITS) + OTHER + 1))
     counted[got["lang"], got["feature"]] = got["n"]
     grams, scripts = counted[:, : 1 << BITS] + 0.5, counted[:, 1 << BITS :]
@@ -215,13 +218,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def identified(spark: SparkSession, model: Model, penalty: float = PENALTY) -> Column:
     """Struct (lang_pred, score, spans) of the column ``text``."""
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # languages * 2 ** BITS numbers
+    learned = shared(spark, model)  # at most MOST_LANGS * 2 ** BITS numbers
 
     @F.pandas_udf("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = learned()
         for texts in batches:
-            found = list(judge(shared.value, texts, penalty))
+            found = list(judge(own, texts, penalty))
             yield pd.DataFrame(found, columns=["lang_pred", "score", "spans"])
 
     return run(F.col("text"))
@@ -232,14 +235,16 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -
     model = model or fit(docs)
     rows = docs.select("doc_id", "text").withColumn("found", identified(spark, model))
     held_out = F.coalesce(fold() == 0, F.lit(True))
-    return rows.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "found.lang_pred", "found.score", "found.spans")
+    with small_batches(spark):
+        return Scratch(spark, "language").finish(rows.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "found.lang_pred", "found.score", "found.spans"))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that are in no language."""
     name = fresh(docs, "_language")
     found = docs.withColumn(name, identified(spark, fit(docs)))
-    return found.where(F.col(name)["lang_pred"] != "und").select(docs.columns)
+    with small_batches(spark):
+        return Scratch(spark, "language").finish(found.where(F.col(name)["lang_pred"] != "und").select(docs.columns))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
