@@ -19,16 +19,19 @@ are read each for itself; a null doc_id is kept. An empty table gives no rows. O
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, table, thinned
+from .common import Scratch, fresh, shared, small_batches, table, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -36,8 +39,10 @@ TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 SPELLED = r"\(at\)|\[at\]"
 TRIGGER = rf"[0-9@]|{SPELLED}"
 WINDOW, STRIDE = 96, 48
-SAMPLE_DOCS, SAMPLE_WINDOWS = 60_000, 1_500
-STEPS, BATCH, HIDDEN, EMBED, RATE = 350, 48, 16, 12, 0.02
+SAMPLE_DOCS, SAMPLE_WINDOWS, OF_TEXT = 60_000, 400, 2
+STEPS, BATCH, HIDDEN, EMBED, RATE = 500, 48, 16, 12, 0.02
+#: Ways to rewrite a span of each kind that the network is trained on.
+WAYS = (0, 1, 2, 3)
 SURE = 0.6
 Span = tuple[str, int, int]
 
@@ -313,9 +318,9 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> lis
     return out
 
 
-def rewritten(rng: np.random.Generator, kind: str, text: str) -> str:
+def rewritten(rng: np.random.Generator, kind: str, text: str, ways: tuple = WAYS) -> str:
     """Another way to write a span, which the patterns may miss."""
-    way = int(rng.integers(0, 4))
+    way = int(rng.choice(ways))
     if kind == "email":
         return text.replace("@", (" @ ", "(at)", " [at] ", " (at) ")[way], 1)
     if kind == "ip":
@@ -327,7 +332,7 @@ def rewritten(rng: np.random.Generator, kind: str, text: str) -> str:
     return (f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"{digits[:3]}-{digits[3:6]}-{digits[6:]}", f"{digits[:3]}.{digits[3:6]}.{digits[6:]}", f"+{digits[:3]}/{digits[3:6]}/{digits[6:]}")[way]
 
 
-def examples(windows: list[tuple[str, list[Span]]], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def examples(windows: list[tuple[str, list[Span]]], seed: int = 5, ways: tuple = WAYS) -> tuple[np.ndarray, np.ndarray]:
     """Encoded windows and tags: each window as it is, and with its spans rewritten or doubled."""
     rng = np.random.default_rng(seed)
     ids, tags = [], []
@@ -350,7 +355,7 @@ def examples(windows: list[tuple[str, list[Span]]], seed: int = 5) -> tuple[np.n
         for kind, a, b in spans:
             if a < at:
                 continue
-            new = text[a:b] + " " + text[a:b] if kind == "card" and rng.random() < 0.3 else rewritten(rng, kind, text[a:b])
+            new = text[a:b] + " " + text[a:b] if kind == "card" and rng.random() < 0.3 else rewritten(rng, kind, text[a:b], ways)
             other += text[at:a]
             if kind == "card" and len(new) == 2 * (b - a) + 1:
                 moved += [(kind, len(other), len(other) + b - a), (kind, len(other) + b - a + 1, len(other) + len(new))]
@@ -362,31 +367,39 @@ def examples(windows: list[tuple[str, list[Span]]], seed: int = 5) -> tuple[np.n
     return np.stack(ids), np.stack(tags)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE_WINDOWS) -> Tagger | None:
-    """Train on at most ``sample`` windows of about ``SAMPLE_DOCS`` documents, both drawn by hash."""
+def fit(docs: DataFrame, sample: int = SAMPLE_WINDOWS, ways: tuple = WAYS) -> Tagger | None:
+    """Train on windows of about ``SAMPLE_DOCS`` documents: at most ``sample`` of each kind, and as many without a span.
 
-    @F.pandas_udf("array<struct<text:string,kinds:array<string>,places:array<int>>>")
+    Windows are drawn by hash, from all of a text: ``OF_TEXT`` of each kind at most, so that a list of numbers does not fill the sample.
+    """
+
+    @F.pandas_udf("array<struct<kind:string,text:string,kinds:array<string>,places:array<int>>>")
     def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = []
             for text in texts:
                 base, rows = base_spans(text), []
-                for at in window_starts(text)[:4]:  # a long list of numbers does not fill the sample
-                    if re.search(SPELLED, text[at : at + WINDOW]):
+                starts, ends = [a for _, a, _ in base], list(accumulate((b for _, _, b in base), max))
+                seen: dict[str, int] = {}
+                for at in sorted(window_starts(text), key=lambda at: crc32(f"{at} {text[at : at + WINDOW]}".encode())):
+                    own = [s for s in base[bisect_right(ends, at) : bisect_left(starts, at + WINDOW)] if s[2] > at]
+                    kind = own[0][0] if own else "none"
+                    cut = any(a < at or b > at + WINDOW for _, a, b in own)
+                    if cut or seen.get(kind, 0) >= OF_TEXT or re.search(SPELLED, text[at : at + WINDOW]):
                         continue
-                    own = [(k, a - at, b - at) for k, a, b in base if a >= at and b <= at + WINDOW]
-                    if not any(a < at < b or a < at + WINDOW < b for _, a, b in base):
-                        rows.append({"text": text[at : at + WINDOW], "kinds": [s[0] for s in own], "places": [x for s in own for x in s[1:]]})
+                    seen[kind] = seen.get(kind, 0) + 1
+                    rows.append({"kind": kind, "text": text[at : at + WINDOW], "kinds": [s[0] for s in own], "places": [x for s in own for x in (s[1] - at, s[2] - at)]})
                 out.append(rows)
             yield pd.Series(out)
 
     some = thinned(docs, SAMPLE_DOCS, "doc_id").where(F.col("text").rlike(TRIGGER)).select(F.explode(windows("text")).alias("w"))
-    drawn = some.select("w.*").orderBy(F.xxhash64("text"), "text").limit(sample).collect()
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("text"), "text"))
+    drawn = some.select("w.*").withColumn("nth", nth).where(F.col("nth") <= sample).orderBy("kind", "nth").collect()  # `sample` of each kind
     got = [(r["text"], [(k, r["places"][2 * i], r["places"][2 * i + 1]) for i, k in enumerate(r["kinds"])]) for r in drawn]
     if not any(spans for _, spans in got):
         return None
     tagger = Tagger.new()
-    tagger.train(*examples(got))
+    tagger.train(*examples(got, ways=ways))
     return tagger
 
 
@@ -395,16 +408,16 @@ def spans_of(spark: SparkSession, tagger: Tagger | None) -> Column:
 
     Null where the text has no ``TRIGGER``.
     """
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(tagger)  # a few thousand numbers
+    learned = shared(spark, tagger)  # a few thousand numbers
     kind = "array<struct<kind:string,start:int,end:int>>"
 
     @F.pandas_udf(f"base {kind}, added {kind}, redacted string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tagger = learned()
         for texts in batches:
             whole = [t or "" for t in texts]
             base = [base_spans(t) if t else [] for t in whole]
-            more = added_spans(shared.value, whole, base) if shared.value else [[] for _ in whole]
+            more = added_spans(tagger, whole, base) if tagger else [[] for _ in whole]
             hidden = [redact(t, b + m) if b or m else t for t, b, m in zip(whole, base, more, strict=True)]
             yield pd.DataFrame({"base": base, "added": more, "redacted": hidden})
 
@@ -423,7 +436,8 @@ def redact(text: str, spans: list[Span]) -> str:
 def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``doc_id, base, added`` (arrays of kind, start, end) for every row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("found", spans_of(spark, fit(docs)))
-    return rows.select("doc_id", "found.base", "found.added")
+    with small_batches(spark):
+        return Scratch(spark, "pii").finish(rows.select("doc_id", "found.base", "found.added"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -434,7 +448,8 @@ def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    with small_batches(spark):
+        return Scratch(spark, "pii").finish(out.select(docs.columns))
 
 
 def joined(spans: Column) -> Column:
