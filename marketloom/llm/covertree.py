@@ -270,7 +270,7 @@ def near_pairs(spark: SparkSession, rows: DataFrame, least: float = LEAST, cell:
     classed = scratch.save(classed.select(F.col("point").alias("key"), n_links.alias("n_links"), "component_id"), "classed")
     out = salted_join(slim.select("vec_id", "key"), classed, "key", F.col("vec_id"))
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+    return scratch.finish(out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept")))
 
 
 def op9_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

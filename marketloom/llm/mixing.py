@@ -119,7 +119,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: f
     g = goal.withColumnRenamed("source", "g_source").select("g_source", "source_size", "target")
     wanted = sizes.join(g, F.col("source").eqNullSafe(F.col("g_source")), "left")
     rate = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
-    bucket = F.pmod(F.xxhash64(*(key or ["doc_id"]), F.lit("bucket")), F.lit(leaves)).cast("long")
+    bucket = F.pmod(F.xxhash64(*(key or ["doc_id", "source", "size"]), F.lit("bucket")), F.lit(leaves)).cast("long")
     start = wanted.select(
         "doc_id", "source", "size", F.floor(rate).cast("long").alias("copies"),
         (rate - F.floor(rate)).alias("p"), draw(0, by).alias("u"), bucket.alias("bucket"), *key,
@@ -141,7 +141,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: f
     taken = (F.col("copies") + F.col("p").cast("long")) * F.col("size")
     out = rounded.select("doc_id", "size", "source", taken.alias("taken"), *key)
     out = out.join(g, F.col("source").eqNullSafe(F.col("g_source")), "left")
-    return out.select("doc_id", "size", "source_size", "target", "taken", *key)
+    return scratch.finish(out.select("doc_id", "size", "source_size", "target", "taken", *key))
 
 
 def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marketloom.llm import language, mixing, packing, pii, simhash
+from marketloom.llm.common import Scratch
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = "size long, part string, fp string, label string, found string, score string, _salt int, _language string, _found string, _copies string"
@@ -117,23 +118,41 @@ def best_fit_one_by_one(lengths, capacity):
     return len(gaps)
 
 
-@settings(max_examples=150, deadline=None)
-@given(lengths=st.lists(st.integers(1, 20), max_size=60))
-def test_sweeps_pack_as_best_fit_decreasing(lengths):
-    counts = Counter(lengths)
-    moves, opened = packing.sweeps(dict(counts), 20)
-    assert opened == best_fit_one_by_one(lengths, 20)
-    filled: dict[int, list] = defaultdict(list)
-    for m in moves:
-        for i in range(m.count):
-            filled[m.sequence + i // m.each].append((m.offset + i % m.each * m.length, m.length))
-    assert Counter(x for places in filled.values() for _, x in places) == counts
-    for places in filled.values():
-        at = 0
-        for offset, length in sorted(places):
-            assert offset == at
-            at += length
-        assert at <= 20
+def matched_one_by_one(sizes, slot):
+    stack, pairs = [], set()
+    for i, is_slot in enumerate(slot):
+        if is_slot:
+            stack.append(i)
+        elif stack:
+            pairs.add((stack.pop(), i))
+    return pairs
+
+
+@settings(max_examples=200, deadline=None)
+@given(rows=st.lists(st.tuples(st.integers(1, 9), st.booleans()), max_size=40))
+def test_sweep_gives_each_piece_its_successor(rows):
+    rows = sorted(rows, key=lambda r: (-r[0], not r[1]))
+    slot = np.array([r[1] for r in rows], bool)
+    slots, mates, alone, left = packing.sweep_heights(slot)
+    assert set(zip(slots.tolist(), mates.tolist())) == matched_one_by_one([r[0] for r in rows], slot)
+    assert sorted([*slots, *mates, *alone, *left]) == list(range(len(rows)))
+
+
+@pytest.mark.parametrize("kind", ["mixed", "ties", "short", "few"])
+def test_sweeps_pack_like_best_fit_decreasing(spark, kind):
+    rng = np.random.default_rng(3)
+    lengths = {
+        "mixed": np.minimum(200, rng.lognormal(3.2, 1.2, 3000).astype(int) + 1),
+        "ties": rng.choice([200, 101, 67, 50, 3], 2000),
+        "short": rng.integers(1, 4, 5000),
+        "few": np.array([120, 90, 80, 70, 7, 1]),
+    }[kind]
+    rows = [(None if i == 5 else i, 0, 0, int(n), i, i) for i, n in enumerate(lengths)]
+    scratch = Scratch(spark, "packing-test")
+    found = scratch.save(spark.createDataFrame(rows, packing.ITEM), "pieces")
+    got = packing.pack(found, scratch, 200, range_rows=500).collect()  # several ranges: what is left meets across them
+    assert Counter((r.doc_id, r.length) for r in got) == Counter((r[0], r[3]) for r in rows)
+    assert packed_is_sound(got, 200) <= best_fit_one_by_one(lengths.tolist(), 200) * 1.01 + 1
 
 
 # SimHash
@@ -176,7 +195,7 @@ def test_planted_fingerprints_meet_within_three_bits(spark):
                 x ^= 1 << b
             fps.add(x)
     signed = sorted(np.array(list(fps), np.uint64).view(np.int64).tolist())
-    from marketloom.llm.common import Scratch
+
     from marketloom.llm.graph import components
 
     wanted = {}
