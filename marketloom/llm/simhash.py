@@ -1,17 +1,16 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Fingerprints link at ``RADIUS`` = 3 or fewer differing bits. Then they differ in at most one bit in
-the upper or in the lower half, so each half is searched with a ball of half the radius, rounded
-down: 1. Of two halves that differ in one bit, one has an even number of ones, and it is enough that
-this one emits its ball (33 variants) and the other itself; equal halves meet as themselves. A
-fingerprint so emits 34 variants on average. Variants are shuffled and met fingerprints verified on
-all 64 bits. (Balls on all 64 bits at once need radius 2 against radius 1: 65 or 2,081 variants.)
-
-Buckets of over ``BUCKET`` distinct fingerprints are not compared pair by pair: their members emit
-whole balls on 64 bits, radius 1 from fingerprints with an odd number of ones and radius 2 from the
-others. At a variant that both kinds reach, every odd one is within 3 bits of every even one, and two
-of a kind that share a radius-1 variant are within 2 bits, so all that meet so are linked through the
-variant as a hub, exactly and without pairs.
+Fingerprints link at ``RADIUS`` = 3 or fewer differing bits. An odd radius has no middle, so one of ``MASKS`` blocks of bits is left
+out at a time: two fingerprints that differ in 3 bits differ in 2 at most outside of a block that holds one of them.
+For each block every fingerprint emits all variants within half of that, 1 bit, of its other bits (132 variants for
+three blocks). Two fingerprints within 2 bits there share a variant. Variants are shuffled; fingerprints that collide are
+verified on all 64 bits, and pairs deduplicated.
+
+Buckets of two are a pair. Larger ones are compared in a task, up to ``BUCKET`` distinct fingerprints. Beyond, pairs would be
+too many, and the exact way is whole balls on 64 bits: radius 1 from fingerprints with an odd number of ones and radius 2
+(2,081 variants) from the others. At a variant that both kinds reach, every odd one is within 3 bits of every even one, and
+two of a kind that share a radius-1 variant are within 2 bits, so all that meet so are linked through the
+variant as a hub, without pairs.
 
 Copies share a fingerprint; graphs are over distinct fingerprints, and documents get their class by a
 salted join.
@@ -42,6 +41,8 @@ from .graph import components, looked_up
 
 WORDS = 3
 RADIUS = 3
+#: Blocks of bits that are left out, one at a time.
+MASKS = 3
 #: Most distinct fingerprints of a bucket that are compared with each other in one task.
 BUCKET = 2048
 CHUNK = 1 << 15
@@ -87,20 +88,17 @@ def fingerprints(docs: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), *key, "text").mapInPandas(run, f"doc_id long{kept}, fp long")
 
 
-def half_variants(fps: DataFrame, *more: str) -> DataFrame:
-    """``bucket`` (a variant of a half) for every distinct fingerprint ``fp``, with the columns ``more``; halves are kept apart by the low bit."""
-    half = F.col("half")
-    ball = F.concat(F.array(half), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: half.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    mask = F.lit(0xFFFFFFFF).cast("long")
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("fp", 32).alias("half")),
-            F.struct(F.lit(1).alias("side"), F.col("fp").bitwiseAND(mask).alias("half")),
-        )
-    )
-    halves = fps.select("fp", *more, sides.alias("s")).select("fp", *more, "s.side", "s.half")
-    variants = F.when(F.bit_count("half") % 2 == 0, ball).otherwise(F.array(half))
-    return halves.select("fp", *more, "side", F.explode(variants).alias("v")).select((F.col("v") * 2 + F.col("side")).alias("bucket"), "fp", *more)
+def variants(fps: DataFrame) -> DataFrame:
+    """``bucket`` for every distinct fingerprint ``fp`` and block: its other bits and all within one bit of them, the block's number in its place."""
+    cuts = [64 * k // MASKS for k in range(MASKS + 1)]
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    balls = []
+    for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        block = (1 << high) - (1 << low)
+        flips = F.array(*[F.lit(signed(f)).cast("long") for f in [0, *[1 << i for i in range(64) if not block >> i & 1]]])
+        base = F.col("fp").bitwiseAND(F.lit(signed(~block & (1 << 64) - 1))).bitwiseXOR(F.lit(signed((k + 1) << low)))
+        balls.append(F.transform(flips, (lambda own: lambda f: own.bitwiseXOR(f))(base)))
+    return fps.select(F.explode(F.concat(*balls)).alias("bucket"), "fp")
 
 
 def linked_in_buckets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,13 +152,15 @@ def ball_hubs(fps: DataFrame) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) that connect distinct fingerprints as all links within ``RADIUS`` do."""
-    variants = half_variants(fps)
-    sizes = scratch.save(variants.groupBy("bucket").count().where("count > 1"), "sizes")
-    met = variants.join(sizes, "bucket")
-    small = met.where(F.col("count") <= bucket).groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
-    links = small.select("fps").mapInPandas(linked_in_buckets, "a long, b long")
-    if not sizes.where(F.col("count") > bucket).isEmpty():
-        crowded = scratch.save(met.where(F.col("count") > bucket).select("fp").distinct(), "crowded")
+    reach = variants(fps)
+    sizes = reach.groupBy("bucket").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = scratch.save(sizes, "sizes")
+    pairs = sizes.where("n = 2").select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    met = reach.join(sizes.where("n > 2").select("bucket", "n"), "bucket")
+    small = met.where(F.col("n") <= bucket).groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
+    links = pairs.unionByName(small.select("fps").mapInPandas(linked_in_buckets, "a long, b long"))
+    if not sizes.where(F.col("n") > bucket).isEmpty():
+        crowded = scratch.save(met.where(F.col("n") > bucket).select("fp").distinct(), "crowded")
         links = links.unionByName(ball_hubs(crowded))
     return links.distinct()
 
