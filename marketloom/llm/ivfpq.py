@@ -29,16 +29,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, thinned
+from .common import Scratch, shared, table, thinned
 from .covertree import usable
 
 K = 20
 EVERY = 20
 SAMPLE = 16_384
-LISTS = 256
+#: Vectors of the sample to a list at least: lists grow with the square root of the rows up to ``SAMPLE / OF_LIST``, a bound of the driver's tables.
+OF_LIST = 16
 PARTS, WORDS = 16, 256
-SHARD = 8_192
-QUERIES = 2_048
+SHARD = 4_096
+QUERIES = 1_024
 PROBE = 0.75
 RERANK = 400
 
@@ -145,18 +146,20 @@ def search(spark: SparkSession, rows: DataFrame, k: int = K, every: int = EVERY,
     dimension = int(sizes.mode().iloc[0])
     sample = np.stack(list(drawn[sizes == dimension]))
     valid = valid.where(F.size("v") == dimension)
-    quantiser = Quantiser.fit(sample, min(LISTS, max(1, int(np.sqrt(len(sample))))))
-    shared = spark.sparkContext.broadcast(quantiser)  # LISTS * dimension + WORDS * dimension numbers
+    rows_in = valid.count()
+    quantiser = Quantiser.fit(sample, max(1, min(int(np.sqrt(rows_in)), len(sample) // OF_LIST)))
+    fitted = shared(spark, quantiser)  # lists * dimension + WORDS * dimension numbers
 
     def code(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = fitted()
         for batch in batches:
             if len(batch):
-                own, codes = shared.value.encode(np.stack(list(batch["v"])))
+                own, codes = q.encode(np.stack(list(batch["v"])))
                 yield batch.assign(list=own.astype(np.int32), codes=[c.tobytes() for c in codes])
 
     index = scratch.save(valid.mapInPandas(code, "vec_id long, v array<double>, list int, codes binary"), "index")
     counts = np.zeros(len(quantiser.centres), np.int64)
-    for r in index.groupBy("list").count().collect():  # at most LISTS rows
+    for r in index.groupBy("list").count().collect():  # a row for each list
         counts[r["list"]] = r["count"]
     base = (np.cumsum(counts) - counts) // shard
     split = -(-counts // shard)
@@ -166,7 +169,7 @@ def search(spark: SparkSession, rows: DataFrame, k: int = K, every: int = EVERY,
     asks = max(1, -(-queries.count() // QUERIES))  # groups of queries, each of which meets a copy of a shard
 
     def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
+        q = fitted()
         for batch in batches:
             out = []
             for query_id, v, own in zip(batch["vec_id"], batch["v"], batch["own"], strict=True):
@@ -185,12 +188,12 @@ def search(spark: SparkSession, rows: DataFrame, k: int = K, every: int = EVERY,
     dealt = dealt.withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asks - 1).cast("long"))))
 
     def meet(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        return search_shard(shared.value, own, asked, k, rerank)
+        return search_shard(fitted(), own, asked, k, rerank)
 
     met = dealt.groupBy("shard", "ask").cogroup(asked.groupBy("shard", "ask")).applyInPandas(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     found = scratch.save(met, "found").withColumn("rank", rank)
-    return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scratch.finish(found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
 def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
