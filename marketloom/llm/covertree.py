@@ -1,12 +1,16 @@
 """Exact threshold pairs of embeddings by dual traversal of cover trees.
 
 Vectors of equal label are compared by cosine; on unit vectors that is Euclidean distance, and the
-threshold becomes a distance. Copies of a vector are one point with a weight. The forest has two
-tiers. The upper one assigns the points of each label to the nearest of a number of pivots that
-grows with the label; cells over ``CELL`` points are split, so that no task ever holds more than two
-cells of bounded size. Pairs of cells are pruned by centre distance and covering radii, and a point
-goes to the pairs of its cell whose other centre it can reach. The lower tier builds a cover tree on
-each cell: nested levels with halving radii, every point within the radius of its node's centre. Two
+threshold becomes a distance. Copies of a vector are one point with a weight. A label's tree has two tiers.
+
+The upper one is built and traversed by Spark, level by level: a node of over ``CELL`` points is opened into about ``FAN``
+children, each around one of its points drawn by hash, and points go to the nearest. Pairs of nodes start with the label's root
+and itself; the pairs of their children are formed on the next level and pruned by centre distance and covering
+radii, so that cells far apart never meet. A pair nearer than the threshold minus both radii is linked whole on the
+level where that is seen. (Points that are equal but for rounding cannot be told apart by distance; such nodes are cut by hash.)
+
+The lower tier builds a cover tree on each cell: nested levels with halving radii, every point within the radius of its
+node's centre. A point goes to the pairs of its cell whose other centre it can reach. Two
 trees (or a tree and itself) are traversed together: node pairs further apart than the threshold plus
 both covering radii are dropped, pairs nearer than the threshold minus both are linked whole, the rest
 are opened. At the leaves cosines are taken in double precision from the vectors.
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,8 +42,8 @@ CELL = 2048
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125)
 #: Added to bounds, so that rounding never prunes a pair or links one whole that the double-precision cosine decides otherwise.
 SLACK = 1e-6
-#: Most pivots of a label; cells that hold more points than one task should are split.
-PIVOTS = 256
+#: Children of a node of the upper tier, and tasks over which the rows of one node are dealt.
+FAN, NODE_SALTS = 64, 16
 
 
 def usable(vector: Column) -> Column:
@@ -178,38 +183,89 @@ def links(ids: np.ndarray, a: Tree, b: Tree, ids_b: np.ndarray, least: float, sa
     return weight, forest
 
 
-def cells(points: DataFrame, scratch: Scratch, cell: int) -> tuple[DataFrame, DataFrame]:
-    """The upper tier: points with their cell, and the cells' table (label, cell, centre c, radius)."""
-    counts = points.groupBy("label").agg(F.count(F.lit(1)).alias("many"))
-    draw = F.shiftrightunsigned(F.xxhash64("point", F.lit("pivot")), 11) / F.lit(float(1 << 53))
-    # about one pivot for half a cell of points, PIVOTS at most; a label that fits one cell has none and is one cell
-    share = F.when(F.col("many") <= cell, 0.0).otherwise(F.least(F.lit(2.0 / cell), PIVOTS / F.col("many")))
-    parts = F.ceil(F.col("many") / cell).cast("long")
-    counted = points.join(counts, "label").withColumn("parts", parts)
-    pivots = counted.where(draw < share).select("label", "parts", F.col("point").alias("pivot"), F.col("v").alias("p"))
-    pivots = scratch.save(pivots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts"), "pivots")
+def measured(placed: DataFrame) -> DataFrame:
+    """Nodes of ``placed`` (point, label, v, n, parent, node): centre ``c`` and its point, covering ``radius``, number of points and weight."""
+    first = F.struct(F.col("point") != F.col("node"), "point")  # the point that the node was drawn around, where it is in it
+    centres = placed.groupBy("label", "node").agg(F.min_by("v", first).alias("c"), F.min_by("point", first).alias("centre"))
+    far = looked_up_by_label(placed, centres).groupBy("label", "node")
+    return far.agg(
+        F.min("parent").alias("parent"), F.min("c").alias("c"), F.min("centre").alias("centre"), F.max(distance(F.col("v"), F.col("c"))).alias("radius"),
+        F.count(F.lit(1)).alias("many"), F.sum("n").alias("w"),
+    )
+
+
+def looked_up_by_label(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their nodes; the rows of one node are dealt over tasks."""
+    salts = F.sequence(F.lit(0), F.lit(NODE_SALTS - 1))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("point"), F.lit(NODE_SALTS)).cast("int")).join(nodes.withColumn("salt", F.explode(salts)), ["label", "node", "salt"]).drop("salt")
+
+
+def upper_tier(points: DataFrame, scratch: Scratch, cell: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Each level's points (point, label, v, n, parent, node) that are new on it, and nodes, those included that stay as they are."""
 
     def nearest(key: tuple, own: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        own = own[["point", "label", "v", "n"]]
+        own = own[["point", "label", "v", "n", "node"]].rename(columns={"node": "parent"})
         if own.empty or pivots.empty:
-            return own.assign(cell=0)
+            return own.assign(node=own["parent"])[["point", "label", "v", "n", "parent", "node"]]
         pivots = pivots.sort_values("pivot")
         dots = np.stack(list(own["v"])) @ np.stack(list(pivots["p"])).T
-        return own.assign(cell=pivots["pivot"].to_numpy()[dots.argmax(axis=1)])
-
-    # a label's points are dealt to tasks of at most about a cell, each with all its pivots
-    dealt = counted.withColumn("part", F.pmod(F.xxhash64("point", F.lit("deal")), F.col("parts")))
-    placed = dealt.groupBy("label", "part").cogroup(pivots.groupBy("label", "part")).applyInPandas(
-        nearest, "point long, label string, v array<double>, n long, cell long"
-    )
-    placed = scratch.save(placed, "nearest")
-    sized = placed.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / cell).cast("long").alias("split"))
-    placed = placed.join(sized, ["label", "cell"])
-    part = F.pmod(F.xxhash64("point", F.lit("split")), F.col("split"))
-    placed = scratch.save(placed.withColumn("cell", F.xxhash64("cell", part)).drop("split"), "placed")
-    centres = placed.groupBy("label", "cell").agg(F.min_by("v", "point").alias("c"))
-    measured = placed.join(centres, ["label", "cell"]).groupBy("label", "cell").agg(F.max(distance(F.col("v"), F.col("c"))).alias("radius"))
-    return placed, scratch.save(measured.join(centres, ["label", "cell"]), "cells")
+        return own.assign(node=pivots["pivot"].to_numpy()[dots.argmax(axis=1)])[["point", "label", "v", "n", "parent", "node"]]
+
+    level = 0
+    placed = points.select("point", "label", "v", "n", F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("node"))
+    nodes = scratch.save(measured(placed), "nodes-0")
+    levels = [(placed, nodes)]
+    while not nodes.where(F.col("many") > cell).isEmpty():
+        level += 1
+        large = nodes.where(F.col("many") > cell).withColumn("parts", F.ceil(F.col("many") / cell).cast("int"))
+        inside = looked_up_by_label(placed.drop("parent"), large.select("label", "node", "many", "parts", "radius", "centre"))
+        draw = F.shiftrightunsigned(F.xxhash64("point", F.lit(level)), 11) / F.lit(float(1 << 53))
+        pivots = inside.where((F.col("radius") > SLACK) & ((draw < FAN / F.col("many")) | (F.col("point") == F.col("centre"))))
+        pivots = scratch.save(pivots.select("label", "node", "parts", F.col("point").alias("pivot"), F.col("v").alias("p")), f"pivots-{level}")
+        # a node's points are dealt to tasks of at most about a cell, each with all its pivots
+        copies = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = inside.withColumn("part", F.pmod(F.xxhash64("point", F.lit("deal")), F.col("parts")).cast("int"))
+        wide = dealt.where(F.col("radius") > SLACK).groupBy("label", "node", "part").cogroup(copies.groupBy("label", "node", "part"))
+        found = wide.applyInPandas(nearest, "point long, label string, v array<double>, n long, parent long, node long")
+        alike = dealt.where(F.col("radius") <= SLACK).select("point", "label", "v", "n", F.col("node").alias("parent"), F.xxhash64("node", "part").alias("node"))
+        placed = scratch.save(found.unionByName(alike), f"placed-{level}")
+        stay = nodes.where(F.col("many") <= cell).withColumn("parent", F.col("node"))
+        nodes = scratch.save(measured(placed).unionByName(stay), f"nodes-{level}")
+        levels.append((placed, nodes))
+    return levels
+
+
+def node_pairs(levels: list[tuple[DataFrame, DataFrame]], scratch: Scratch, limit: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of cells to traverse (label, a, b and both centres and radii), and for each level the pairs of nodes that are linked whole."""
+    side = lambda df, s: df.select(*[F.col(c) if c == "label" else F.col(c).alias(f"{c}_{s}") for c in df.columns])
+    whole, open_now = [], None
+    for level, (_, nodes) in enumerate(levels):
+        one, other = side(nodes, "a"), side(nodes, "b")
+        if open_now is None:
+            pairs = one.join(other, "label")  # one root for each label
+        else:
+            pairs = open_now.select("label", F.col("node_a").alias("parent_a"), F.col("node_b").alias("parent_b"))
+            pairs = pairs.join(one, ["label", "parent_a"]).join(other, ["label", "parent_b"])
+            pairs = pairs.where((F.col("parent_a") != F.col("parent_b")) | (F.col("node_a") <= F.col("node_b")))
+        apart = F.when(F.col("node_a") == F.col("node_b"), 0.0).otherwise(distance(F.col("c_a"), F.col("c_b")))
+        pairs = pairs.withColumn("d", apart).withColumn("reach", F.col("radius_a") + F.col("radius_b")).where(F.col("d") <= F.col("reach") + limit + SLACK)
+        pairs = scratch.save(pairs, f"pairs-{level}")
+        linked = F.col("d") + F.col("reach") <= limit - SLACK
+        whole.append(pairs.where(linked))
+        open_now = pairs.where(~linked)
+    return open_now, whole
+
+
+def linked_whole(whole: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weights and edges of pairs of nodes that are linked whole, on the points (point, label, n, node) of their level."""
+    same = F.col("node_a") == F.col("node_b")
+    rows = whole.select("label", F.col("node_a").alias("node"), F.col("w_b").alias("w"), F.col("centre_b").alias("hub"), same.alias("own"))
+    rows = rows.unionByName(whole.where(~same).select("label", F.col("node_b").alias("node"), F.col("w_a").alias("w"), F.col("centre_a").alias("hub"), F.lit(False).alias("own")))
+    rows = rows.groupBy("label", "node").agg(F.sum("w").alias("w"), F.min("hub").alias("hub"), F.max("own").alias("own"))
+    found = looked_up_by_label(members, rows)
+    weights = found.select("point", (F.col("w") - F.when(F.col("own"), F.col("n")).otherwise(0)).alias("weight"))
+    edges = found.select(F.col("point").alias("a"), F.col("hub").alias("b")).unionByName(whole.select(F.col("centre_a").alias("a"), F.col("centre_b").alias("b")))
+    return weights, edges.where("a <> b")
 
 
 def distance(x: Column, y: Column) -> Column:
@@ -219,13 +275,24 @@ def distance(x: Column, y: Column) -> Column:
 def threshold_links(spark: SparkSession, points: DataFrame, scratch: Scratch, least: float = LEAST, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """``(point, weight)`` linked weights and ``(a, b)`` forests, of ``points`` (point, label, v unit doubles, n copies)."""
     limit = math.sqrt(2.0 - 2.0 * least)
-    placed, nodes = cells(points, scratch, cell)
-    other = nodes.select("label", F.col("cell").alias("cell_b"), F.col("c").alias("c_b"), F.col("radius").alias("radius_b"))
-    near = nodes.join(other, "label").where("cell <= cell_b").where(distance(F.col("c"), F.col("c_b")) <= F.col("radius") + F.col("radius_b") + limit + SLACK)
-    near = scratch.save(near.select("label", F.col("cell").alias("cell_a"), "cell_b", F.col("c").alias("c_a"), "c_b", F.col("radius").alias("radius_a"), "radius_b"), "cell-pairs")
+    levels = upper_tier(points, scratch, cell)
+    near, whole = node_pairs(levels, scratch, limit)
+    weights, edges, members, placed = [], [], None, None
+    for (own, nodes), pairs in zip(levels, whole, strict=True):
+        # nodes that were not opened stay on the levels below
+        cells = looked_up_by_label(own.select("point", "label", "v", "n", "node"), nodes.where(F.col("many") <= cell).select("label", "node"))
+        slim = own.select("point", "label", "n", "node")
+        members = slim if members is None else slim.unionByName(members)
+        if not pairs.isEmpty():
+            w, e = linked_whole(pairs, members)
+            weights.append(w)
+            edges.append(e)
+        members = cells.select("point", "label", "n", "node") if placed is None else placed.unionByName(cells).select("point", "label", "n", "node")
+        placed = cells if placed is None else placed.unionByName(cells)
+    near = near.select("label", F.col("node_a").alias("cell_a"), F.col("node_b").alias("cell_b"), "c_a", "c_b", "radius_a", "radius_b")
     left = near.select("label", F.col("cell_a").alias("cell"), "cell_a", "cell_b", F.lit(0).alias("side"), F.col("c_b").alias("c"), F.col("radius_b").alias("r"))
-    right = near.where("cell_a < cell_b").select("label", F.col("cell_b").alias("cell"), "cell_a", "cell_b", F.lit(1).alias("side"), F.col("c_a").alias("c"), F.col("radius_a").alias("r"))
-    sent = placed.join(left.unionByName(right), ["label", "cell"])
+    right = near.where("cell_a <> cell_b").select("label", F.col("cell_b").alias("cell"), "cell_a", "cell_b", F.lit(1).alias("side"), F.col("c_a").alias("c"), F.col("radius_a").alias("r"))
+    sent = placed.withColumnRenamed("node", "cell").join(left.unionByName(right), ["label", "cell"])
     sent = sent.where((F.col("cell_a") == F.col("cell_b")) | (distance(F.col("v"), F.col("c")) <= F.col("r") + limit + SLACK))
 
     def traverse(group: pd.DataFrame) -> pd.DataFrame:
@@ -243,32 +310,40 @@ def threshold_links(spark: SparkSession, points: DataFrame, scratch: Scratch, le
 
     found = sent.select("point", "label", "v", "n", "side", "cell_a", "cell_b").groupBy("label", "cell_a", "cell_b").applyInPandas(traverse, "point long, weight long, a long, b long")
     found = scratch.save(found, "found")
-    weights = found.where("point is not null").groupBy("point").agg(F.sum("weight").alias("weight"))
-    return weights, found.where("a is not null").select("a", "b").distinct()
+    weights = [found.where("point is not null").select("point", "weight"), *weights]
+    edges = [found.where("a is not null").select("a", "b"), *edges]
+    return reduce(DataFrame.unionByName, weights).groupBy("point").agg(F.sum("weight").alias("weight")), reduce(DataFrame.unionByName, edges).distinct()
 
 
 def near_pairs(spark: SparkSession, rows: DataFrame, least: float = LEAST, cell: int = CELL) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``rows`` (vec_id, embedding, label)."""
     scratch = Scratch(spark, "covertree")
     v = usable(F.col("embedding"))
-    # a point is a distinct direction's first form: rows with the same components
+    # a point is a distinct vector of a label; the hash deals rows out, the vectors themselves are compared
     key = F.when(F.col("label").isNotNull() & v.isNotNull(), F.xxhash64("label", v))
-    slim = scratch.save(rows.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), v.alias("raw"), key.alias("key")), "slim")
+    slim = scratch.save(rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), v.alias("raw"), key.alias("key")), "slim")
     valid = slim.where("key is not null")
-    classes = valid.groupBy("key").agg(F.concat_ws(":", F.first("label"), F.size(F.first("raw"))).alias("label"), F.first("raw").alias("raw"), F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = valid.groupBy("key", "label", "raw").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = scratch.save(classes.withColumn("point", F.monotonically_increasing_id() + 1), "classes")
     big = F.array_max(F.transform("raw", lambda x: F.abs(x)))  # scaled first, so that squares neither overflow nor vanish
     scaled = F.transform("raw", lambda x: x / F.col("big"))
     norm = F.sqrt(F.aggregate(F.col("s"), F.lit(0.0), lambda s, x: s + x * x))
     unit = classes.withColumn("big", big).withColumn("s", scaled).withColumn("norm", norm).withColumn("v", F.transform("s", lambda x: x / F.col("norm")))
-    points = scratch.save(unit.select(F.col("key").alias("point"), "label", "v", "n", "first"), "points")
+    own_label = F.concat_ws(":", F.size("raw").cast("string"), "label")
+    points = scratch.save(unit.select("point", own_label.alias("label"), "v", "n", "first"), "points")
     weights, forest = threshold_links(spark, points.select("point", "label", "v", "n"), scratch, least, cell)
     labels = components(scratch.save(forest, "forest"), scratch).withColumnRenamed("node", "point")
     classed = points.select("point", "n", "first").join(labels, "point", "left").withColumn("label", F.coalesce("label", "point"))
     smallest = classed.groupBy("label").agg(F.min("first").alias("component_id"))
     classed = looked_up(classed, "label", "point", smallest).join(weights, "point", "left")
     n_links = (F.coalesce("weight", F.lit(0)) + F.col("n") - 1).cast("long")
-    classed = scratch.save(classed.select(F.col("point").alias("key"), n_links.alias("n_links"), "component_id"), "classed")
-    out = salted_join(slim.select("vec_id", "key"), classed, "key", F.col("vec_id"))
+    classed = scratch.save(classed.select("point", n_links.alias("n_links"), "component_id"), "classed")
+    forms = scratch.save(classes.select("key", "label", "raw", "point").join(classed, "point").drop("point"), "forms")
+    by_key = forms.groupBy("key").agg(F.count(F.lit(1)).alias("forms"), F.min("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    out = salted_join(slim.select("vec_id", "key"), by_key, "key", F.col("vec_id")).where("coalesce(forms, 1) = 1").select("vec_id", "n_links", "component_id")
+    shared = by_key.where("forms > 1").select("key")
+    if not shared.isEmpty():  # vectors with one hash, if there are any, take their own form's
+        out = out.unionByName(slim.join(forms.join(shared, "key"), ["key", "label", "raw"]).select("vec_id", "n_links", "component_id"))
     component = F.coalesce("component_id", "vec_id")
     return scratch.finish(out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept")))
 
