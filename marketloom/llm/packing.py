@@ -40,7 +40,7 @@ ITEM = f"{PIECES}, item long"
 #: Least number of pieces to a sequence in each class but the first, which has one.
 CLASSES = (2, 3, 4, 6, 8, 12, 16, 32, 64, 256)
 #: Rows of a range of the sweep.
-RANGE_ROWS = 32_768
+RANGE_ROWS = 8_192
 #: A sweep is repeated while it places over one in so many pieces.
 AGAIN = 16
 #: Entries of each generation of the word caches (chunks between blanks, and their parts).
@@ -167,7 +167,8 @@ def sweep(scratch: Scratch, found: DataFrame, gaps: DataFrame, longest: int, man
         stacked += r["slot"] - takes
         met += takes
     if met > sum(r["pair"] for r in sizes):
-        known = scratch.spark.createDataFrame(heights, "part int, stacked long, takes long")
+        part, before, takes = (pa.array(c, t) for c, t in zip(zip(*heights, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True))
+        known = scratch.spark.createDataFrame(pa.table([part, before, takes], ["part", "stacked", "takes"]))
         left = rows.where("what <> 'pair'").join(F.broadcast(known), "part")  # a row for each range
         height = F.when(F.col("what") == "slot", F.col("stacked") - F.col("takes") + F.col("nth")).when(F.col("nth") < F.col("takes"), F.col("stacked") - 1 - F.col("nth"))
         left = left.withColumn("height", height)
