@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import bars, flow, indicators, reports
+from .plans import auction, bars, flow, indicators, reports
 
 FLAGSHIP = "vwap_session_bands"
-QUERIES = bars.QUERIES | indicators.QUERIES | flow.QUERIES | reports.QUERIES
+QUERIES = bars.QUERIES | indicators.QUERIES | flow.QUERIES | reports.QUERIES | auction.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -96,17 +96,80 @@ def points_of_control(cells: DataFrame, tie: str = "low") -> DataFrame:
     return cells.groupBy("symbol", "bucket").agg(F.max_by("level", rank).alias("poc"), F.max(total).alias("poc_qty"))
 
 
+def first_touch(levels: DataFrame, bars: DataFrame, step: int) -> DataFrame:
+    """``levels`` (symbol, at, level on the grid of ``step``) with ``touched``: the first later bar (symbol, at, lo, hi) whose range holds the level.
+
+    Bars are spread over the levels of their range, and a level's next touch is the least that follows it: no bar meets all levels.
+    """
+    wanted = levels.select("symbol", "level").distinct()
+    touches = bars.select("symbol", "at", F.explode(F.sequence("lo", "hi", F.lit(step))).alias("level")).join(wanted, ["symbol", "level"], "left_semi")
+    both = levels.select("symbol", "at", "level", F.lit(None).cast("long").alias("hit")).unionByName(touches.withColumn("hit", F.col("at")))
+    later = Window.partitionBy("symbol", "level").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    return both.withColumn("touched", F.min("hit").over(later)).where("hit is null").drop("hit")
+
+
 def poc_status(pocs: DataFrame, bars: DataFrame, step: int) -> DataFrame:
     """``filled_at``: the first later bar whose rounded range holds the level; status none, naked or filled."""
     low, high = round_to_step(F.round(F.col("low") * 1e8).cast("long"), step), round_to_step(F.round(F.col("high") * 1e8).cast("long"), step)
-    later = bars.select("symbol", F.col("bucket").alias("later"), low.alias("lo"), high.alias("hi"))
-    hit = pocs.join(later, "symbol").where("later > bucket and poc between lo and hi").groupBy("symbol", "bucket").agg(F.min("later").alias("filled_at"))
+    hit = first_touch(pocs.select("symbol", F.col("bucket").alias("at"), F.col("poc").alias("level")), bars.select("symbol", F.col("bucket").alias("at"), low.alias("lo"), high.alias("hi")), step)
+    hit = hit.select("symbol", F.col("at").alias("bucket"), F.col("touched").alias("filled_at"))
     last = bars.groupBy("symbol").agg(F.max("bucket").alias("last"))
     out = pocs.join(hit, ["symbol", "bucket"], "left").join(last, "symbol")
     status = F.when(F.col("filled_at").isNotNull(), "filled").when(F.col("bucket") < F.col("last"), "naked").otherwise("none")
     return out.withColumn("status", status).drop("last")
 
 
+def by_ticks(trades: DataFrame, size: int) -> DataFrame:
+    """Trades with the number of the tick bar of ``size`` trades that they fall in, from 0."""
+    return numbered(trades).withColumn("bar", F.floor(F.col("n") / size).cast("long"))
+
+
+def tick_poc_status(trades: DataFrame, size: int, step: int) -> DataFrame:
+    """The point of control of each tick bar, and how far from the last bar it was first met again, if it was."""
+    t = by_ticks(trades, size)
+    cells = t.groupBy("symbol", "bar", round_to_step(F.col("price_units"), step).alias("level")).agg(F.sum("qty").alias("q"))
+    pocs = cells.groupBy("symbol", "bar").agg(F.max_by("level", F.struct("q", -F.col("level"))).alias("poc"))
+    low, high = F.floor(F.min("price_units") / step) * step, F.ceil(F.max("price_units") / step) * step
+    bars = t.groupBy("symbol", F.col("bar").alias("at")).agg(low.cast("long").alias("lo"), high.cast("long").alias("hi"))
+    met = first_touch(pocs.select("symbol", F.col("bar").alias("at"), F.col("poc").alias("level")), bars, step)
+    out = met.join(bars.groupBy("symbol").agg(F.max("at").alias("last")), "symbol")
+    status = F.when(F.col("touched").isNotNull(), "filled").when(F.col("at") < F.col("last"), "naked").otherwise("none")
+    return out.select("symbol", F.col("at").alias("bar"), F.col("level").alias("poc"), (F.col("last") - F.col("touched")).alias("filled_from_last"), status.alias("status"))
+
+
+def tick_vwap(trades: DataFrame, size: int) -> DataFrame:
+    """Running VWAP over tick bars, anew with each day that a bar begins in."""
+    b = by_ticks(trades, size).groupBy("symbol", "bar").agg(
+        F.min("ts_ms").alias("start"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", F.struct("ts_ms", "seq")).alias("close"), F.sum("qty").alias("volume")
+    )
+    w = Window.partitionBy("symbol", F.floor(F.col("start") / 86_400_000)).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    return b.select("symbol", "bar", (F.sum(typical * F.col("volume")).over(w) / F.sum("volume").over(w)).alias("vwap"))
+
+
+def level_lookup(cells: DataFrame, asked: DataFrame) -> DataFrame:
+    """Volumes at the asked levels (symbol, bucket, level), zero where nothing traded."""
+    found = asked.join(cells.select("symbol", "bucket", "level", "buy_qty", "sell_qty"), ["symbol", "bucket", "level"], "left")
+    return found.fillna(0, ["buy_qty", "sell_qty"])
+
+
+def largest_in(cells: DataFrame, earliest: int, latest: int, low: int, high: int) -> DataFrame:
+    """Of the buckets in a time range: the largest measure of a cell within a price range, of any cell's side, and of a bucket's volume."""
+    inside = F.col("level").between(low, high)
+    c = cells.where(F.col("bucket").between(earliest, latest))
+    per = c.groupBy("symbol", "bucket").agg(*[F.max(F.when(inside, cluster(k))).alias(k) for k in ("bid_ask", "delta", "volume")], F.max(cluster("bid_ask")).alias("cell"), F.sum(cluster("volume")).alias("bar"))
+    names = {"bid_ask": "max_side", "delta": "max_delta", "volume": "max_volume", "cell": "max_cell", "bar": "max_bar"}
+    return per.groupBy("symbol").agg(*[F.max(k).alias(v) for k, v in names.items()])
+
+
+def cluster_scale(cells: DataFrame, kind: str, weight: float) -> DataFrame:
+    """What each bucket's clusters are drawn to: its own largest, the largest in view, and the weighted mean of both, one if that is zero."""
+    own = cells.groupBy("symbol", "bucket").agg(F.max(cluster(kind)).alias("own"))
+    seen = own.groupBy("symbol").agg(F.max("own").alias("seen"))
+    mixed = weight * F.col("seen") + (1 - weight) * F.col("own")
+    return own.join(seen, "symbol").withColumn("hybrid", F.when(mixed <= 0, 1.0).otherwise(mixed))
+
+
 def diagonal_imbalances(cells: DataFrame, step: int, threshold_pct: int) -> DataFrame:
     """Sells at a level against buys one step up; the larger must exceed the smaller by the threshold, strictly."""
     up = cells.select("symbol", "bucket", (F.col("level") - step).alias("level"), F.col("buy_qty").alias("buy_above"))

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RUNS = "symbol string, level long, is_bid boolean, start long, until long, qty long"
@@ -47,8 +47,11 @@ def book_samples(messages: DataFrame, depth: int = 25) -> DataFrame:
     schema = "symbol string, ts_ms long, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        book, out = Book(), []
+        book, out, known = Book(), [], False
         for m in rows.sort_values(["ts_ms", "seq"]).to_dict("records"):
+            known = known or m["type"] == "snapshot"
+            if not known:
+                continue
             pairs = lambda side: [(x["price"], x["qty"]) for x in side]
             if not book.apply(m["ts_ms"], m["type"], pairs(m["b"]), pairs(m["a"])):
                 continue
@@ -72,6 +75,22 @@ def book_imbalance(n: int) -> Column:
     return F.coalesce(F.try_divide(b - a, b + a), F.lit(0.0))
 
 
+def near_liquidity(n: int) -> Column:
+    """Sums and largest quantities of the best ``n`` levels of both sides; all zero if a side has fewer."""
+    full = (F.size("bids") >= n) & (F.size("asks") >= n)
+    most = lambda side: F.array_max(F.transform(F.slice(side, 1, n), lambda x: x["qty"]))
+    made = {"near_bid": depth_of("bids", n), "near_ask": depth_of("asks", n), "max_bid": most("bids"), "max_ask": most("asks")}
+    return F.struct(*[F.when(full, v).otherwise(0.0).alias(k) for k, v in made.items()])
+
+
+def range_liquidity(side: str, low: Column, high: Column) -> Column:
+    """Quantity between two prices, and the price and quantity of its largest level, the lowest of equals."""
+    inside = F.filter(side, lambda x: (x["price"] >= low) & (x["price"] <= high))
+    total = F.aggregate(inside, F.lit(0.0), lambda s, x: s + x["qty"])
+    wall = F.array_max(F.transform(inside, lambda x: F.struct(x["qty"].alias("qty"), (-x["price"]).alias("down"))))
+    return F.struct(total.alias("total"), F.coalesce(-wall["down"], F.lit(0.0)).alias("wall_price"), F.coalesce(wall["qty"], F.lit(0.0)).alias("wall_qty"))
+
+
 def walls(side: str, n: int = 20, factor: float = 5.0) -> Column:
     """Prices of the best ``n`` levels with more than ``factor`` times their mean quantity."""
     top = F.slice(side, 1, n)
@@ -121,38 +140,75 @@ def ladder(levels: DataFrame, step: int) -> DataFrame:
 
 @dataclass
 class Runs:
-    """Runs of one level: equal quantity extends, another one or side cuts and starts anew; a gap ends a run unless bridged by an equal one."""
+    """Runs of one level from its samples.
+
+    An equal quantity of the same side extends the last run, in a later sample only as long as it lasts; else it starts anew.
+    Where the whole book had a gap before the sample, an equal quantity bridges it, however long, and another one lets the
+    old run reach to now.
+    """
 
     every: int
     runs: list[list] = field(default_factory=list)
 
-    def see(self, ts: int, qty: int, is_bid: bool) -> None:
-        if not qty:
-            if self.runs and self.runs[-1][1] > ts:
-                self.runs[-1][1] = ts
-            return
+    def see(self, ts: int, qty: int, is_bid: bool, gap: bool) -> None:
         last = self.runs[-1] if self.runs else None
-        if last and last[2] == qty and last[3] == is_bid and ts <= last[1] + self.every:
-            last[1] = ts + self.every
-            return
-        if last and last[1] > ts:
-            last[1] = ts
+        if last and last[3] == is_bid:
+            if ts > last[1]:
+                if gap and qty == last[2]:
+                    last[1] = ts + self.every
+                    return
+                if gap:
+                    last[1] = ts
+            elif qty == last[2]:
+                last[1] = max(last[1], ts + self.every)
+                return
+            else:
+                last[1] = min(last[1], ts)
+        elif last:
+            last[1] = min(last[1], ts)
         self.runs.append([ts, ts + self.every, qty, is_bid])
 
 
-def depth_runs(updates: DataFrame, every_ms: int) -> DataFrame:
-    """Intervals of constant quantity by (symbol, level) from updates (symbol, ts_ms, seq, level, qty, is_bid); qty 0 removes."""
+def depth_runs(samples: DataFrame, every_ms: int) -> DataFrame:
+    """Intervals of constant quantity by (symbol, level) from book samples (symbol, ts_ms, level, qty, is_bid).
+
+    A sample is all rows of a symbol and time, levels on both sides summed by step before. A gap is one of the symbol's samples: over
+    ``every_ms`` since the one before. A sample older than the one before it does not occur, as times are sorted.
+    """
+    times = samples.select("symbol", "ts_ms").distinct()
+    before = F.lag("ts_ms").over(Window.partitionBy("symbol").orderBy("ts_ms"))
+    gaps = times.withColumn("gap", F.coalesce(F.col("ts_ms") > before + every_ms, F.lit(False)))
+    rows = samples.groupBy("symbol", "ts_ms", "level", "is_bid").agg(F.sum("qty").alias("qty")).join(gaps, ["symbol", "ts_ms"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         state = Runs(every_ms)
-        rows = rows.sort_values(["ts_ms", "seq"])
-        for ts, qty, is_bid in zip(rows["ts_ms"], rows["qty"], rows["is_bid"], strict=True):
-            state.see(int(ts) - int(ts) % every_ms, int(qty), bool(is_bid))
+        rows = rows.sort_values(["ts_ms", "is_bid"], ascending=[True, False])  # bids of a sample come first
+        for ts, qty, is_bid, gap in zip(rows["ts_ms"], rows["qty"], rows["is_bid"], rows["gap"], strict=True):
+            state.see(int(ts), int(qty), bool(is_bid), bool(gap))
         head = (rows["symbol"].iloc[0], rows["level"].iloc[0])
         out = [(*head, b, s, u, q) for s, u, q, b in state.runs if u > s]
         return pd.DataFrame(out, columns=["symbol", "level", "is_bid", "start", "until", "qty"])
 
-    return updates.groupBy("symbol", "level").applyInPandas(run, RUNS)
+    return rows.groupBy("symbol", "level").applyInPandas(run, RUNS)
+
+
+def latest_runs(runs: DataFrame, low: int, high: int, alive_at: int) -> DataFrame:
+    """The last run of each level in a price range, where it lasts to ``alive_at``."""
+    last = F.max(F.struct("start", "until", "qty", "is_bid")).alias("r")
+    found = runs.where(F.col("level").between(low, high)).groupBy("symbol", "level").agg(last)
+    return found.select("symbol", "level", "r.*").where(F.col("until") >= alive_at)
+
+
+def kept_runs(runs: DataFrame, oldest: int) -> DataFrame:
+    """Runs that have not ended before ``oldest``."""
+    return runs.where(F.col("until") >= oldest)
+
+
+def largest_runs(runs: DataFrame, earliest: int, latest: int, low: int, high: int, least_value: float) -> DataFrame:
+    """Largest quantity among runs that overlap a time and price range, and among those worth over ``least_value`` in quote currency."""
+    met = runs.where((F.col("until") >= earliest) & (F.col("start") <= latest) & F.col("level").between(low, high))
+    worth = F.col("qty") * (F.col("level") / 1e8)
+    return met.groupBy("symbol").agg(F.max("qty").alias("max_qty"), F.coalesce(F.max(F.when(worth > least_value, F.col("qty"))), F.lit(0)).alias("max_sized"))
 
 
 def coalesce_runs(runs: DataFrame, ratio: float) -> DataFrame:

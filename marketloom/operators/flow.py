@@ -158,36 +158,58 @@ def rebased(bars: DataFrame, from_ms: int) -> DataFrame:
 
 
 def hysteresis(bars: DataFrame, value: str, enter: float, leave: float) -> DataFrame:
-    """A state that starts beyond ``enter`` and lasts until inside ``leave``: it depends on its own last value.
+    """A state that starts beyond ``enter`` and lasts until inside ``leave`` or until the value changes sign: it depends on its own last value.
 
-    Only bars beyond ``enter`` or inside ``leave`` decide; the bars between keep the state of the last of these, so
-    the state is the last non-null decision, and needs no loop.
+    Bars beyond ``enter``, inside ``leave`` or of another sign than the bar before decide; the bars between keep the state of the
+    last of these, so the state is the last non-null decision, and needs no loop. (A held state has the sign of its bar.)
     """
     x = F.col(value)
-    # between the two bounds a side is kept if it is the one that holds; a change of sign inside `leave` ends it
-    decided = F.when(x >= enter, 1).when(x <= -enter, -1).when(F.abs(x) <= leave, 0)
-    state = F.coalesce(F.last(decided, True).over(rows(Window.unboundedPreceding)), F.lit(0))
-    return bars.withColumn("state", F.when((state == 1) & (x < 0) | (state == -1) & (x > 0), 0).otherwise(state))
+    turned = F.signum(x) != F.signum(F.lag(x).over(by_time()))
+    decided = F.when(x >= enter, 1).when(x <= -enter, -1).when((F.abs(x) <= leave) | turned, 0)
+    return bars.withColumn("state", F.coalesce(F.last(decided, True).over(rows(Window.unboundedPreceding)), F.lit(0)))
+
+
+def sticky_regime(bars: DataFrame) -> DataFrame:
+    """``sticky``: the ``regime`` of each bar, but a trend lasts while its ``slow`` or its ``fast`` slope is past the exit bounds.
+
+    Regimes that are no trend and no chop are taken as they are. One ordered pass over a symbol's bars.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bucket")
+        state, out = None, []
+        for raw, slow, fast in zip(rows["regime"], rows["slow"], rows["fast"], strict=True):
+            keeps = {"trend_up": slow > 0.05 or fast > 0.15, "trend_down": slow < -0.05 or fast < -0.15}.get(state, False)
+            state = state if keeps and raw in ("trend_up", "trend_down", "chop") else raw
+            out.append(state)
+        return pd.DataFrame({"symbol": rows["symbol"], "bucket": rows["bucket"], "sticky": out})
+
+    return bars.select("symbol", "bucket", "regime", "slow", "fast").groupBy("symbol").applyInPandas(run, "symbol string, bucket long, sticky string")
 
 
 def large_trade_flow(trades: DataFrame, alpha: float = 0.02, factor: float = 4.0, seed: float = 5.0) -> DataFrame:
-    """Signed volume of trades over ``factor`` times the running mean size that held when their hour began."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        mean, limit, hour, flow, out = seed, seed * factor, None, 0, []
-        for t in part.sort_values(["ts_ms", "seq"]).itertuples():
-            now = t.ts_ms // 3_600_000
-            if now != hour:
-                if hour is not None:
-                    out.append((t.symbol, hour * 3_600_000, flow))
-                hour, limit, flow = now, mean * factor, 0
-            if t.qty > limit:
-                flow += -t.qty if t.is_sell else t.qty
-            mean = alpha * t.qty + (1 - alpha) * mean
-        out.append((part["symbol"].iloc[0], hour * 3_600_000, flow))
-        return pd.DataFrame(out, columns=["symbol", "bucket", "flow"])
-
-    return trades.select("symbol", "ts_ms", "seq", "qty", "is_sell").groupBy("symbol").applyInPandas(run, "symbol string, bucket long, flow long")
+    """Signed volume of trades over ``factor`` times the running mean size that held when their hour began.
+
+    The mean is an affine function of the mean before, so each (symbol, hour) sums to two numbers, what it keeps of the
+    mean that it starts with and what it adds; one pass over a symbol's hours composes them, and hours then look up
+    their limit. No task holds more than an hour of trades or the hours of a symbol.
+    """
+    t = trades.select("symbol", "ts_ms", "seq", "qty", "is_sell", (F.col("ts_ms") - F.pmod("ts_ms", F.lit(3_600_000))).alias("bucket"))
+    last = Window.partitionBy("symbol", "bucket").orderBy(F.col("ts_ms").desc(), F.col("seq").desc())
+    aged = t.withColumn("_age", F.row_number().over(last) - 1)  # trades of the hour after it
+    hours = aged.groupBy("symbol", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(alpha * F.col("qty") * F.pow(F.lit(1 - alpha), F.col("_age"))).alias("adds"))
+
+    def carry(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bucket")
+        mean, limits = seed, []
+        for n, adds in zip(rows["n"], rows["adds"], strict=True):
+            limits.append(mean * factor)
+            mean = mean * (1 - alpha) ** n + adds
+        return pd.DataFrame({"symbol": rows["symbol"], "bucket": rows["bucket"], "limit": limits})
+
+    limits = hours.groupBy("symbol").applyInPandas(carry, "symbol string, bucket long, limit double")
+    signed = F.when(F.col("qty") > F.col("limit"), F.when(F.col("is_sell"), -F.col("qty")).otherwise(F.col("qty"))).otherwise(0)
+    return t.join(limits, ["symbol", "bucket"]).groupBy("symbol", "bucket").agg(F.sum(signed).alias("flow"))
 
 
 def outcome_horizons(signals: DataFrame, bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:

@@ -109,3 +109,49 @@ def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row in order for each key."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
+
+
+def costs(closed: DataFrame, *keys: str) -> DataFrame:
+    """Gross result and what fees, funding and slippage took of it, in percent of its size."""
+    names = ("gross", "fees", "funding", "slippage")
+    sums = closed.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
+    taken = F.col("fees") + F.col("funding") + F.col("slippage")
+    pct = lambda c: F.round(F.try_divide(c, F.abs("gross")) * 100, 4)
+    return sums.withColumns({"cost_pct": pct(taken), "net_pct": pct(F.col("gross") - taken)}).withColumns({c: F.round(c, 4) for c in names})
+
+
+def signal_summary(signals: DataFrame, *keys: str) -> DataFrame:
+    """Signals, those with a result and those without, and the results' win rate, mean and sum."""
+    closed = F.count("r")
+    return signals.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total"), closed.alias("closed"), (F.count(F.lit(1)) - closed).alias("open"), rate(F.count_if(F.col("r") > 0), closed, 6).alias("win_rate"),
+        F.round(F.avg("r"), 6).alias("avg_r"), F.round(F.sum("r"), 6).alias("total_r"),
+    )
+
+
+def by_band(rows: DataFrame, value: str, bands: dict[str, tuple[float | None, float | None]], *keys: str) -> DataFrame:
+    """Win rate and mean result by band of a value; a band's low end is in it, the high end too if no band before has it."""
+    band = F.lit(None).cast("string")
+    for name, (low, high) in reversed(bands.items()):
+        inside = F.lit(True) if low is None else F.col(value) >= low
+        inside = inside if high is None else inside & ((F.col(value) < high) if low is None else (F.col(value) <= high))
+        band = F.when(inside, name).otherwise(band)
+    rows = rows.where(F.col(value).isNotNull()).withColumn("band", band)
+    return rows.groupBy(*keys, "band").agg(F.count(F.lit(1)).alias("n"), rate(F.count_if(F.col("r") > 0), F.count(F.lit(1)), 6).alias("win_rate"), F.round(F.avg("r"), 6).alias("avg_r"))
+
+
+def discrimination(rows: DataFrame, *keys: str, least: int = 30) -> DataFrame:
+    """Mean score of winners and of others, and the correlation of score and result from ``least`` rows on."""
+    won = F.col("r") > 0
+    return rows.groupBy(*keys).agg(
+        F.round(F.avg(F.when(won, F.col("score"))), 6).alias("winners"), F.round(F.avg(F.when(~won, F.col("score"))), 6).alias("losers"),
+        F.round(F.when(F.count(F.lit(1)) >= least, F.corr("score", "r")), 6).alias("r"),
+    )
+
+
+def contradictions(signals: DataFrame) -> DataFrame:
+    """Signals of each day, and those whose side is not that of the one before."""
+    day = F.floor(F.col("ts_ms") / 86_400_000).cast("long")
+    before = F.lag("is_sell").over(Window.partitionBy("symbol", "day").orderBy("ts_ms", "seq"))
+    s = signals.withColumn("day", day).withColumn("before", before)
+    return s.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("signals"), F.count_if(F.col("before") != F.col("is_sell")).alias("contradictions"))

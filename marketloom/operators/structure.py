@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,14 +93,21 @@ def order_blocks(bars: DataFrame, newest: int = 5) -> DataFrame:
 
 
 def block_states(blocks: DataFrame, bars: DataFrame) -> DataFrame:
-    """State of each up block after all later bars: active, tested (touched), mitigated (below its middle), invalidated (closed below)."""
-    later = bars.select("symbol", F.col("bucket").alias("t"), F.col("low").alias("l"), F.col("close").alias("c"))
-    met = blocks.where("side = 'up'").join(later, "symbol").where("t > known_at")
-    seen = met.groupBy("symbol", "bucket").agg(F.min("l").alias("lowest"), F.min("c").alias("lowest_close"))
-    out = blocks.where("side = 'up'").join(seen, ["symbol", "bucket"], "left")
-    middle = (F.col("high") + F.col("low")) / 2
-    state = F.when(F.col("lowest_close") < F.col("low"), "invalidated").when(F.col("lowest") <= middle, "mitigated").when(F.col("lowest") <= F.col("high"), "tested").otherwise("active")
-    return out.withColumn("state", state).drop("lowest", "lowest_close")
+    """State of each block after all later bars: active, tested (touched), mitigated (past its middle), invalidated (closed beyond it).
+
+    What all later bars reached is a running extreme from the end of the series, looked up at the bar from which a block is known.
+    """
+    later = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    reach = {"_low": F.min("low"), "_low_close": F.min("close"), "_high": F.max("high"), "_high_close": F.max("close")}
+    seen = bars.select("symbol", F.col("bucket").alias("known_at"), *[f.over(later).alias(k) for k, f in reach.items()])
+    out = blocks.join(seen, ["symbol", "known_at"], "left")
+    up, middle = F.col("side") == "up", (F.col("high") + F.col("low")) / 2
+    ends = lambda below, above: F.when(up, below).otherwise(above)
+    state = (
+        F.when(ends(F.col("_low_close") < F.col("low"), F.col("_high_close") > F.col("high")), "invalidated").when(ends(F.col("_low") <= middle, F.col("_high") >= middle), "mitigated")
+        .when(ends(F.col("_low") <= F.col("high"), F.col("_high") >= F.col("low")), "tested").otherwise("active")
+    )
+    return out.withColumn("state", state).drop(*reach)
 
 
 def key_levels(bars: DataFrame) -> DataFrame:
@@ -139,19 +147,47 @@ def regime(bars: DataFrame, n: int = 20) -> DataFrame:
     return out.withColumn("regime", named)
 
 
-def cooldown(rows_: DataFrame, key: str, order: str, gap: int) -> DataFrame:
-    """Rows at least ``gap`` after the last one kept, from the first on: the choice depends on choices before it."""
+def cooldown(rows_: DataFrame, key: str, order: str, gap: int, part: int = 86_400_000) -> DataFrame:
+    """Rows at least ``gap`` after the last one kept, from the first on: the choice depends on choices before it.
 
-    def keep(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        last, kept = None, []
-        for x in part[order]:
-            ok = last is None or x - last >= gap
-            last = x if ok else last
-            kept.append(ok)
-        return part[kept]
-
-    return rows_.groupBy(key).applyInPandas(keep, rows_.schema)
+    A row's successor is the first row ``gap`` or more after it, whatever was kept before, so only the chain of successors from
+    the first row has to be followed. Each part of ``part`` in ``order`` tells where a chain that enters it at any of its rows
+    leaves it; one pass over a key's parts follows the chain, and then each part follows it inside.
+    """
+    names = rows_.columns
+    parted = rows_.withColumn("_part", F.floor(F.col(order) / part).cast("long"))
+
+    def ends(rows: pd.DataFrame) -> pd.DataFrame:
+        """For the entries of a part: the last row of the chain, in a compact form (from, last)."""
+        x = np.unique(rows[order].to_numpy())
+        after = np.searchsorted(x, x + gap)
+        last = x.copy()
+        for i in range(len(x) - 1, -1, -1):
+            if after[i] < len(x):
+                last[i] = last[after[i]]
+        return pd.DataFrame({key: rows[key].iloc[0], "_part": rows["_part"].iloc[0], "entries": [x.tolist()], "lasts": [last.tolist()]})
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        out, free = [], None
+        for p, entries, lasts in rows.sort_values("_part")[["_part", "entries", "lasts"]].itertuples(index=False):
+            at = 0 if free is None else int(np.searchsorted(entries, free))
+            if at < len(entries):
+                out.append((rows[key].iloc[0], p, int(entries[at])))
+                free = int(lasts[at]) + gap
+        return pd.DataFrame(out, columns=[key, "_part", "_entry"])
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([order, *[c for c in names if c != order]])
+        free, kept = rows["_entry"].iloc[0], []
+        for x in rows[order]:
+            kept.append(x >= free)
+            free = x + gap if kept[-1] else free
+        return rows.loc[kept, names]
+
+    of_key = rows_.select(key).schema[0].dataType.simpleString()
+    slim = parted.select(key, "_part", order).groupBy(key, "_part").applyInPandas(ends, f"`{key}` {of_key}, _part long, entries array<long>, lasts array<long>")
+    entered = slim.groupBy(key).applyInPandas(follow, f"`{key}` {of_key}, _part long, _entry long")
+    return parted.join(entered, [key, "_part"]).groupBy(key, "_part").applyInPandas(keep, rows_.schema)
 
 
 def nearest_level(price: Column, levels: Column, above: bool) -> Column:

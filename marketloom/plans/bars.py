@@ -79,7 +79,7 @@ def first_hits(spark, sf_dir):
     from .base import numbered_bars
 
     b = numbered_bars(spark, sf_dir)
-    s = b.where("n % 5 = 0").select("symbol", "n", F.col("close").alias("entry"), (F.col("close") * 0.5).alias("stop"), (F.col("close") * 2).alias("target"))
+    s = b.select("symbol", "n", F.col("close").alias("entry"), (F.col("close") * 0.5).alias("stop"), (F.col("close") * 2).alias("target"))
     return rounded(joins.first_hit(s, b, 12).select("symbol", "n", "outcome", "hit_n", "r"), "r")
 
 
@@ -95,8 +95,7 @@ def existing(spark, sf_dir):
 
 def depth_overlap(spark, sf_dir):
     runs = trades(spark, sf_dir).select(units.floor_to_step(F.col("price_units"), WIDE).alias("level"), F.col("ts_ms").alias("start"), (F.col("ts_ms") + F.col("qty") * 60_000).alias("until"), "qty", "seq")
-    first = 1_704_067_200_000
-    return joins.grid_cells(joins.overlapping(runs, first, first + DAY), [first + k * HOUR for k in range(24)], [k * WIDE for k in range(12)])
+    return joins.grid_cells(joins.overlapping(runs, 0, 1 << 60), HOUR)
 
 
 QUERIES = {
@@ -213,7 +212,7 @@ SELECT b.symbol, b.bucket, p.prev_close, p.prev_delta FROM b LEFT JOIN p ON p.sy
     "join_first_hit": (
         first_hits,
         f"""WITH {B}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bucket) AS n FROM b),
-s AS (SELECT symbol, n, close AS entry, close * 0.5::DOUBLE AS stop, close * 2 AS target FROM n WHERE n % 5 = 0),
+s AS (SELECT symbol, n, close AS entry, close * 0.5::DOUBLE AS stop, close * 2 AS target FROM n),
 m AS (SELECT s.*, l.n AS m, l.close AS c, CASE WHEN l.low <= stop THEN 'stop' WHEN l.high >= target THEN 'target' END AS hit FROM s JOIN n l ON l.symbol = s.symbol AND l.n BETWEEN s.n + 1 AND s.n + 12),
 g AS (SELECT symbol, n, entry, stop, target, first(hit ORDER BY m) FILTER (hit IS NOT NULL) AS hit, CAST(min(m) FILTER (hit IS NOT NULL) AS INTEGER) AS hit_n, last(c ORDER BY m) AS c FROM m GROUP BY ALL)
 SELECT symbol, CAST(n AS INTEGER) AS n, coalesce(hit, 'timeout') AS outcome, hit_n, round(CASE hit WHEN 'stop' THEN -1 WHEN 'target' THEN (target - entry) / (entry - stop) ELSE (c - entry) / (entry - stop) END, 6) AS r FROM g""",
@@ -221,8 +220,8 @@ SELECT symbol, CAST(n AS INTEGER) AS n, coalesce(hit, 'timeout') AS outcome, hit
     "join_interval_grid": (
         depth_overlap,
         f"""WITH {T}, r AS (SELECT price_units // {WIDE} * {WIDE} AS level, ts_ms AS start, ts_ms + qty * 60000 AS until, qty FROM t),
-g AS (SELECT 1704067200000 + a.range * {HOUR} AS t, p.range * {WIDE} AS level FROM range(24) a, range(12) p)
-SELECT g.t, g.level, arg_min(qty, start) AS qty FROM g JOIN r ON r.level = g.level AND r.start <= g.t AND g.t < r.until GROUP BY 1, 2""",
+g AS (SELECT *, unnest(range(CAST(ceil(start / {HOUR}) AS BIGINT) * {HOUR}, until, {HOUR})) AS t FROM r)
+SELECT t, level, first(qty ORDER BY start, qty) AS qty FROM g GROUP BY 1, 2""",
     ),
     "latest_by_key": (
         lambda s, d: latest(trades(s, d).select("symbol", "is_sell", "ts_ms", "seq", "price"), ["symbol", "is_sell"], ["ts_ms", "seq"]),

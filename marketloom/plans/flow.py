@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.clocks import DAY, HOUR, MINUTE
 from ..operators import bars as bar_op
 from ..operators import flow as op
-from ..operators import profile
+from ..operators import profile, structure
 from ..sources.trades import trades
 from .bars import FOOT, cells
 from .base import STEP, B, N, T, bars_sql, hourly, numbered_bars, rounded
@@ -53,11 +53,15 @@ def hysteresis(s, d):
 
 def horizons(s, d):
     b = numbered_bars(s, d)
-    signals = b.where("n % 7 = 0").select("symbol", "n", F.col("close").alias("entry"), (F.col("close") * 0.9).alias("stop"))
+    signals = b.select("symbol", "n", F.col("close").alias("entry"), (F.col("close") * 0.9).alias("stop"))
     out = op.outcome_horizons(signals, b, (1, 3, 12)).select("symbol", "n", F.col("1").alias("r1"), F.col("3").alias("r3"), F.col("12").alias("r12"))
     return rounded(out, "r1", "r3", "r12")
 
 
+def sticky(s, d):
+    return op.sticky_regime(structure.regime(numbered_bars(s, d)))
+
+
 def ranges(s, d):
     return rounded(op.range_state(numbered_bars(s, d)).select("symbol", "bucket", "range_high", "range_low", "range_size", "place"), "range_size")
 
@@ -83,7 +87,14 @@ s AS (SELECT symbol, candle, slot, CAST(sum(CASE WHEN is_sell THEN 0 ELSE qty EN
 g AS (SELECT DISTINCT s.symbol, s.candle, CAST(r.range AS INTEGER) AS slot FROM s, range(5) r)
 SELECT symbol, candle, slot, coalesce(buy_qty, 0) AS buy_qty, coalesce(sell_qty, 0) AS sell_qty, close FROM g LEFT JOIN s USING (symbol, candle, slot)""",
     ),
-    "micro_window": (lambda s, d: op.micro_window(op.micro_slots(trades(s, d), 5 * HOUR, HOUR)), None),
+    "micro_window": (
+        lambda s, d: op.micro_window(op.micro_slots(trades(s, d), 5 * HOUR, HOUR)),
+        f"""WITH {T}, x AS (SELECT symbol, ts_ms - ts_ms % {5 * HOUR} AS candle, ts_ms % {5 * HOUR} // {HOUR} AS slot, CASE WHEN is_sell THEN -qty ELSE qty END AS q FROM t), k AS (SELECT DISTINCT symbol, candle FROM x),
+p AS (SELECT k.symbol, k.candle, list(coalesce(z.d, 0) ORDER BY r.range) AS d FROM k CROSS JOIN range(5) r LEFT JOIN (SELECT symbol, candle, slot, sum(q) AS d FROM x GROUP BY 1, 2, 3) z ON z.symbol = k.symbol AND z.candle = k.candle AND z.slot = r.range GROUP BY 1, 2),
+y AS (SELECT *, list_sum(d) AS delta, list_sum([abs(v) FOR v IN d]) AS gross, d[1] + d[2] AS first_half, [sign(v) FOR v IN d IF v <> 0] AS g FROM p)
+SELECT symbol, candle, CAST(delta AS BIGINT) AS delta, CAST(gross AS BIGINT) AS gross, CAST(coalesce(list_sum([CASE WHEN g[i] <> g[i + 1] THEN 1 ELSE 0 END FOR i IN range(1, len(g))]), 0) AS INTEGER) AS flips, CAST(first_half AS BIGINT) AS first_half,
+CASE WHEN gross = 0 THEN 'empty' WHEN abs(delta) * 2 >= gross THEN 'one_sided' WHEN first_half * (delta - first_half) < 0 THEN 'reversal' ELSE 'mixed' END AS shape FROM y""",
+    ),
     "stacked_levels": (
         lambda s, d: op.stacked_levels(cells(s, d), 3),
         f"""WITH {FOOT}, c AS (SELECT symbol, bucket, level, CAST(sign(buy_qty - sell_qty) AS INTEGER) AS sign FROM f),
@@ -143,15 +154,30 @@ SELECT symbol, day, bin, round(sum(v), 6) AS volume FROM y GROUP BY 1, 2, 3""",
     ),
     "regime_hysteresis": (
         hysteresis,
-        f"""WITH {B}, x AS (SELECT symbol, bucket, coalesce(delta / nullif(volume, 0), 0) AS x FROM b),
-y AS (SELECT *, last_value(CASE WHEN x >= 0.8::DOUBLE THEN 1 WHEN x <= -0.8::DOUBLE THEN -1 WHEN abs(x) <= 0.2::DOUBLE THEN 0 END IGNORE NULLS) OVER {ALL} AS s FROM x)
-SELECT symbol, bucket, CAST(CASE WHEN s = 1 AND x < 0 OR s = -1 AND x > 0 THEN 0 ELSE coalesce(s, 0) END AS INTEGER) AS state FROM y""",
+        f"""WITH RECURSIVE {B}, x AS (SELECT symbol, bucket, coalesce(delta / nullif(volume, 0), 0) AS x, row_number() OVER {ORDER} AS n FROM b),
+r AS (SELECT symbol, bucket, n, x, CASE WHEN x >= 0.8::DOUBLE THEN 1 WHEN x <= -0.8::DOUBLE THEN -1 ELSE 0 END AS state FROM x WHERE n = 1 UNION ALL
+SELECT x.symbol, x.bucket, x.n, x.x, CASE WHEN x.x >= 0.8::DOUBLE THEN 1 WHEN x.x <= -0.8::DOUBLE THEN -1 WHEN abs(x.x) <= 0.2::DOUBLE OR sign(x.x) <> r.state THEN 0 ELSE r.state END FROM r JOIN x ON x.symbol = r.symbol AND x.n = r.n + 1)
+SELECT symbol, bucket, CAST(state AS INTEGER) AS state FROM r""",
+    ),
+    "regime_sticky": (
+        sticky,
+        f"""WITH RECURSIVE {N}, a AS (SELECT *, avg(tr) OVER {back(14)} AS atr FROM n), x AS (SELECT symbol, bucket, n, CASE WHEN n > 1 THEN regr_slope(close, n) OVER {back(20)} END / nullif(atr, 0) AS slow,
+CASE WHEN n > 1 THEN regr_slope(close, n) OVER {back(5)} END / nullif(atr, 0) AS fast, (max(high) OVER {back(20)} - min(low) OVER {back(20)}) / nullif(atr, 0) AS spread FROM a),
+g AS (SELECT *, CASE WHEN slow > 0.12 AND fast > -0.35 THEN 'trend_up' WHEN slow < -0.12 AND fast < 0.35 THEN 'trend_down' WHEN spread > 8 THEN 'expansion' ELSE 'chop' END AS raw FROM x),
+r AS (SELECT symbol, bucket, n, raw AS sticky FROM g WHERE n = 1 UNION ALL SELECT g.symbol, g.bucket, g.n, CASE WHEN raw <> 'expansion' AND (sticky = 'trend_up' AND (slow > 0.05 OR fast > 0.15) OR sticky = 'trend_down' AND (slow < -0.05 OR fast < -0.15)) THEN sticky ELSE raw END
+FROM r JOIN g ON g.symbol = r.symbol AND g.n = r.n + 1) SELECT symbol, bucket, sticky FROM r""",
     ),
     "outcome_horizons": (
         horizons,
-        f"""WITH {N}, s AS (SELECT symbol, n, close AS entry, close * 0.9::DOUBLE AS stop FROM n WHERE n % 7 = 0)
+        f"""WITH {N}, s AS (SELECT symbol, n, close AS entry, close * 0.9::DOUBLE AS stop FROM n)
 SELECT s.symbol, CAST(s.n AS INTEGER) AS n, round((a.close - entry) / (entry - stop), 6) AS r1, round((b.close - entry) / (entry - stop), 6) AS r3, round((c.close - entry) / (entry - stop), 6) AS r12
 FROM s LEFT JOIN n a ON a.symbol = s.symbol AND a.n = s.n + 1 LEFT JOIN n b ON b.symbol = s.symbol AND b.n = s.n + 3 LEFT JOIN n c ON c.symbol = s.symbol AND c.n = s.n + 12""",
     ),
-    "large_trade_flow": (lambda s, d: op.large_trade_flow(trades(s, d)), None),
+    "large_trade_flow": (
+        lambda s, d: op.large_trade_flow(trades(s, d)),
+        f"""WITH RECURSIVE {T}, k AS (SELECT *, ts_ms - ts_ms % {HOUR} AS bucket, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms, seq) AS n FROM t),
+r AS (SELECT symbol, n, bucket, 0.02::DOUBLE * qty + 0.98::DOUBLE * 5 AS mean, 20::DOUBLE AS limit_ FROM k WHERE n = 1 UNION ALL
+SELECT k.symbol, k.n, k.bucket, 0.02::DOUBLE * k.qty + 0.98::DOUBLE * r.mean, CASE WHEN k.bucket <> r.bucket THEN r.mean * 4 ELSE r.limit_ END FROM r JOIN k ON k.symbol = r.symbol AND k.n = r.n + 1)
+SELECT symbol, k.bucket, CAST(sum(CASE WHEN qty > limit_ THEN CASE WHEN is_sell THEN -qty ELSE qty END ELSE 0 END) AS BIGINT) AS flow FROM k JOIN r USING (symbol, n) GROUP BY 1, 2""",
+    ),
 }

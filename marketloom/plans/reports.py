@@ -67,12 +67,12 @@ def trailed(s, d):
 
 def filled(s, d):
     t = trades(s, d).select("symbol", "ts_ms", "seq", "price")
-    orders = t.where("seq % 5 = 0").selectExpr("symbol", "ts_ms", "seq as order_id", "price * 0.9 as price")
+    orders = t.selectExpr("symbol", "ts_ms", "seq as order_id", "price * 0.9 as price")
     return managers.limit_fills(orders, t, 2.0, DAY, 0.5)
 
 
 def runs(s, d):
-    u = trades(s, d).select("symbol", "ts_ms", "seq", (F.floor(F.col("price_units") / WIDE) * WIDE).cast("long").alias("level"), (F.col("qty") % 4).alias("qty"), (~F.col("is_sell")).alias("is_bid"))
+    u = trades(s, d).select("symbol", "ts_ms", "seq", (F.floor(F.col("price_units") / WIDE) * WIDE).cast("long").alias("level"), (F.col("qty") % 4).alias("qty"), (~F.col("is_sell")).alias("is_bid")).where("qty > 0")
     return depth.coalesce_runs(depth.depth_runs(u, 6 * HOUR), 0.5)
 
 
@@ -179,7 +179,20 @@ SELECT symbol, CAST(sum(a) AS BIGINT) AS n_recent, CAST(sum(b) AS BIGINT) AS n_b
     "depth_runs": (runs, None),
     "detector_candidates": (routed, None),
     "paper_account": (simulated, None),
-    "cooldown": (lambda s, d: structure.cooldown(trades(s, d).select("symbol", "ts_ms", "seq"), "symbol", "ts_ms", 6 * HOUR), None),
+    "cooldown": (
+        lambda s, d: structure.cooldown(trades(s, d).select("symbol", "ts_ms", "seq"), "symbol", "ts_ms", 6 * HOUR),
+        f"""WITH RECURSIVE {T}, r AS (SELECT symbol, min(ts_ms) AS at FROM t GROUP BY 1 UNION ALL SELECT r.symbol, (SELECT min(t.ts_ms) FROM t WHERE t.symbol = r.symbol AND t.ts_ms >= r.at + {6 * HOUR}) FROM r WHERE r.at IS NOT NULL)
+SELECT t.symbol, t.ts_ms, min(t.seq) AS seq FROM t JOIN r ON r.symbol = t.symbol AND r.at = t.ts_ms GROUP BY 1, 2""",
+    ),
+    "block_states": (
+        lambda s, d: structure.block_states(structure.order_blocks(numbered_bars(s, d)), numbered_bars(s, d)).select("symbol", "side", "bucket", "state"),
+        f"""WITH {B}, o AS (SELECT *, lead(open) OVER w AS o1, lead(close) OVER w AS c1, lead(open, 2) OVER w AS o2, lead(close, 2) OVER w AS c2, lead(bucket, 2) OVER w AS known FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bucket)),
+s AS (SELECT *, CASE WHEN close < open AND c1 > o1 AND c2 > o2 AND c2 > high THEN 'up' WHEN close > open AND c1 < o1 AND c2 < o2 AND c2 < low THEN 'down' END AS side FROM o),
+k AS (SELECT * FROM s WHERE side IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, side ORDER BY bucket DESC) <= 5),
+j AS (SELECT k.symbol, k.side, k.bucket, k.high, k.low, min(l.low) AS lo, min(l.close) AS lc, max(l.high) AS hi, max(l.close) AS hc FROM k LEFT JOIN b l ON l.symbol = k.symbol AND l.bucket > k.known GROUP BY 1, 2, 3, 4, 5)
+SELECT symbol, side, bucket, CASE WHEN CASE side WHEN 'up' THEN lc < low ELSE hc > high END THEN 'invalidated' WHEN CASE side WHEN 'up' THEN lo <= (high + low) / 2 ELSE hi >= (high + low) / 2 END THEN 'mitigated'
+WHEN CASE side WHEN 'up' THEN lo <= high ELSE hi >= low END THEN 'tested' ELSE 'active' END AS state FROM j""",
+    ),
     "trailed_trades": (trailed, None),
     "limit_fills": (filled, None),
     "price_chases": (lambda s, d: managers.chases(trades(s, d).select("symbol", "ts_ms", "seq", "price")), None),

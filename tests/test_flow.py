@@ -35,9 +35,9 @@ def test_large_trades_use_the_limit_of_their_hour(spark):
 
 
 def test_hysteresis_holds_between_the_bounds(spark):
-    xs = [0.0, 0.9, 0.5, 0.3, 0.1, 0.5, -0.9, -0.5, 0.5, -0.1]
+    xs = [0.0, 0.9, 0.5, 0.3, 0.1, 0.5, -0.9, -0.5, 0.5, -0.1, 0.9, -0.5, 0.5]
     b = spark.createDataFrame([("a", i, x) for i, x in enumerate(xs)], "symbol string, bucket long, x double")
-    assert [r.state for r in flow.hysteresis(b, "x", 0.8, 0.2).orderBy("bucket").collect()] == [0, 1, 1, 1, 0, 0, -1, -1, 0, 0]
+    assert [r.state for r in flow.hysteresis(b, "x", 0.8, 0.2).orderBy("bucket").collect()] == [0, 1, 1, 1, 0, 0, -1, -1, 0, 0, 1, 0, 0]
 
 
 def test_naked_levels_die_once(spark):
@@ -49,3 +49,10 @@ def test_naked_levels_die_once(spark):
 def test_targets_need_a_margin(spark):
     near, far = flow.structural_targets(F.lit(100.0), F.array(F.lit(100.05), F.lit(101.0), F.lit(105.0)))
     assert spark.range(1).select(near, far).first()[:] == (101.0, 105.0)
+
+
+def test_sticky_regime_keeps_a_trend_that_is_supported(spark):
+    rows = [("chop", 0.0, 0.0), ("trend_up", 0.2, 0.3), ("chop", 0.06, 0.0), ("chop", 0.0, 0.2), ("chop", 0.0, 0.0), ("chop", 0.06, 0.0), ("trend_down", -0.2, 0.0), ("chop", 0.06, -0.2), ("trend_up", 0.2, 0.0), ("expansion", 0.2, 0.2)]
+    b = spark.createDataFrame([("a", i, *r) for i, r in enumerate(rows)], "symbol string, bucket long, regime string, slow double, fast double")
+    got = [r.sticky for r in flow.sticky_regime(b).orderBy("bucket").collect()]
+    assert got == ["chop", "trend_up", "trend_up", "trend_up", "chop", "chop", "trend_down", "trend_down", "trend_up", "expansion"]

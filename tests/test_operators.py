@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,15 +177,75 @@ def test_book_replay_and_features(spark):
     assert depth.book_bars(depth.book_features(depth.book_samples(m))).first().n_samples == len(got)
 
 
-def test_depth_runs_extend_cut_and_end(spark):
-    rows = [("a", t, t, 7, q, True) for t, q in ((0, 5), (10, 5), (20, 3), (30, 0), (100, 3))]
-    u = spark.createDataFrame(rows, "symbol string, ts_ms long, seq long, level long, qty long, is_bid boolean")
-    got = sorted((r.start, r.until, r.qty) for r in depth.depth_runs(u, 10).collect())
-    assert got == [(0, 20, 5), (20, 30, 3), (100, 110, 3)]
-    merged = depth.coalesce_runs(depth.depth_runs(u, 10), 0.5).collect()
+def test_books_are_unknown_before_a_snapshot(spark):
+    level = "array<struct<price:double,qty:double>>"
+    rows = [("a", 1, 0, "delta", [(10.0, 5.0)], [(11.0, 2.0)]), ("a", 2, 1, "snapshot", [(9.0, 5.0)], [(12.0, 2.0)]), ("a", 3, 2, "delta", [(10.0, 1.0)], [])]
+    got = depth.book_features(depth.book_samples(spark.createDataFrame(rows, f"symbol string, ts_ms long, seq long, type string, b {level}, a {level}"))).orderBy("ts_ms").collect()
+    assert [(r.ts_ms, r.mid) for r in got] == [(2, 10.5), (3, 11.0)]
+
+
+def runs_by_loop(samples, every):
+    """Book samples (time, {(level, side): qty}) one after the other, as the rule is stated."""
+    runs, before = defaultdict(list), None
+    for ts, book in samples:
+        gap = before is not None and ts > before + every
+        for (level, bid), qty in sorted(book.items(), key=lambda x: not x[0][1]):
+            own = runs[level]
+            last = own[-1] if own else None
+            if last and last[3] == bid and ts > last[1] and gap:
+                if last[2] == qty:
+                    last[1] = ts + every
+                    continue
+                last[1] = ts
+            elif last and last[3] == bid and ts <= last[1] and last[2] == qty:
+                last[1] = max(last[1], ts + every)
+                continue
+            elif last and last[1] > ts:
+                last[1] = ts
+            own.append([ts, ts + every, qty, bid])
+        before = ts
+    return sorted((level, *r) for level, own in runs.items() for r in own if r[1] > r[0])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_depth_runs_equal_the_loop(spark, seed):
+    rng, ts, samples = random.Random(seed), 0, []
+    for _ in range(60):
+        ts += rng.choice((5, 10, 10, 10, 25, 60))
+        samples.append((ts, {(rng.randint(1, 3), rng.random() < 0.6): rng.randint(1, 3) for _ in range(rng.randint(1, 3))}))
+    rows = [("a", ts, level, qty, bid) for ts, book in samples for (level, bid), qty in book.items()]
+    got = depth.depth_runs(spark.createDataFrame(rows, "symbol string, ts_ms long, level long, qty long, is_bid boolean"), 10).collect()
+    assert sorted((r.level, r.start, r.until, r.qty, r.is_bid) for r in got) == runs_by_loop(samples, 10)
+
+
+def test_touching_runs_coalesce(spark):
+    rows = [("a", 7, True, 0, 20, 5), ("a", 7, True, 20, 30, 3), ("a", 7, True, 100, 110, 3)]
+    merged = depth.coalesce_runs(spark.createDataFrame(rows, depth.RUNS), 0.5).collect()
     assert sorted((r.start, r.until, r.qty) for r in merged) == [(0, 30, 4), (100, 110, 3)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_cooldown_equals_the_loop(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, rng.randint(0, 400), i) for i, k in enumerate(rng.choices("ab", k=150))]
+    wanted = []
+    for k in "ab":
+        free = None
+        for _, x, i in sorted(r for r in rows if r[0] == k):
+            if free is None or x >= free:
+                wanted.append((k, x))
+                free = x + 37
+    got = structure.cooldown(spark.createDataFrame(rows, "k string, x long, i long"), "k", "x", 37, part=50).collect()
+    assert sorted((r.k, r.x) for r in got) == sorted(wanted)
+
+
+def test_block_states_see_all_later_bars(spark):
+    bars = [(k, *x) for k, x in enumerate([(9, 11, 10), (9, 11, 10), (9, 11, 10), (12, 14, 13), (11, 13, 12), (8, 12, 9)])]
+    b = spark.createDataFrame([("a", k, float(h), float(lo), float(c)) for k, lo, h, c in bars], "symbol string, bucket long, high double, low double, close double")
+    blocks = spark.createDataFrame([("a", "up", 0, 3, 11.5, 10.5), ("a", "up", 1, 2, 9.0, 6.5), ("a", "down", 2, 4, 12.5, 11.5), ("a", "up", 5, 5, 1.0, 0.5)], "symbol string, side string, bucket long, known_at long, high double, low double")
+    assert {(r.bucket, r.state) for r in structure.block_states(blocks, b).collect()} == {(0, "invalidated"), (1, "tested"), (2, "mitigated"), (5, "active")}
+
+
 def test_router_takes_the_best_and_gates_rewards(spark):
     row = dict(symbol="a", bucket=1, close=10.0, high=10.5, low=9.5, atr=1.0, delta=-5, swept_low=True, swept_high=False, prev_close=9.0, value_high=12.0, value_low=8.0, poc=11.0, region="asia", cvd_slope=1.0, taker=0.2, regime="chop", vwap=9.0, upper2=12.0, lower2=8.0, divergence=0, volume_ratio=1.0, prev_high20=12.0, prev_low20=8.0)
     d = spark.createDataFrame([row])
