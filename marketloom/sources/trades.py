@@ -14,7 +14,7 @@ LEVELS = T.ArrayType(T.ArrayType(T.StringType()))
 BOOK_JSON = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("ts", T.LongType()),
-    T.StructField("data", T.StructType([T.StructField("s", T.StringType()), T.StructField("b", LEVELS), T.StructField("a", LEVELS)])),
+    T.StructField("data", T.StructType([T.StructField("s", T.StringType()), T.StructField("b", LEVELS), T.StructField("a", LEVELS), T.StructField("u", T.LongType())])),
 ])
 
 def event_trades(events: DataFrame) -> DataFrame:
@@ -35,8 +35,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_trades_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Futures trades in seconds; rows without a positive price are dropped. Ties keep the order of the file."""
-    raw = spark.read.schema(TRADE_CSV).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    """Futures trades in seconds; rows without a positive price are dropped. Ties keep the order of the file, which no task shares (``multiLine``)."""
+    raw = spark.read.schema(TRADE_CSV).option("header", True).option("mode", "DROPMALFORMED").option("multiLine", True).csv(path)
     return raw.where("price > 0").select(
         "symbol", F.round(F.col("timestamp") * 1000).cast("long").alias("ts_ms"), F.monotonically_increasing_id().alias("seq"),
         "price", price_units(F.col("price")).alias("price_units"), F.col("size").alias("qty"), (F.lower("side") == "sell").alias("is_sell"),
@@ -53,10 +53,10 @@ def read_spot_csv(spark: SparkSession, path: str, symbol: str, start_ms: int, en
 
 
 def read_book_json(spark: SparkSession, path: str) -> DataFrame:
-    """Book messages, one JSON per line: ``symbol, ts_ms, seq, type, b, a`` with levels as (price, qty) doubles."""
+    """Book messages, one JSON per line: ``symbol, ts_ms, seq, type, b, a`` with levels as (price, qty) doubles; ``seq`` is the update's id if it has one."""
     raw = spark.read.text(path).select(F.from_json("value", BOOK_JSON).alias("m"), F.monotonically_increasing_id().alias("seq"))
     level = lambda side: F.transform(F.col(f"m.data.{side}"), lambda x: F.struct(x[0].cast("double").alias("price"), x[1].cast("double").alias("qty")))
-    return raw.where("m.type in ('snapshot', 'delta')").select(F.col("m.data.s").alias("symbol"), F.col("m.ts").alias("ts_ms"), "seq", F.col("m.type").alias("type"), level("b").alias("b"), level("a").alias("a"))
+    return raw.where("m.type in ('snapshot', 'delta')").select(F.col("m.data.s").alias("symbol"), F.col("m.ts").alias("ts_ms"), F.coalesce("m.data.u", "seq").alias("seq"), F.col("m.type").alias("type"), level("b").alias("b"), level("a").alias("a"))
 
 
 def parse_force_orders(lines: DataFrame) -> DataFrame:
