@@ -46,6 +46,10 @@ MASKS = 3
 #: Most distinct fingerprints of a bucket that are compared with each other in one task.
 BUCKET = 2048
 CHUNK = 1 << 15
+#: Fingerprints whose variants one task emits.
+FPS_OF_TASK = 8_192
+#: Keys up to which a table that only selects rows is broadcast; a larger one is joined by a shuffle.
+BROADCAST_KEYS = 1 << 20
 #: What the pipeline's stage takes for near copies: this share, in fifths, of the shingles of so many words.
 STAGE_WORDS, FIFTHS = 5, 4
 #: Bands of minima and minima in each: texts that share four fifths meet in a band with probability 1 - (1 - 0.8**4)**14 = 0.9994.
@@ -152,8 +156,10 @@ def ball_hubs(fps: DataFrame) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) that connect distinct fingerprints as all links within ``RADIUS`` do."""
-    reach = variants(fps)
-    sizes = reach.groupBy("bucket").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = max(8, -(-fps.count() // FPS_OF_TASK))
+    reach = variants(fps.repartition(parts))
+    # variants are nearly all distinct: they are shuffled as they are, not counted before
+    sizes = reach.repartition(parts, "bucket").groupBy("bucket").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = scratch.save(sizes, "sizes")
     pairs = sizes.where("n = 2").select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
     met = reach.join(sizes.where("n > 2").select("bucket", "n"), "bucket")
@@ -203,7 +209,7 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``doc_id``, ``key``, ``node`` (a hash of the shingle set), ``fp``, ``bands`` and ``sketch`` (16 bits of each minimum) of every row."""
+    """``doc_id``, ``key``, ``node`` (a hash of the shingle set), ``fp``, ``bands`` and ``sketch`` (8 bits of each minimum) of every row."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -217,7 +223,7 @@ def sketches(rows: DataFrame, key: Sequence[str]) -> DataFrame:
                 low = minima(sets)
                 raw = [xxhash.xxh64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(low.reshape(BANDS, MINIMA))]
                 ids = np.array([xxhash.xxh64_intdigest(sets.tobytes(), seed=7), fp, *raw], np.uint64).view(np.int64).tolist()
-                out.append((ids[0], ids[1], ids[2:], (low & np.uint64(0xFFFF)).astype(np.uint16).tobytes()))
+                out.append((ids[0], ids[1], ids[2:], (low & np.uint64(0xFF)).astype(np.uint8).tobytes()))
             yield pd.concat([batch[["doc_id", *key]].reset_index(drop=True), pd.DataFrame(out, columns=["node", "fp", "bands", "sketch"])], axis=1)
 
     kept = "".join(f", `{k}` long" for k in key)
@@ -245,7 +251,7 @@ def near_by_sketch(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
+        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
         return pd.Series((x == y).mean(axis=1) >= NEAR)
 
     return with_both(pairs, nodes, "sketch").where(near("of_a", "of_b")).select("a", "b")
@@ -289,7 +295,7 @@ def with_near(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for bucket, one, other in zip(batch["bucket"], batch["one"], batch["other"], strict=True):
             rows, _, ask = apart(list(one), list(other))
-            sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint16).reshape(len(rows), -1)
+            sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
             near = [ask[i] & ((sketch == sketch[i]).mean(axis=1) >= NEAR) for i in range(len(rows))]
             out += [(bucket, r["node"], r["label"]) for r, n in zip(rows, near, strict=True) if n.any()]
         yield pd.DataFrame(out, columns=["bucket", "node", "label"], dtype="int64")
@@ -322,12 +328,18 @@ def linked_by_sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
+def if_small(keys: DataFrame) -> DataFrame:
+    """``keys`` with a hint to broadcast, where it is known to have few rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def alike_links(rows: DataFrame, key: Sequence[str], nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """``node``, ``label`` of the nodes (node, fp, bands, sketch, first) that links of shared shingles connect."""
 
     def sets_of(asked: DataFrame, name: str) -> DataFrame:
-        asked = asked.join(nodes, "node").select("node", *[F.col("first")[k].alias(k) for k in key])
-        return scratch.save(shingle_sets(rows.join(asked, key).dropDuplicates(["node"])), name)  # equal rows share a key
+        asked = scratch.save(asked.join(nodes, "node").select("node", *[F.col("first")[k].alias(k) for k in key]), f"{name}-asked")
+        texts = rows.join(if_small(asked), key).select("node", "text")
+        return scratch.save(shingle_sets(texts).groupBy("node").agg(F.first("shingles").alias("shingles")), name)  # equal rows share a key
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -341,18 +353,18 @@ def alike_links(rows: DataFrame, key: Sequence[str], nodes: DataFrame, scratch:
         balls = balls.join(stand.select(F.col("fp").alias(c), F.col("stand").alias(f"node_{c}")), c)
     balls = balls.select(*ordered("node_a", "node_b"))
     # in bands: each node with two drawn ones of its bucket
-    reach = nodes.select("node", "bands", F.posexplode("bands").alias("band", "bucket"))
-    sizes = reach.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    met = scratch.save(looked_up(reach, "bucket", "node", sizes).where("many > 1").select("bucket", "node", "band", "many"), "met")
+    reach = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     drawn = [F.min_by("node", F.xxhash64("node", F.lit(turn))).alias(f"drawn_{turn}") for turn in range(2)]
-    stars = looked_up(met.select("bucket", "node"), "bucket", "node", met.groupBy("bucket").agg(*drawn))
+    sizes = scratch.save(reach.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), *drawn).where("many > 1"), "sizes-of-bands")
+    met = scratch.save(looked_up(reach, "bucket", "node", sizes).where("many > 1"), "met")
+    stars = met.select("node", "drawn_0", "drawn_1")
     stars = stars.select("node", F.explode(F.array("drawn_0", "drawn_1")).alias("y")).where("node <> y").select(*ordered("node", "y"))
     pairs = of_fp.unionByName(balls).unionByName(stars).distinct()
     pairs = scratch.save(near_by_sketch(scratch.save(pairs, "pairs"), nodes), "near-pairs")
     links = scratch.save(alike(pairs, sets_of(ends(pairs), "sets")), "links")
     label = scratch.save(components(links, scratch, "star-labels"), "star-label")
     # buckets that are still apart, whole; crowded ones dealt anew by the other bands
-    seen = looked_up(met, "node", "bucket", label).withColumn("label", F.coalesce("label", "node"))
+    seen = looked_up(met.select("bucket", "node", "band", "many"), "node", "bucket", label).withColumn("label", F.coalesce("label", "node"))
     split = seen.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("apart")).where("apart")
     seen = looked_up(seen, "bucket", "node", split).where("apart").drop("apart")
     dealt = looked_up(seen.where(F.col("many") > BLOCK), "node", "bucket", nodes.select("node", "bands"))
@@ -379,9 +391,15 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     with small_batches(spark):
         label = scratch.save(alike_links(rows, key, nodes, scratch), "labels")
     classed = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    kept = classed.groupBy("label").agg(F.min("first").alias("first"))
-    kept = scratch.finish(kept.select(*[F.col("first")[k].alias(k) for k in key]))
-    return rows.join(kept, key, "left_semi").dropDuplicates(key).select(docs.columns)
+    best = looked_up(classed, "label", "node", classed.groupBy("label").agg(F.min("first").alias("best"))).where("first = best")
+    # rows that go: those of other nodes or keys, and all but one of rows that are equal throughout
+    keys = looked_up(found.select("node", *key), "node", key[0], best.select("node", "first"))
+    gone = keys.where(F.col("first").isNull() | F.lit(False).eqNullSafe(F.struct(*key) == F.struct(*[F.col("first")[k].alias(k) for k in key])))
+    gone = scratch.save(gone.select(*key).distinct(), "gone")
+    again = scratch.save(found.groupBy(*key).count().where("count > 1").select(*key).join(gone, key, "left_anti"), "again")
+    left = rows.join(if_small(gone), key, "left_anti")
+    once = left.join(if_small(again), key, "left_anti").unionByName(left.join(if_small(again), key, "left_semi").dropDuplicates(key))
+    return once.select(docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
