@@ -19,14 +19,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, shared, small_batches, table
+from .common import Scratch, fresh, shared, small_batches, table, worker_wide
 
 BITS = 16
 SAMPLE = 2_000
@@ -60,9 +59,12 @@ OTHER = len(SCRIPTS) + 1
 TOP = 0x32000
 
 
-@cache
 def script_table() -> np.ndarray:
     """Script number of each code point below ``TOP``; 0 for what is no letter."""
+    return worker_wide("script table", made_script_table)
+
+
+def made_script_table() -> np.ndarray:
     letters = np.fromiter((chr(c).isalpha() for c in range(TOP)), bool, TOP)
     found = np.full(TOP, OTHER, np.uint8)
     for k, ranges in enumerate(SCRIPTS.values(), 1):

@@ -338,7 +338,7 @@ def alike_links(rows: DataFrame, key: Sequence[str], nodes: DataFrame, scratch:
 
     def sets_of(asked: DataFrame, name: str) -> DataFrame:
         asked = scratch.save(asked.join(nodes, "node").select("node", *[F.col("first")[k].alias(k) for k in key]), f"{name}-asked")
-        texts = rows.join(if_small(asked), key).select("node", "text")
+        texts = rows.select(*key, "text").join(if_small(asked), key).select("node", "text")
         return scratch.save(shingle_sets(texts).groupBy("node").agg(F.first("shingles").alias("shingles")), name)  # equal rows share a key
 
     def ends(pairs: DataFrame) -> DataFrame:
