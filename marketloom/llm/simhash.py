@@ -246,15 +246,16 @@ def with_both(pairs: DataFrame, found: DataFrame, column: str) -> DataFrame:
     return looked_up(one, "b", "a", found.select(F.col("node").alias("b"), F.col(column).alias("of_b")))
 
 
-def near_by_sketch(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that agree in a share ``NEAR`` of their minima."""
+def nearest_by_sketch(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each ``a`` of the pairs (a, b) the b that agrees with it in most minima, if that is a share ``NEAR`` of them. (An ``a`` has few pairs.)"""
 
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.pandas_udf("double")
+    def share(a: pd.Series, b: pd.Series) -> pd.Series:
         x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-        return pd.Series((x == y).mean(axis=1) >= NEAR)
+        return pd.Series((x == y).mean(axis=1))
 
-    return with_both(pairs, nodes, "sketch").where(near("of_a", "of_b")).select("a", "b")
+    found = with_both(pairs, nodes, "sketch").select("a", "b", share("of_a", "of_b").alias("share")).where(F.col("share") >= NEAR)
+    return found.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -264,15 +265,17 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.select("a", "b")
 
 
-def in_blocks(members: DataFrame, payload: str) -> DataFrame:
-    """Pairs of blocks of each bucket of ``members`` (bucket, node, label, and ``payload``): ``bucket``, ``one``, ``other``.
+def in_blocks(members: DataFrame, found: DataFrame, payload: str) -> DataFrame:
+    """Pairs of blocks of each bucket of ``members`` (bucket, node, label): ``bucket``, ``one``, ``other``.
 
-    Both are lists of (node, label, payload) of at most about ``BLOCK``; ``other`` is empty where a block meets itself.
+    Both are lists of (node, label, ``payload`` of ``found``) of at most about ``BLOCK``; ``other`` is empty where a block meets
+    itself. The payload joins last, as a node is in few buckets and its blocks.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), (F.min("label") < F.max("label")).alias("apart"))
     cut = looked_up(members, "bucket", "node", sizes.where("apart")).where("apart")
     own = F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int")
     cut = cut.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.join(found.select("node", payload), "node")
     row = F.struct("node", "label", payload)
     cut = cut.groupBy("bucket", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
     lists = cut.agg(F.collect_list(F.when(F.col("own") <= F.col("with"), row)).alias("one"), F.collect_list(F.when(F.col("own") > F.col("with"), row)).alias("other"))
@@ -344,23 +347,23 @@ def alike_links(rows: DataFrame, key: Sequence[str], nodes: DataFrame, scratch:
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     # within balls of fingerprints: nodes of one fingerprint with its first, and those that stand for linked ones
     stand = scratch.save(nodes.groupBy("fp").agg(F.min("node").alias("stand")), "stand")
-    of_fp = looked_up(nodes.select("fp", "node"), "fp", "node", stand).where("node <> stand").select(*ordered("node", "stand"))
+    of_fp = looked_up(nodes.select("fp", "node"), "fp", "node", stand).where("node <> stand").select(F.col("node").alias("a"), F.col("stand").alias("b"))
     balls = fingerprint_links(stand.select("fp"), scratch)
     for c in ("a", "b"):
         balls = balls.join(stand.select(F.col("fp").alias(c), F.col("stand").alias(f"node_{c}")), c)
-    balls = balls.select(*ordered("node_a", "node_b"))
+    balls = balls.select(F.col("node_b").alias("a"), F.col("node_a").alias("b"))
     # in bands: each node with two drawn ones of its bucket
     reach = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     drawn = [F.min_by("node", F.xxhash64("node", F.lit(turn))).alias(f"drawn_{turn}") for turn in range(2)]
     sizes = scratch.save(reach.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), *drawn).where("many > 1"), "sizes-of-bands")
     met = scratch.save(looked_up(reach, "bucket", "node", sizes).where("many > 1"), "met")
     stars = met.select("node", "drawn_0", "drawn_1")
-    stars = stars.select("node", F.explode(F.array("drawn_0", "drawn_1")).alias("y")).where("node <> y").select(*ordered("node", "y"))
-    pairs = of_fp.unionByName(balls).unionByName(stars).distinct()
-    pairs = scratch.save(near_by_sketch(scratch.save(pairs, "pairs"), nodes), "near-pairs")
+    stars = stars.select(F.col("node").alias("a"), F.explode(F.array("drawn_0", "drawn_1")).alias("b")).where("a <> b")
+    # each node is held to its nearest of these; what else is alike comes to light below
+    pairs = scratch.save(of_fp.unionByName(balls).unionByName(stars).distinct(), "pairs")
+    pairs = scratch.save(nearest_by_sketch(pairs, nodes), "near-pairs")
     links = scratch.save(alike(pairs, sets_of(ends(pairs), "sets")), "links")
     label = scratch.save(components(links, scratch, "star-labels"), "star-label")
     # buckets that are still apart, whole; crowded ones dealt anew by the other bands
@@ -371,11 +374,10 @@ def alike_links(rows: DataFrame, key: Sequence[str], nodes: DataFrame, scratch:
     dealt = dealt.select("bucket", "band", "node", "label", F.posexplode("bands").alias("again", "by")).where("again <> band")
     dealt = dealt.select(F.xxhash64("bucket", "again", "by").alias("bucket"), "node", "label")
     members = scratch.save(seen.where(F.col("many") <= BLOCK).select("bucket", "node", "label").unionByName(dealt), "members")
-    sketch = nodes.select("node", "sketch")
-    near = in_blocks(looked_up(members, "node", "bucket", sketch), "sketch").mapInPandas(with_near, "bucket long, node long, label long")
+    near = in_blocks(members, nodes, "sketch").mapInPandas(with_near, "bucket long, node long, label long")
     near = scratch.save(near.distinct(), "near")
     sets = sets_of(near.select("node").distinct(), "rest-sets")
-    rest = in_blocks(looked_up(near, "node", "bucket", sets), "shingles").mapInPandas(linked_by_sets, "a long, b long")
+    rest = in_blocks(near, sets, "shingles").mapInPandas(linked_by_sets, "a long, b long")
     rest = scratch.save(rest.distinct(), "rest-links")
     return components(links.unionByName(rest), scratch, "all-labels")
 
