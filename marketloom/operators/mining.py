@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .reports import rate
@@ -43,6 +43,25 @@ def undominated(stats: DataFrame) -> DataFrame:
     return stats.join(beaten, "rule", "left_anti")
 
 
+def permutation_null(rows: DataFrame, block: list[str], order: str, permutations: int) -> DataFrame:
+    """For each single condition of ``holds`` its mean result, and the share of permutations whose best condition does as well.
+
+    Results are shuffled within blocks (a symbol's day, say), which keeps each block's level and bounds what one task holds;
+    the draws are hashes of the permutation and ``order``, so reruns agree.
+    """
+    by = Window.partitionBy(*block).orderBy(order)
+    placed = rows.select(*block, "holds", "r", F.row_number().over(by).alias("place"), F.col(order).alias("_o"))
+    copies = placed.select(*block, "_o", F.col("r").alias("drawn"), F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("k"))
+    draw = F.md5(F.concat_ws(":", F.col("k").cast("string"), F.col("_o").cast("string")).cast("binary"))
+    copies = copies.withColumn("place", F.row_number().over(Window.partitionBy(*block, "k").orderBy(draw, "_o"))).drop("_o")
+    met = placed.join(copies, [*block, "place"]).select("k", "drawn", F.explode("holds").alias("rule"))
+    best = met.groupBy("k", "rule").agg(F.avg("drawn").alias("mean")).groupBy("k").agg(F.max("mean").alias("best"))  # a row for each permutation
+    found = rows.select("r", F.explode("holds").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"))
+    nulls = best.agg(F.collect_list("best").alias("all"))  # one row
+    as_good = F.size(F.filter("all", lambda x: x >= F.col("mean")))
+    return found.join(F.broadcast(nulls)).select("rule", "n", F.round("mean", 6).alias("avg_r"), ((as_good + 1) / (permutations + 1)).alias("p"))
+
+
 def bootstrap_mean(rows: DataFrame, key: str, resamples: int = 1000, seed: int = 7) -> DataFrame:
     """2.5 % and 97.5 % bounds of the mean of ``r`` by key, by Poisson resampling.
 
