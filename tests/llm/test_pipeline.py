@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marketloom.llm import mixing, packing, pii, simhash
+from marketloom.llm import mixing, pii, simhash
 
 ROOT = Path(__file__).resolve().parents[2]
 STAGE = dict(corpus_pipeline.STAGES)
@@ -126,14 +126,6 @@ def test_stages_of_nothing_give_nothing(spark, docs, name):
     assert STAGE[name](spark, docs.limit(0), "").count() == 0
 
 
-def test_stages_follow_each_other(spark, docs):
-    out = docs
-    for name, stage in corpus_pipeline.STAGES:
-        before, out = out, stage(spark, out, "")
-        assert name == "best_fit_packing" or out.columns == docs.columns
-        assert {r.doc_id for r in out.select("doc_id").collect()} <= {r.doc_id for r in before.select("doc_id").collect()}
-
-
 def test_crowded_buckets_are_dealt_anew_and_blocks_meet(spark, monkeypatch):
     """Texts that share a passage but are not alike, and near copies of one that differ from each other: blocks of 8 nodes."""
     monkeypatch.setattr(simhash, "BLOCK", 8)
@@ -161,7 +153,3 @@ print("rows", e.queries()[{name!r}](spark, {sf_dir!r}).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert re.search(r"rows \d+", done.stdout), done.stderr[-2000:]
-
-
-def test_packing_names():
-    assert packing.names(packing.PIECES)[:2] == ["doc_id", "piece"]
