@@ -40,13 +40,14 @@ SPELLED = r"\(at\)|\[at\]"
 TRIGGER = rf"[0-9@]|{SPELLED}"
 WINDOW, STRIDE = 96, 48
 SAMPLE_DOCS, SAMPLE_WINDOWS, OF_TEXT = 60_000, 400, 2
-STEPS, BATCH, HIDDEN, EMBED, RATE = 500, 48, 16, 12, 0.02
+STEPS, BATCH, HIDDEN, EMBED, RATE = 800, 48, 16, 12, 0.02
 #: Ways to rewrite a span of each kind that the network is trained on.
 WAYS = (0, 1, 2, 3)
 SURE = 0.6
 Span = tuple[str, int, int]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DIGITS = frozenset("0123456789")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # from the start of a run of digits: inner starts fail where it fails
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -309,6 +310,7 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> lis
                 a += 1
             while b > a and text[b - 1].isspace():
                 b -= 1
+            a, b = widened(kind, text, a, b)
             if sure < SURE or any(a < y and x < b for _, x, y in own):
                 continue
             # neighbours of a kind without a boundary tag between them are told apart by blanks
@@ -318,6 +320,18 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> lis
     return out
 
 
+def widened(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
+    """The span with the rest of the names or numbers that its ends cut."""
+    head, tail = (LOCAL, LOCAL - set("_%+")) if kind == "email" else (DIGITS, DIGITS)
+    while 0 < a < len(text) and text[a] in head and text[a - 1] in head:
+        a -= 1
+    while 0 < b < len(text) and text[b - 1] in tail and text[b] in tail:
+        b += 1
+    while kind == "email" and b > a and text[b - 1] in ".-":
+        b -= 1
+    return a, b
+
+
 def rewritten(rng: np.random.Generator, kind: str, text: str, ways: tuple = WAYS) -> str:
     """Another way to write a span, which the patterns may miss."""
     way = int(rng.choice(ways))
@@ -332,8 +346,17 @@ def rewritten(rng: np.random.Generator, kind: str, text: str, ways: tuple = WAYS
     return (f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"{digits[:3]}-{digits[3:6]}-{digits[6:]}", f"{digits[:3]}.{digits[3:6]}.{digits[6:]}", f"+{digits[:3]}/{digits[3:6]}/{digits[6:]}")[way]
 
 
+def relettered(rng: np.random.Generator, text: str) -> str:
+    """An address of the same shape: other letters, and letters for most digits; parts grow or lose letters."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    draw = lambda n: "".join(letters[i] for i in rng.integers(0, 26, n))
+    out = [c if not c.isalnum() or (c.isdigit() and rng.random() < 0.3) else draw(int(rng.choice((0, 1, 1, 1, 2)))) for c in text]
+    parts = re.split(r"([@.])", "".join(out))
+    return "".join(p or draw(3) for p in parts)
+
+
 def examples(windows: list[tuple[str, list[Span]]], seed: int = 5, ways: tuple = WAYS) -> tuple[np.ndarray, np.ndarray]:
-    """Encoded windows and tags: each window as it is, and with its spans rewritten or doubled."""
+    """Encoded windows and tags: each window as it is, with its spans rewritten or doubled, and each span in each way in windows without any."""
     rng = np.random.default_rng(seed)
     ids, tags = [], []
 
@@ -347,10 +370,18 @@ def examples(windows: list[tuple[str, list[Span]]], seed: int = 5, ways: tuple =
         ids.append(encode(text[:WINDOW]))
         tags.append(row)
 
+    clean = [text for text, spans in windows if not spans]
     for text, spans in windows:
         put(text, spans)
         if not spans:
             continue
+        for (kind, a, b), way in ((s, w) for s in spans for w in ways if clean):
+            span = relettered(rng, text[a:b]) if kind == "email" and rng.random() < 0.7 else text[a:b]
+            new, host = rewritten(rng, kind, span, (way,)), clean[int(rng.integers(len(clean)))]
+            at = int(rng.integers(0, max(1, WINDOW - len(new) - 1)))
+            before = host[:at].rpartition(" ")[0]
+            before += " " if before else ""
+            put(f"{before}{new} {host[at:].partition(' ')[2]}", [(kind, len(before), len(before) + len(new))])
         other, moved, at = "", [], 0
         for kind, a, b in spans:
             if a < at:
