@@ -3,8 +3,8 @@
 Vectors of equal label are compared by cosine; on unit vectors that is Euclidean distance, and the
 threshold becomes a distance. Copies of a vector are one point with a weight. A label's tree has two tiers.
 
-The upper one is built and traversed by Spark, level by level: a node of over ``CELL`` points is opened into about ``FAN``
-children, each around one of its points drawn by hash, and points go to the nearest. Pairs of nodes start with the label's root
+The upper one is built and traversed by Spark, level by level: a node of over ``CELL`` points is opened into children of about
+half a cell, ``FAN`` of them at most, each around one of its points drawn by hash, and points go to the nearest. Pairs of nodes start with the label's root
 and itself; the pairs of their children are formed on the next level and pruned by centre distance and covering
 radii, so that cells far apart never meet. A pair nearer than the threshold minus both radii is linked whole on the
 level where that is seen. (Points that are equal but for rounding cannot be told apart by distance; such nodes are cut by hash.)
@@ -220,7 +220,7 @@ def upper_tier(points: DataFrame, scratch: Scratch, cell: int) -> list[tuple[Dat
         large = nodes.where(F.col("many") > cell).withColumn("parts", F.ceil(F.col("many") / cell).cast("int"))
         inside = looked_up_by_label(placed.drop("parent"), large.select("label", "node", "many", "parts", "radius", "centre"))
         draw = F.shiftrightunsigned(F.xxhash64("point", F.lit(level)), 11) / F.lit(float(1 << 53))
-        pivots = inside.where((F.col("radius") > SLACK) & ((draw < FAN / F.col("many")) | (F.col("point") == F.col("centre"))))
+        pivots = inside.where((F.col("radius") > SLACK) & ((draw < F.least(FAN / F.col("many"), F.lit(2.0 / cell))) | (F.col("point") == F.col("centre"))))
         pivots = scratch.save(pivots.select("label", "node", "parts", F.col("point").alias("pivot"), F.col("v").alias("p")), f"pivots-{level}")
         # a node's points are dealt to tasks of at most about a cell, each with all its pivots
         copies = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
