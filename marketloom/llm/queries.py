@@ -15,6 +15,7 @@ from .packing import op5_pack
 from .pii import op2_pii
 from .scoring import op4_score
 from .simhash import op8_simhash
+from .substrings import OP12_SQL, op12_dedup
 from .warc import OP1_SQL, op1_warc
 
 
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_balls": op8_simhash,
         "op9_cover_tree_pairs": op9_near_pairs,
         "op10_ivf_pq": op10_search,
+        "op12_substring_dedup": op12_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op9_cover_tree_pairs": OP9_SQL}
+    return {"op1_warc_index": OP1_SQL, "op9_cover_tree_pairs": OP9_SQL, "op12_substring_dedup": OP12_SQL}
