@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .covertree import OP9_SQL, op9_near_pairs
+from .divergence import OP11_SQL, op11_audit
 from .html_text import op6_extract
 from .ivfpq import op10_search
 from .language import op7_language
+from .manifest import OP13_SQL, op13_manifest
 from .mixing import op3_mix
 from .packing import op5_pack
 from .pii import op2_pii
@@ -31,9 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_balls": op8_simhash,
         "op9_cover_tree_pairs": op9_near_pairs,
         "op10_ivf_pq": op10_search,
+        "op11_divergence_audit": op11_audit,
         "op12_substring_dedup": op12_dedup,
+        "op13_merkle_manifest": op13_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op9_cover_tree_pairs": OP9_SQL, "op12_substring_dedup": OP12_SQL}
+    return {"op1_warc_index": OP1_SQL, "op9_cover_tree_pairs": OP9_SQL, "op11_divergence_audit": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
