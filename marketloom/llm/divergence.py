@@ -87,21 +87,20 @@ def tile_sums(block: int):
     def sums(rows: pa.Table, groups: pa.Table) -> pa.Table:
         """One tile for one pair of blocks of sources, from ``(term, g, p, n)``: sums of all pairs across the blocks.
 
-        A tile of heavy terms has a row a term. Tile -1 has light counts: there ``term`` is the count, ``n`` the number of light terms
-        of ``g`` with it; then only ``g`` departs from its share of nothing, and a row of such shares stands for the other terms.
+        A tile of heavy terms has a row for each of ``terms`` in it. Tile -1 has light counts: there ``term`` is the count, ``n`` the number of light terms
+        of ``g`` with it; then only ``g`` departs from its share of nothing, and ``terms`` is the number of all light ones.
         """
         lang, tile, low, high = (groups[c][0].as_py() for c in ("lang", "tile", "low", "high"))
-        ids, none, light = (groups[c].to_numpy() for c in ("g", "none", "light"))
+        ids, none, terms = (groups[c].to_numpy() for c in ("g", "none", "terms"))
         order = np.argsort(ids)
-        ids, none, light = ids[order], none[order], light[order]
+        ids, none, terms = ids[order], none[order], terms[order]
         g, p, n = (rows[c].to_numpy() for c in ("g", "p", "n"))
         at = np.searchsorted(ids, g)
         left = np.flatnonzero(ids // block == low)
         right = np.flatnonzero(ids // block == high)
-        total = np.zeros((len(ids), len(ids)), np.int64)
+        base = f(none[:, None], none[None, :])
         if tile < 0:
-            base = f(none[:, None], none[None, :])
-            total += light[0] * base
+            total = terms[0] * base
             for k in range(len(at)):
                 j = at[k]
                 total[j] += n[k] * (f(p[k], none) - base[j])
@@ -110,8 +109,9 @@ def tile_sums(block: int):
             _, term = np.unique(rows["term"].to_numpy(), return_inverse=True)
             dense = np.tile(none, (term.max(initial=-1) + 1, 1))
             dense[term, at] = p
+            total = (terms[0] - len(dense)) * base  # terms of this tile that none of these sources has
             for j in range(len(ids)):
-                total[j] = f(dense[:, j : j + 1], dense).sum(axis=0)
+                total[j] += f(dense[:, j : j + 1], dense).sum(axis=0)
         out = [(a, b) for a, b in ((left, right), (right, left))][: 1 if low == high else 2]
         a, b = (np.concatenate([np.repeat(x, len(y)) if k == 0 else np.tile(y, len(x)) for x, y in out]) for k in range(2))
         a, b = a[a != b], b[a != b]
@@ -170,22 +170,26 @@ def audit(docs: DataFrame, scratch: Scratch, ranks: int = RANKS, light: int = LI
     by_value = Window.partitionBy(*key).orderBy(F.col("value").desc(), F.col("item").asc())
     listed = listed.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= ranks)
 
-    stats = shares.groupBy("lang").agg(F.sum(F.when(F.col("heavy"), 1).otherwise(0)).alias("heavy_rows"), F.sum(F.when(F.col("heavy"), 0).otherwise(1)).alias("light_rows"), F.countDistinct(F.when(~F.col("heavy"), F.col("term"))).alias("light"))
-    groups = groups.join(stats, "lang", "left").na.fill(0, ["heavy_rows", "light_rows", "light"])
+    stats = shares.groupBy("lang").agg(F.sum(F.when(F.col("heavy"), 1).otherwise(0)).alias("heavy_rows"), F.sum(F.when(F.col("heavy"), 0).otherwise(1)).alias("light_rows"))
+    groups = groups.join(stats, "lang", "left").na.fill(0, ["heavy_rows", "light_rows"])
     # tiles of about TILE terms that all sources have; -1 for the light counts
     tiles = F.ceil(F.col("heavy_rows") / F.col("of") / F.lit(tile)).cast("int")
-    meta = scratch.save(groups.select("lang", "source", "g", "none", "light", "light_rows", "of", tiles.alias("tiles")), "meta")
+    meta = scratch.save(groups.select("lang", "source", "g", "none", "light_rows", "of", tiles.alias("tiles")), "meta")
     of_lang = meta.groupBy("lang").agg(F.max("tiles").alias("tiles"), F.max("light_rows").alias("light_rows"))
+    of_lang = F.broadcast(of_lang) if of_lang.count() < 10_000 else of_lang
+    tile_of = F.when(F.col("heavy"), F.pmod(F.xxhash64("term"), "tiles").cast("int")).otherwise(-1).alias("tile")
+    of_tile = terms.join(of_lang, "lang").withColumn("heavy", heavy).groupBy("lang", tile_of).agg(F.count(F.lit(1)).alias("terms"))
     last = F.floor((F.col("of") - 1) / block).cast("int")
     mine = F.floor(F.col("g") / block).cast("int")
     meets = lambda df: df.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("*", F.least(mine, "other").alias("low"), F.greatest(mine, "other").alias("high"))
-    rows = shares.join(F.broadcast(of_lang) if of_lang.count() < 10_000 else of_lang, "lang")
-    dense = rows.where("heavy").select("lang", F.pmod("hash", "tiles").cast("int").alias("tile"), "hash", "term", "g", "p", F.lit(1).cast("long").alias("n"), "of")
+    rows = shares.join(of_lang.drop("of"), "lang")
+    dense = rows.where("heavy").select("lang", tile_of, "term", "g", "p", F.lit(1).cast("long").alias("n"), "of")
     single = rows.where("NOT heavy").groupBy("lang", "g", "n", "p", "of").agg(F.count(F.lit(1)).alias("many"))
-    single = single.select("lang", F.lit(-1).alias("tile"), F.col("n").alias("hash"), F.lit("").alias("term"), "g", "p", F.col("many").alias("n"), "of")
+    single = single.select("lang", F.lit(-1).alias("tile"), F.lit("").alias("term"), "g", "p", F.col("many").alias("n"), "of")
     keys = ["lang", "tile", "low", "high"]
-    left = meets(dense.unionByName(single)).drop("of", "other", "hash")
-    right = meets(meta.withColumn("tile", F.explode(F.sequence(F.lit(-1), F.col("tiles") - 1)))).select(*keys, "g", "none", "light")
+    left = meets(dense.unionByName(single)).drop("of", "other")
+    right = meta.withColumn("tile", F.explode(F.sequence(F.lit(-1), F.col("tiles") - 1))).join(of_tile, ["lang", "tile"], "left").na.fill(0, ["terms"])
+    right = meets(right).select(*keys, "g", "none", "terms")
     tiled = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile_sums(block), PARTIAL)
     chunks = F.pmod("hash", F.ceil(F.col("light_rows") / chunk)).cast("int")
     listed_pairs = rows.where("NOT heavy").select("lang", chunks.alias("chunk"), F.col("hash").alias("key"), "term", "g", "p", "none").groupBy("lang", "chunk").applyInArrow(posting_sums, PARTIAL)
