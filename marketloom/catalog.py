@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import auction, bars, files, flow, indicators, patterns, reports
+from .plans import auction, bars, files, flow, indicators, patterns, phases, reports
 
 FLAGSHIP = "vwap_session_bands"
-QUERIES = bars.QUERIES | indicators.QUERIES | flow.QUERIES | reports.QUERIES | auction.QUERIES | files.QUERIES | patterns.QUERIES
+QUERIES = bars.QUERIES | indicators.QUERIES | flow.QUERIES | reports.QUERIES | auction.QUERIES | files.QUERIES | patterns.QUERIES | phases.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
