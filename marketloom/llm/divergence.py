@@ -175,7 +175,7 @@ def audit(docs: DataFrame, scratch: Scratch, ranks: int = RANKS, light: int = LI
     # tiles of about TILE terms that all sources have; -1 for the light counts
     tiles = F.ceil(F.col("heavy_rows") / F.col("of") / F.lit(tile)).cast("int")
     meta = scratch.save(groups.select("lang", "source", "g", "none", "light_rows", "of", tiles.alias("tiles")), "meta")
-    of_lang = meta.groupBy("lang").agg(F.max("tiles").alias("tiles"), F.max("light_rows").alias("light_rows"))
+    of_lang = meta.groupBy("lang").agg(F.max("tiles").alias("tiles"), F.max("light_rows").alias("light_rows"), F.max("of").alias("of"))
     of_lang = F.broadcast(of_lang) if of_lang.count() < 10_000 else of_lang
     tile_of = F.when(F.col("heavy"), F.pmod(F.xxhash64("term"), "tiles").cast("int")).otherwise(-1).alias("tile")
     of_tile = terms.join(of_lang, "lang").withColumn("heavy", heavy).groupBy("lang", tile_of).agg(F.count(F.lit(1)).alias("terms"))
