@@ -125,6 +125,13 @@ def book_bars(features: DataFrame, interval_ms: int = 60_000) -> DataFrame:
     )
 
 
+def book_minutes(samples: DataFrame, interval_ms: int = 60_000, n: int = 5) -> DataFrame:
+    """``book_bars`` of samples with the mean near liquidity of the best ``n`` levels, for archives of whole days."""
+    near = samples.select("symbol", "ts_ms", near_liquidity(n).alias("near")).select("symbol", (F.col("ts_ms") - F.pmod("ts_ms", F.lit(interval_ms))).alias("bucket"), "near.*")
+    means = near.groupBy("symbol", "bucket").agg(*[F.avg(c).alias(f"{c}{n}") for c in ("near_bid", "near_ask", "max_bid", "max_ask")])
+    return book_bars(book_features(samples), interval_ms).join(means, ["symbol", "bucket"])
+
+
 def book_seconds(features: DataFrame) -> DataFrame:
     """The last sample of each second."""
     rest = [c for c in features.columns if c != "symbol"]
