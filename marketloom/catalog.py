@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import auction, bars, books, files, flow, indicators, patterns, phases, reports
+from .plans import auction, bars, books, files, flow, indicators, patterns, phases, profiles, reports
 
 FLAGSHIP = "vwap_session_bands"
-QUERIES = bars.QUERIES | indicators.QUERIES | flow.QUERIES | reports.QUERIES | auction.QUERIES | files.QUERIES | patterns.QUERIES | phases.QUERIES | books.QUERIES
+QUERIES = bars.QUERIES | indicators.QUERIES | flow.QUERIES | reports.QUERIES | auction.QUERIES | files.QUERIES | patterns.QUERIES | phases.QUERIES | books.QUERIES | profiles.QUERIES
+QUERIES["profile_contiguous_area"] = (QUERIES["profile_contiguous_area"][0], profiles.CONTIGUOUS_SQL)
 QUERIES["source_book_replay"] = (QUERIES["source_book_replay"][0], books.REPLAY_SQL)
 
 
