@@ -163,3 +163,40 @@ def closed_periods(bars: DataFrame, period_ms: int, name: str) -> DataFrame:
     ends = bars.groupBy("symbol", period).agg(F.max_by(F.struct(*cols), F.when(F.col(cols[0]).isNotNull(), F.col("bucket"))).alias("_end"))
     before = ends.select("symbol", "_period", *[F.lag(F.col(f"_end.{c}")).over(Window.partitionBy("symbol").orderBy("_period")).alias(f"prior_{c}") for c in cols])
     return bars.withColumn("_period", period).join(before, ["symbol", "_period"], "left").drop("_period")
+
+
+AREAS = "symbol string, n long, va_poc double, va_high double, va_low double"
+
+
+def value_areas(bars: DataFrame, window: int, step: float, chunk: int = CHUNK) -> DataFrame:
+    """``va_poc``, ``va_high``, ``va_low`` of the last ``window`` bars, the current one included: volumes at the price steps next to their closes.
+
+    The largest steps until 70 % of the volume is inside, the lower of equal ones first; the point of control is the highest of equal ones.
+    Volumes come and go with their bars; chunks as in ``rolling_profile``.
+    """
+    own = F.floor(F.col("n") / chunk)
+    level = F.round(F.col("close") / step).cast("long").alias("level")
+    placed = bars.select("symbol", "n", level, F.col("volume").cast("long").alias("volume"), F.explode(F.sequence(own, F.floor((F.col("n") + window - 1) / chunk))).alias("_chunk"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n", ignore_index=True)
+        held: dict[int, int] = {}
+        out = []
+        for i, (n, level, volume) in enumerate(zip(rows["n"], rows["level"], rows["volume"], strict=True)):
+            held[level] = held.get(level, 0) + volume
+            if i >= window:
+                gone = rows["level"][i - window]
+                held[gone] -= rows["volume"][i - window]
+                if not any(rows["level"][i - window + 1 : i + 1] == gone):
+                    del held[gone]
+            if n >= int(key[1]) * chunk:
+                total, inside, chosen = sum(held.values()), 0, []
+                for at in sorted(held, key=lambda x: (-held[x], x)):
+                    chosen.append(at)
+                    inside += held[at]
+                    if inside >= 0.70 * total:
+                        break
+                out.append((key[0], n, max(held, key=lambda x: (held[x], x)) * step, max(chosen) * step, min(chosen) * step))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in AREAS.split(", ")])
+
+    return bars.join(placed.groupBy("symbol", "_chunk").applyInPandas(run, AREAS), ["symbol", "n"])
