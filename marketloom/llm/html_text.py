@@ -4,9 +4,9 @@
 sidebars, notices, adverts, forms, comments, by element, role or class), article (inside an article or main element), or
 open. Pages of one host with the same lines are one page. Pages are ordered by host and URL path; each is aligned with
 its ``ASKED`` nearest ones by longest common subsequences of lines. A line that ``SHARED`` of them or more have in line
-with it belongs to the frame and is deleted, in articles too, if at least ``FEW`` pages share it there. A passage that a
-few neighbours quote or copy stays. Of a page with an article the other lines go, as markup that says where the text is
-needs no neighbours.
+with it belongs to the frame and is deleted. A passage that a few neighbours quote or copy stays. Of a page with an
+article the other lines go, as markup that says where the text is needs no neighbours; within it only lines at its ends
+go that all neighbours, ``FEW`` at least, have in line, and a line between two that stay never does.
 
 Only 64-bit hashes of lines are shuffled for the alignment, in chunks of ``CHUNK`` pages in URL order that
 overlap by ``REACH``, so a host of any size is spread over tasks and results do not depend on the partitions.
@@ -34,7 +34,7 @@ from .common import Scratch, table
 
 CHUNK = 64
 REACH = 8
-#: Nearest pages that a page is aligned with, the share of them that makes a line the frame's, and the least number within an article.
+#: Nearest pages that a page is aligned with, the share of them that makes a line the frame's, and the least number that empties an article's ends.
 ASKED, SHARED, FEW = 8, 0.5, 3
 RANGE_ROWS = 20_000
 BOILERPLATE, ARTICLE, OPEN = 0, 1, 2
@@ -197,7 +197,15 @@ def difference(rows: list[tuple[str, str, list[int], list[int]]], i: int) -> lis
         for a, _ in longest_common(heads, other):
             for p in own[a]:
                 votes[mine[p]] += 1
-    return [p for p, n in enumerate(votes) if n and n >= SHARED * len(near) and (roles[p] != ARTICLE or n >= FEW)]
+    gone = [p for p, n in enumerate(votes) if n and roles[p] != ARTICLE and n >= SHARED * len(near)]
+    return sorted(gone + ends(votes, roles, len(near)))
+
+
+def ends(votes: list[int], roles: list[int], asked: int) -> list[int]:
+    """Lines at either end of an article that all neighbours have in line; never the whole article, nor a line between two kept ones."""
+    own = [p for p, role in enumerate(roles) if role == ARTICLE]
+    kept = [k for k, p in enumerate(own) if votes[p] < max(asked, FEW)]
+    return own[: kept[0]] + own[kept[-1] + 1 :] if kept else []
 
 
 def split_url(pages: DataFrame) -> DataFrame:

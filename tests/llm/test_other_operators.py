@@ -97,6 +97,16 @@ def test_frames_go_and_copies_stay(spark):
     assert all(found[200 + i] == f"a {i // 2}\nb {i // 2}\nc {i}" for i in range(12))
 
 
+def test_articles_keep_what_stands_inside(spark):
+    """A clause that all pages of a host repeat stays between own lines, and an article that is all shared stays whole."""
+    clause, award = "<p>The usual clause applies.</p>", '<p>Terms as agreed.</p>'
+    rows = [(i, f"http://law.example/case/{i:02d}", f"<article><h1>Case {i}</h1>{clause}<p>Own {i}</p>{award}<p>Closing {i}</p></article><div>{i}</div>") for i in range(6)]
+    rows += [(100 + i, f"http://same.example/{i:02d}", f"<div>Page {i}</div><article><h1>One text</h1><p>for all</p></article>") for i in range(12)]
+    found = {r.page_id: r.text for r in html_text.extract(spark, spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(found[i] == f"Case {i}\nThe usual clause applies.\nOwn {i}\nTerms as agreed.\nClosing {i}" for i in range(6))
+    assert all(found[100 + i] == "One text\nfor all" for i in range(12))
+
+
 def article_by_pattern(page):
     """The driver's pages by one pattern, without a reader of elements."""
     body = re.search("<article>(.*?)</article>", page, re.S)[1]
