@@ -105,6 +105,18 @@ def patched(s, d):
     return sinks.latest(s.read.parquet(at), ["symbol", "bucket"], ["version"]).select("symbol", "bucket", "close", F.col("version").cast("long").alias("version"))
 
 
+def patched_in_place(s, d):
+    """Closes set on the last hour of each day, then outcomes added to a third of the hours, with the version that the first patch left."""
+    at = folder(s)
+    b = hourly(s, d).select("symbol", "bucket", "close", F.floor(F.col("bucket") / DAY).cast("long").alias("day"))
+    sinks.patch_in_place(s, at, b, ["symbol", "bucket"], "day")
+    late = b.where(F.col("bucket") % DAY == 23 * HOUR)
+    sinks.patch_in_place(s, at, late.withColumn("close", -F.col("close")).withColumn("version", F.lit(1).cast("long")), ["symbol", "bucket"], "day")
+    odd = b.where((F.col("day") % 3 == 0) & (F.col("bucket") / HOUR % 3 == 0)).select("symbol", "bucket", "day", F.round(F.col("close") * 2, 6).alias("outcome"))
+    sinks.patch_in_place(s, at, odd, ["symbol", "bucket"], "day", insert=False)
+    return s.read.option("mergeSchema", True).parquet(at).select("symbol", "bucket", "close", "outcome", "version")
+
+
 def replaced(s, d):
     at, b = folder(s), hourly(s, d).select("symbol", "bucket", "close").withColumn("day", F.floor(F.col("bucket") / DAY).cast("long"))
     sinks.replace_set(b, at, "day")
@@ -167,6 +179,11 @@ CASE WHEN NOT is_sell OR f THEN (qty % 4 + CAST(f AS INTEGER))::DOUBLE END AS as
     "source_json_lines": (json_log, f"WITH {T} SELECT symbol, seq, price, qty, ts_ms FROM t"),
     "sink_bars": (stored_bars, f"WITH {B} SELECT symbol, bucket, close, volume FROM b"),
     "sink_patch": (patched, f"WITH {B} SELECT symbol, bucket, CASE WHEN bucket % {DAY} = 0 THEN -close ELSE close END AS close, CAST(CASE WHEN bucket % {DAY} = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM b"),
+    "sink_patch_in_place": (
+        patched_in_place,
+        f"""WITH {B}, x AS (SELECT *, bucket % {DAY} = {23 * HOUR} AS late, (bucket // {DAY}) % 3 = 0 AND (bucket // {HOUR}) % 3 = 0 AS odd FROM b)
+SELECT symbol, bucket, CASE WHEN late THEN -close ELSE close END AS close, CASE WHEN odd THEN round(close * 2, 6) END AS outcome, CAST(1 + CAST(late AS INT) + CAST(odd AS INT) AS BIGINT) AS version FROM x""",
+    ),
     "sink_replace": (replaced, f"WITH {B} SELECT symbol, bucket, close FROM b WHERE bucket // {DAY} <> {START // DAY + 3} OR close > 20"),
     "sink_csv": (exported, f"WITH {B} SELECT symbol, bucket, close, volume FROM b"),
     "stream_bars": (stream_bars, f"WITH {B} SELECT symbol, bucket, open, high, low, close, buy_qty, sell_qty FROM b WHERE bucket + {HOUR} <= {FINAL}"),
