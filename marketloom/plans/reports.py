@@ -51,7 +51,7 @@ def context(s, d):
 
 
 def routed(s, d):
-    return rounded(detectors.route(context(s, d)), "entry", "stop", "target", "score", digits=4)
+    return rounded(detectors.route(context(s, d)), "entry", "stop", "target", "score")
 
 
 def simulated(s, d):
