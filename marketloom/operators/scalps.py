@@ -80,3 +80,100 @@ def auction_state(bars: DataFrame) -> DataFrame:
     evidence = [(state, F.expr(TESTS[test]), points, test) for state, rows in POINTS.items() for test, points in rows.items()]
     state, confidence, reasons = voted(evidence, list(POINTS), 30)
     return bars.withColumns({"state": state, "confidence": confidence.cast("int"), "reasons": reasons})
+
+
+@dataclass(frozen=True)
+class FadeRules:
+    """Fixed values of the two fades."""
+
+    spread_ticks: float = 2.0
+    most_volume: float = 5.0
+    delta_z: float = 1.5
+    least_volume: float = 2.0
+    score: float = 55.0
+    reward: float = 1.5
+    tick: float = 0.10
+    flow_bars: int = 20
+    lookback: int = 20
+    strength: float = 0.30
+    fresh: int = 5
+    history: int = 100
+
+
+def ramped(value: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+
+
+def turns_of(flows: Column, s: Column, least: int = 4) -> Column:
+    """Steps of a series that go to the side ``s``, 0 for a short one."""
+    steps = F.zip_with(F.slice(flows, 2, 1_000), flows, lambda b, a: F.when((b - a) * s > 0, 1).otherwise(0))
+    return F.when(F.size(flows) >= least, F.aggregate(F.filter(steps, lambda x: x.isNotNull()), F.lit(0), lambda a, x: a + x)).otherwise(0)
+
+
+def absorption_fade(bars: DataFrame, rules: FadeRules | None = None) -> DataFrame:
+    """Fades at the edge of a range where aggression meets a bar that closes against it.
+
+    Needs ``bucket, open, high, low, close, dz, vr, atr, spread_ticks, regime, range_high, range_low, cvd`` and, null if unknown, ``candle_poc, poc, big_sell, big_buy, liq_ratio``.
+    """
+    from .indicators import rows
+
+    r = rules or FadeRules()
+    c = F.col
+    at = F.coalesce(F.try_divide(c("close") - c("range_low"), c("range_high") - c("range_low")), F.lit(0.5))
+    out = bars.withColumns({"_flows": F.collect_list("cvd").over(rows(1 - r.flow_bars)), "_s": F.when(at < 0.35, 1).when(at > 0.65, -1)})
+    s, atr = c("_s"), F.greatest("atr", F.lit(10.0))
+    inside = F.when(s > 0, c("close") >= c("range_low")).otherwise(c("close") <= c("range_high"))
+    out = out.where((c("regime") == "range") & (region(c("bucket")) != "off_hours") & c("range_high").isNotNull() & (c("spread_ticks") <= r.spread_ticks) & c("vr").between(r.least_volume, r.most_volume))
+    out = out.where(s.isNotNull() & (c("dz") * s <= -r.delta_z) & inside & ((c("close") - c("open")) * s > 0))
+    span = F.greatest(c("high") - c("low"), F.lit(1e-9))
+    wick = F.when(s > 0, c("candle_poc") - c("low")).otherwise(c("high") - c("candle_poc")) / span
+    far = F.abs(c("close") - F.when(s > 0, c("range_low")).otherwise(c("range_high"))) / F.greatest("atr", F.lit(1e-9))
+    trapped = F.coalesce(F.when(s > 0, c("big_sell")).otherwise(c("big_buy")), F.lit(False))
+    parts = [
+        22.0 * ramped(F.greatest(-c("dz") * s, F.lit(0.0)), 1.5, 3.0), 12.0 * ramped(F.abs("dz"), 1.5, 2.5), 10.0 * ramped(c("vr"), 2.0, 4.0), 12.0 * F.coalesce(F.greatest(0.35 - wick, F.lit(0.0)) / 0.35, F.lit(0.0)),
+        18.0 * F.greatest(0.25 - far, F.lit(0.0)) / 0.25, 8.0 * ramped(turns_of(c("_flows"), s).cast("double"), 1.0, 3.0), F.when(trapped, 6.0).otherwise(0.0), 6.0 * ramped(F.coalesce("liq_ratio", F.lit(0.0)), 3.0, 8.0),
+    ]
+    out = out.withColumn("score", sum(parts[1:], parts[0]))
+    stop = F.when(s > 0, F.least(c("low") - 0.25 * atr, c("range_low") - 3.0 * r.tick)).otherwise(F.greatest(c("high") + 0.25 * atr, c("range_high") + 3.0 * r.tick))
+    middle = c("range_low") + (c("range_high") - c("range_low")) * 0.5
+    out = out.withColumns({"entry": c("close") + s * r.tick, "stop": stop, "near": F.coalesce("poc", middle), "far": F.when(s > 0, c("range_high")).otherwise(c("range_low"))})
+    out = out.withColumn("reward", F.abs(c("near") - c("entry")) / F.greatest(F.abs(c("entry") - c("stop")), F.lit(r.tick)))
+    out = out.where((c("score") >= r.score) & (c("reward") >= r.reward))
+    return out.withColumns({"side": F.when(s > 0, "long").otherwise("short"), "hurry": (F.abs("dz") > 2.5) & (c("vr") > 3.0)}).drop("_s", "_flows")
+
+
+def last_swings(window: Column, price: str, n: int, s: int) -> Column:
+    """Of a window of ``n`` (price, cvd) structs the last two places of strict-or-equal extremes of side ``s``, with two bars before and one after."""
+    at = lambda i: F.get(window, i)[price] * s
+    places = F.filter(F.sequence(F.lit(2), F.lit(n - 2)), lambda i: (at(i) >= at(i - 1)) & (at(i) >= at(i - 2)) & (at(i) >= at(i + 1)))
+    return F.when(F.size(places) >= 2, F.struct(F.try_element_at(places, F.lit(-2)).alias("before"), F.try_element_at(places, F.lit(-1)).alias("last")))
+
+
+def divergence_fade(bars: DataFrame, rules: FadeRules | None = None) -> DataFrame:
+    """Fades of a new swing extreme that the flow did not confirm: price of the last swing at or beyond the one before, cumulative delta short of it.
+
+    Needs ``bucket, high, low, close, cvd, dz, vr, atr, spread_ticks, obi_fast`` (a share of the bid side) and, null if unknown, ``poc``.
+    """
+    from .indicators import rows
+
+    r = rules or FadeRules()
+    c, n = F.col, r.lookback
+    out = bars.withColumns({"_w": F.collect_list(F.struct("high", "low", "cvd")).over(rows(1 - n)), "_past": F.collect_list(F.struct("high", "low")).over(rows(1 - r.history, -1))})
+    mean = F.aggregate("_w", F.lit(0.0), lambda a, x: a + F.abs(x["cvd"].cast("double"))) / n
+    for name, price, s in (("_top", "high", 1), ("_bottom", "low", -1)):
+        w, p = c("_w"), last_swings(c("_w"), price, n, s)
+        last, before = F.get(w, p["last"]), F.get(w, p["before"])
+        gap = (before["cvd"] - last["cvd"]) * s / mean
+        fits = (last[price] * s >= before[price] * s) & (gap > 0) & (gap >= r.strength)
+        out = out.withColumn(name, F.when((F.size("_w") == n) & (mean >= 1e-9) & fits, F.struct(last[price].cast("double").alias("price"), gap.alias("strength"), (n - 1 - p["last"]).alias("ago"))))
+    top = c("_top").isNotNull() & (c("_bottom").isNull() | (c("_top.strength") >= c("_bottom.strength")))
+    out = out.withColumns({"_s": F.when(top, -1).when(c("_bottom").isNotNull(), 1), "_d": F.when(top, c("_top")).otherwise(c("_bottom"))})
+    s, atr = c("_s"), F.greatest("atr", F.lit(10.0))
+    out = out.where(s.isNotNull() & (c("_d.ago") <= r.fresh) & (region(c("bucket")) != "off_hours") & (c("spread_ticks") <= r.spread_ticks) & (c("vr") <= r.most_volume) & ((c("obi_fast") - 0.5) * s > -0.02) & (c("dz") * s > -0.5))
+    beyond = F.filter(F.transform("_past", lambda x: F.when(s > 0, x["high"]).otherwise(x["low"])), lambda x: x * s > c("close") * s)
+    swing = F.coalesce(F.try_element_at(beyond, F.lit(-1)), c("close") + s * atr * 0.8)
+    other = F.coalesce("poc", c("close") + s * atr * 1.5)
+    aim = F.when(s > 0, F.greatest(swing, other)).otherwise(F.least(swing, other))
+    out = out.withColumns({"entry": c("close") + s * r.tick, "stop": c("_d.price") - s * atr * 0.3, "near": aim, "far": aim, "strength": c("_d.strength"), "bars_ago": c("_d.ago")})
+    out = out.withColumn("reward", F.abs(c("near") - c("entry")) / F.greatest(F.abs(c("entry") - c("stop")), F.lit(r.tick))).where(c("reward") >= r.reward)
+    return out.withColumns({"side": F.when(s > 0, "long").otherwise("short"), "score": F.least(F.greatest(c("strength") * 30.0, F.lit(55.0)), F.lit(95.0))}).drop("_w", "_past", "_top", "_bottom", "_s", "_d")

@@ -54,6 +54,66 @@ def auction_states(s, d):
     return out.select("symbol", "bucket", "state", "confidence", F.concat_ws(",", "reasons").alias("reasons"))
 
 
+#: Hours of the event table on a level where a tenth of a coin is a tick.
+LEVEL = 60_000
+A = scalps.FadeRules(delta_z=0.4, least_volume=0.6, score=12.0, reward=0.2, spread_ticks=4.0, lookback=12, strength=0.05, history=30, most_volume=3.0)
+
+
+def fade_bars(s, d):
+    b = numbered_bars(s, d).withColumns({c: F.col(c) + LEVEL for c in ("open", "high", "low", "close")})
+    b = indicators.cvd(b)
+    z = F.try_divide(F.col("delta") - F.avg("delta").over(rows(-19)), F.stddev_pop("delta").over(rows(-19)))
+    return b.withColumns(
+        {
+            "dz": F.coalesce(z, F.lit(0.0)), "vr": F.try_divide("volume", F.avg("volume").over(rows(-19))), "atr": F.avg("tr").over(rows(-13)), "spread_ticks": (F.col("n_trades") % 6).cast("double"), "regime": F.lit("range"),
+            "range_high": F.max("close").over(rows(-12, -1)), "range_low": F.min("close").over(rows(-12, -1)), "candle_poc": (F.col("open") + F.col("low")) / 2, "poc": F.when(F.col("n") % 2 == 0, F.avg("close").over(rows(-30, -1))),
+            "big_sell": F.col("sell_qty") > 150, "big_buy": F.col("buy_qty") > 150, "liq_ratio": F.col("sell_qty") / 40, "obi_fast": 0.5 + F.coalesce(F.try_divide("delta", "volume"), F.lit(0.0)) / 10,
+        }
+    )
+
+
+FADE = ("entry", "stop", "near", "far", "reward", "score")
+
+
+def absorption(s, d):
+    return rounded(scalps.absorption_fade(fade_bars(s, d), A).select("symbol", "bucket", "side", *FADE, "hurry"), *FADE)
+
+
+def divergence(s, d):
+    return rounded(scalps.divergence_fade(fade_bars(s, d), A).select("symbol", "bucket", "side", *FADE, "strength", "bars_ago"), *FADE, "strength")
+
+
+FADE_BARS = f"""{N}, fb0 AS (SELECT symbol, bucket, n, n_trades, delta, volume, tr, buy_qty, sell_qty, open + {LEVEL} AS o, high + {LEVEL} AS h, low + {LEVEL} AS l, close + {LEVEL} AS c, sum(delta) OVER (PARTITION BY symbol, bucket // {DAY} ORDER BY n) AS cvd FROM n),
+fb AS (SELECT *, coalesce((delta - avg(delta) OVER (w ROWS 19 PRECEDING)) / nullif(stddev_pop(delta) OVER (w ROWS 19 PRECEDING), 0), 0) AS dz, volume / nullif(avg(volume) OVER (w ROWS 19 PRECEDING), 0) AS vr, greatest(avg(tr) OVER (w ROWS 13 PRECEDING), 10) AS atr,
+  avg(tr) OVER (w ROWS 13 PRECEDING) AS atr0, max(c) OVER (w ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS rh, min(c) OVER (w ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS rl, CASE WHEN n % 2 = 0 THEN avg(c) OVER (w ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) END AS poc,
+  list(cvd) OVER (w ROWS {A.flow_bars - 1} PRECEDING) AS flows, list({{h: h, l: l, v: cvd}}) OVER (w ROWS {A.lookback - 1} PRECEDING) AS win, list({{h: h, l: l}}) OVER (w ROWS BETWEEN {A.history - 1} PRECEDING AND 1 PRECEDING) AS past, bucket // 60000 % 1440 < 1260 AS open_
+  FROM fb0 WINDOW w AS (PARTITION BY symbol ORDER BY n))"""
+RAMP = lambda x, a, b: f"least(greatest((({x}) - {a}) / ({b} - {a}) :: DOUBLE, 0), 1)"
+ABSORPTION_SQL = f"""WITH {FADE_BARS}, a AS (SELECT *, CASE WHEN coalesce((c - rl) / nullif(rh - rl, 0), 0.5) < 0.35 THEN 1 WHEN coalesce((c - rl) / nullif(rh - rl, 0), 0.5) > 0.65 THEN -1 END AS s FROM fb WHERE open_ AND rh IS NOT NULL AND n_trades % 6 <= {A.spread_ticks} AND vr BETWEEN {A.least_volume} AND {A.most_volume}),
+b_ AS (SELECT *, CASE WHEN len(flows) >= 4 THEN len(list_filter(range(2, len(flows) + 1), lambda i: s * (flows[i] - flows[i - 1]) > 0)) ELSE 0 END AS turns, CASE WHEN s > 0 THEN (o + l) / 2 - l ELSE h - (o + l) / 2 END / greatest(h - l, 1e-9 :: DOUBLE) AS wick, abs(c - CASE WHEN s > 0 THEN rl ELSE rh END) / atr0 AS dist
+  FROM a WHERE s * dz <= -{A.delta_z} AND CASE WHEN s > 0 THEN c >= rl ELSE c <= rh END AND s * (c - o) > 0),
+e AS (SELECT *, 22 * {RAMP("greatest(-s * dz, 0)", 1.5, 3)} + 12 * {RAMP("abs(dz)", 1.5, 2.5)} + 10 * {RAMP("vr", 2, 4)} + 12 * greatest(0.35 :: DOUBLE - wick, 0) / 0.35 :: DOUBLE + 18 * greatest(0.25 :: DOUBLE - dist, 0) / 0.25 :: DOUBLE + 8 * {RAMP("turns", 1, 3)}
+  + CASE WHEN CASE WHEN s > 0 THEN sell_qty > 150 ELSE buy_qty > 150 END THEN 6 ELSE 0 END + 6 * {RAMP("sell_qty / 40", 3, 8)} AS score, c + s * 0.1 :: DOUBLE AS entry, CASE WHEN s > 0 THEN least(l - 0.25 * atr, rl - 3 * 0.1 :: DOUBLE) ELSE greatest(h + 0.25 * atr, rh + 3 * 0.1 :: DOUBLE) END AS stop, coalesce(poc, rl + (rh - rl) * 0.5) AS near FROM b_)
+SELECT symbol, bucket, CASE WHEN s > 0 THEN 'long' ELSE 'short' END AS side, round(entry, 6) AS entry, round(stop, 6) AS stop, round(near, 6) AS near, round(CASE WHEN s > 0 THEN rh ELSE rl END, 6) AS far, round(abs(near - entry) / greatest(abs(entry - stop), 0.1 :: DOUBLE), 6) AS reward, round(score, 6) AS score, abs(dz) > 2.5 AND vr > 3 AS hurry
+FROM e WHERE score >= {A.score} AND abs(near - entry) / greatest(abs(entry - stop), 0.1 :: DOUBLE) >= {A.reward}"""
+
+
+def swings_sql(price: str, s: int) -> str:
+    """Places (from 1) of a window's swings of one side."""
+    at = lambda i: f"{s} * win[{i}].{price}"
+    return f"list_filter(range(3, {A.lookback}), lambda i: {at('i')} >= {at('i - 1')} AND {at('i')} >= {at('i - 2')} AND {at('i')} >= {at('i + 1')})"
+
+
+DIVERGENCE_SQL = f"""WITH {FADE_BARS}, w AS (SELECT *, {swings_sql("h", 1)} AS tops, {swings_sql("l", -1)} AS lows, list_avg(list_transform(win, lambda x: abs(x.v))) AS mean FROM fb WHERE len(win) = {A.lookback}),
+p AS (SELECT *, win[tops[-1]] AS t1, win[tops[-2]] AS t0, win[lows[-1]] AS b1, win[lows[-2]] AS b0 FROM w WHERE mean >= 1e-9),
+g AS (SELECT *, CASE WHEN len(tops) >= 2 AND t1.h >= t0.h AND t0.v > t1.v AND (t0.v - t1.v) / mean >= {A.strength} THEN (t0.v - t1.v) / mean END AS up, CASE WHEN len(lows) >= 2 AND b1.l <= b0.l AND b1.v > b0.v AND (b1.v - b0.v) / mean >= {A.strength} THEN (b1.v - b0.v) / mean END AS dn FROM p),
+k AS (SELECT *, CASE WHEN up IS NOT NULL AND (dn IS NULL OR up >= dn) THEN -1 ELSE 1 END AS s, CASE WHEN up IS NOT NULL AND (dn IS NULL OR up >= dn) THEN {A.lookback} - tops[-1] ELSE {A.lookback} - lows[-1] END AS ago FROM g WHERE up IS NOT NULL OR dn IS NOT NULL),
+f AS (SELECT *, CASE WHEN s < 0 THEN up ELSE dn END AS strength, CASE WHEN s < 0 THEN t1.h ELSE b1.l END AS level, coalesce(poc, c + s * atr * 1.5) AS other, coalesce(CASE WHEN s > 0 THEN list_filter(past, lambda x: x.h > c)[-1].h ELSE list_filter(past, lambda x: x.l < c)[-1].l END, c + s * atr * 0.8 :: DOUBLE) AS swing
+  FROM k WHERE ago <= {A.fresh} AND open_ AND n_trades % 6 <= {A.spread_ticks} AND vr <= {A.most_volume} AND s * (0.5 :: DOUBLE + coalesce(delta / nullif(volume, 0), 0) / 10 - 0.5 :: DOUBLE) > -0.02 AND s * dz > -0.5),
+z AS (SELECT *, c + s * 0.1 :: DOUBLE AS entry, level - s * atr * 0.3 :: DOUBLE AS stop, CASE WHEN s > 0 THEN greatest(swing, other) ELSE least(swing, other) END AS aim FROM f)
+SELECT symbol, bucket, CASE WHEN s > 0 THEN 'long' ELSE 'short' END AS side, round(entry, 6) AS entry, round(stop, 6) AS stop, round(aim, 6) AS near, round(aim, 6) AS far, round(abs(aim - entry) / greatest(abs(entry - stop), 0.1 :: DOUBLE), 6) AS reward,
+  round(least(greatest(strength * 30, 55), 95), 6) AS score, round(strength, 6) AS strength, CAST(ago AS INTEGER) AS bars_ago FROM z WHERE abs(aim - entry) / greatest(abs(entry - stop), 0.1 :: DOUBLE) >= {A.reward}"""
+
 MEMORY_SQL = f"""WITH RECURSIVE {T}, o AS (SELECT symbol, seq, ts_ms, qty, CASE WHEN is_sell THEN -qty ELSE qty END AS signed, row_number() OVER w AS k, ts_ms - lag(ts_ms) OVER w AS since FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms, seq)),
 r AS (SELECT symbol, k, seq, signed :: DOUBLE AS memory, qty :: DOUBLE AS mean_qty FROM o WHERE k = 1
   UNION ALL SELECT o.symbol, o.k, o.seq, r.memory * pow(0.5 :: DOUBLE, o.since / 21600000) + o.signed, r.mean_qty * 0.95 :: DOUBLE + o.qty * 0.05 :: DOUBLE FROM r JOIN o ON o.symbol = r.symbol AND o.k = r.k + 1)
@@ -89,4 +149,4 @@ SELECT symbol, bucket, state, CAST(CASE WHEN best < 30 THEN 0 ELSE least(best, 1
   WHEN 'accumulation' THEN concat_ws(',', CASE WHEN bv OR iv THEN 'near_bottom' END, CASE WHEN bull THEN 'bullish_divergence' END, CASE WHEN cu THEN 'cvd_up' END, CASE WHEN delta > 0 THEN 'delta_up' END)
   WHEN 'balance' THEN concat_ws(',', CASE WHEN iv THEN 'in_value' END, CASE WHEN calm THEN 'calm' END, CASE WHEN NOT cu AND NOT cd THEN 'cvd_flat' END, CASE WHEN delta = 0 THEN 'delta_flat' END) ELSE '' END AS reasons FROM k"""
 
-QUERIES = {"flow_memory": (flow_memory, MEMORY_SQL), "imbalance_maker": (maker, MAKER_SQL), "auction_states": (auction_states, STATE_SQL)}
+QUERIES = {"flow_memory": (flow_memory, MEMORY_SQL), "imbalance_maker": (maker, MAKER_SQL), "absorption_fade": (absorption, ABSORPTION_SQL), "divergence_fade": (divergence, DIVERGENCE_SQL), "auction_states": (auction_states, STATE_SQL)}
