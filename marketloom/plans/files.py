@@ -20,12 +20,20 @@ from .base import B, T, hourly, rounded
 
 
 def folder(spark: SparkSession) -> str:
+    """A place for one table, in a new folder that goes when the driver's JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    if not base and context.getCheckpointDir().isDefined():
+        base = context.getCheckpointDir().get()
     if not base:
         if not (spark.sparkContext.master + "[").startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marketloom-files-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    own = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/files-{uuid.uuid4().hex}")
+    files = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(own)
+    files.deleteOnExit(own)
+    return f"{own.toString()}/table"
 
 
 def trades_csv(s, d):
