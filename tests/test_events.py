@@ -141,7 +141,9 @@ def test_tired_buyers_are_those_of_a_loop(spark):
 
 def test_sessions_and_gates(spark):
     df = spark.createDataFrame(bars(1), BARS)
-    everywhere = exhaustion.buyer_exhaustion(df, X).count()
-    narrow = exhaustion.buyer_exhaustion(df, exhaustion.Rules(**{**X.__dict__, "sessions": ("off_hours",)})).count()
-    plain = exhaustion.buyer_exhaustion(df.drop("spread_bps", "absorbed_ask", "oi_change"), X)
-    assert narrow < everywhere < plain.count() + 1 and {(r.signs, r.score) for r in plain.collect()} == {("", 0)}
+    late = exhaustion.buyer_exhaustion(df, exhaustion.Rules(**{**X.__dict__, "sessions": ("off_hours",)})).collect()
+    assert late and all(r.bucket // 60_000 % 1440 >= 1260 for r in late)
+    plain = exhaustion.buyer_exhaustion(df.drop("spread_bps", "absorbed_ask", "oi_change"), X).collect()
+    assert plain and {(r.signs, r.score) for r in plain} == {("", 0)}
+    wide = {r[2] for r in bars(1) if r[9] > 5}
+    assert not wide & {r.n for r in exhaustion.buyer_exhaustion(df, X).collect()}
