@@ -221,3 +221,9 @@ def tape(trades: DataFrame, interval_ms: int) -> DataFrame:
         "*", F.try_divide("n_buys", F.col("n_buys") + F.col("n_sells")).alias("count_share"), F.try_divide("buy_qty", F.col("buy_qty") + F.col("sell_qty")).alias("volume_share"),
         F.round(F.try_divide("buy_qty", "n_buys")).cast("long").alias("avg_buy"), F.round(F.try_divide("sell_qty", "n_sells")).cast("long").alias("avg_sell"),
     )
+
+
+def heatmap_cells(trades: DataFrame, interval_ms: int, step: int) -> DataFrame:
+    """Quantity and trades of each interval by side and price step: sells go down to their step, buys up."""
+    level = round_to_side_step(F.col("price_units"), F.col("is_sell"), step).alias("level")
+    return trades.groupBy("symbol", (F.col("ts_ms") - F.pmod("ts_ms", F.lit(interval_ms))).alias("bucket"), "is_sell", level).agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("trades"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.clocks import DAY
 from .indicators import by_time, rows
 from .rolling_profile import value_areas
+from .scan import affine_scan
 
 
 @dataclass(frozen=True)
@@ -185,3 +186,20 @@ def ranked(each: DataFrame, r: Rules) -> DataFrame:
         "symbol", "bucket", "rank", "kind", F.when(s > 0, "long").otherwise("short").alias("side"), "price", "stop", "near", "far", F.col("near").isNotNull().alias("take_partial"),
         F.when(F.col("trend"), "trail").otherwise("fade").alias("manage"), F.when(F.col("trend"), "trend").otherwise("chop").alias("regime"), F.when(F.col("wide"), "high").otherwise("low").alias("volatility"),
     )
+
+
+def frame_stop(bars: DataFrame, frame_ms: int, factor: float, n: int = 14, part: int = 32 * DAY) -> DataFrame:
+    """``stop`` of a short: the high so far of the bar's wider frame and ``factor`` of the Wilder range of the frames before it, and its distance in percent.
+
+    The range of a frame is known when it ends, so a bar sees that of the frame before; the first frame of a symbol has none.
+    """
+    frame = (F.col("bucket") - F.pmod("bucket", F.lit(frame_ms))).alias("_frame")
+    frames = bars.groupBy("symbol", frame).agg(F.max("high").alias("h"), F.min("low").alias("l"), F.max_by("close", "bucket").alias("c"))
+    before = F.lag("c").over(Window.partitionBy("symbol").orderBy("_frame"))
+    frames = frames.withColumn("tr", F.coalesce(F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - before), F.abs(F.col("l") - before)), F.col("h") - F.col("l")))
+    ranges = affine_scan(frames.select("symbol", "_frame", "tr"), "symbol", ["_frame"], F.lit((n - 1) / n), F.col("tr") / n, "atr", F.col("tr"), part)
+    known = ranges.select("symbol", "_frame", F.lag("atr").over(Window.partitionBy("symbol").orderBy("_frame")).alias("frame_atr"))
+    top = F.max("high").over(Window.partitionBy("symbol", "_frame").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    out = bars.withColumn("_frame", F.col("bucket") - F.pmod("bucket", F.lit(frame_ms))).join(known, ["symbol", "_frame"], "left")
+    out = out.withColumn("stop", top + factor * F.col("frame_atr"))
+    return out.withColumn("stop_pct", (F.col("stop") - F.col("close")) / F.col("close") * 100).drop("_frame")

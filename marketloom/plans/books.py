@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.clocks import DAY, HOUR
+from ..operators import bars as bar_op
 from ..operators import depth, search
 from ..sources import archives
 from ..sources import trades as src
-from .base import T, rounded
+from .base import STEP, T, rounded
 from .files import folder, messages
 
 
@@ -78,6 +79,10 @@ SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') || '_' || symbol || '.
         f"""WITH {STATE} SELECT symbol, ts_ms - ts_ms % {HOUR} AS bucket, {", ".join(f"round(avg(o{n}), 6) AS obi{n}_mean" for n in (5, 10, 20))}, round(min(o10), 6) AS obi10_min, round(max(o10), 6) AS obi10_max, round(avg(spread), 6) AS spread_mean,
   round(first(mid ORDER BY ts_ms, seq), 6) AS mid_open, round(last(mid ORDER BY ts_ms, seq), 6) AS mid_close, count(*) AS n_samples, {", ".join(f"round(avg(CASE WHEN deep THEN {v} ELSE 0 END), 6) AS {k}" for k, v in MEANS.items())} FROM smp GROUP BY 1, 2""",
     ),
+    "heatmap_cells": (
+        lambda s, d: bar_op.heatmap_cells(src.trades(s, d), HOUR, STEP),
+        f"""WITH {T} SELECT symbol, ts_ms - ts_ms % {HOUR} AS bucket, is_sell, price_units // {STEP} * {STEP} + CASE WHEN is_sell OR price_units % {STEP} = 0 THEN 0 ELSE {STEP} END AS level, CAST(sum(qty) AS BIGINT) AS qty, count(*) AS trades FROM t GROUP BY ALL""",
+    ),
     "book_entries": (
         entries,
         f"""WITH {STATE}, o AS (SELECT seq AS id, symbol, day, ts_ms, round(price, 2) / 2 + 560 AS entry, NOT is_sell AS is_long, (100 + 3 * qty) :: DOUBLE AS risk FROM x WHERE seq % 5 = 0),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.clocks import DAY
+from ..functions.clocks import DAY, HOUR
 from ..operators import levels as op
 from ..operators.indicators import rows
 from .base import N, numbered_bars, rounded
@@ -33,6 +33,13 @@ def trend_test(s, d):
     return shifted(s, d).select("symbol", "bucket", op.trending(F.col("atr"), F.col("atr_mean"), R.expansion).alias("trend"))
 
 
+FRAME = 4 * HOUR
+
+
+def frame_stops(s, d):
+    return rounded(op.frame_stop(shifted(s, d), FRAME, 0.5).select("symbol", "bucket", "frame_atr", "stop", "stop_pct"), "frame_atr", "stop", "stop_pct")
+
+
 BARS = f"""{N}, lb AS (SELECT symbol, bucket, n, volume, bucket // {DAY} AS day, high + {LEVEL} AS h, low + {LEVEL} AS l, close + {LEVEL} AS c, avg(tr) OVER (w ROWS 13 PRECEDING) AS atr, avg(tr) OVER (w ROWS 99 PRECEDING) AS atr_median, avg(tr) OVER (w ROWS 39 PRECEDING) AS atr_mean
   FROM n WINDOW w AS (PARTITION BY symbol ORDER BY n))"""
 GAPS = f"""gp AS (SELECT a.symbol, a.n AS at_, 'up' AS side, z.h AS bottom, a.l AS top FROM lb a JOIN lb z ON z.symbol = a.symbol AND z.n = a.n - 2 WHERE a.l > z.h
@@ -103,4 +110,13 @@ QUERIES = {
         f"WITH {BARS}, {GAPS} SELECT b.symbol, b.bucket, side, at_ AS at, round(bottom, 6) AS bottom, round(top, 6) AS top, turned FROM lb b JOIN gt ON gt.symbol = b.symbol AND at_ BETWEEN b.n - {R.gap_bars - 1} AND b.n - 2 AND turned < b.n",
     ),
     "trend_test": (trend_test, f"WITH {BARS}, {TREND} SELECT symbol, bucket, {TREND_OF} AS trend FROM lb b JOIN em USING (symbol, n)"),
+    "frame_stops": (
+        frame_stops,
+        f"""WITH RECURSIVE {BARS}, fr AS (SELECT symbol, bucket // {FRAME} AS f, max(h) AS h, min(l) AS l, arg_max(c, n) AS c FROM lb GROUP BY 1, 2),
+ft AS (SELECT symbol, f, row_number() OVER w AS k, coalesce(greatest(h - l, abs(h - lag(c) OVER w), abs(l - lag(c) OVER w)), h - l) AS tr FROM fr WINDOW w AS (PARTITION BY symbol ORDER BY f)),
+wa AS (SELECT symbol, f, k, tr AS atr FROM ft WHERE k = 1 UNION ALL SELECT ft.symbol, ft.f, ft.k, wa.atr * (13 :: DOUBLE / 14) + ft.tr / 14 FROM wa JOIN ft ON ft.symbol = wa.symbol AND ft.k = wa.k + 1),
+kn AS (SELECT symbol, f, lag(atr) OVER (PARTITION BY symbol ORDER BY f) AS atr FROM wa),
+st AS (SELECT b.symbol, bucket, c, kn.atr, max(h) OVER (PARTITION BY b.symbol, bucket // {FRAME} ORDER BY n) + 0.5 * kn.atr AS stop FROM lb b JOIN kn ON kn.symbol = b.symbol AND kn.f = bucket // {FRAME})
+SELECT symbol, bucket, round(atr, 6) AS frame_atr, round(stop, 6) AS stop, round((stop - c) / c * 100, 6) AS stop_pct FROM st""",
+    ),
 }
