@@ -26,7 +26,7 @@ class Rules:
     after: tuple[int, int, int] = (60, 300, 900)
 
 
-#: Kinds with the side that they are expected to lead to.
+#: Kinds with the side that they are expected to lead to (fixed values).
 KINDS = {
     "big_trade_buy": 1, "big_trade_sell": -1, "delta_burst_pos": 1, "delta_burst_neg": -1, "vol_spike": 0, "absorb_ask": -1, "absorb_bid": 1, "sweep_up": -1, "sweep_down": 1,
     "obi_extreme_pos": 1, "obi_extreme_neg": -1, "obi_flip_up": 1, "obi_flip_down": -1, "spread_spike": 0, "micro_div_up": 1, "micro_div_down": -1,

@@ -62,7 +62,8 @@ def factor_sql(with_: str, against: str) -> str:
 
 
 PERIODS_SQL = f"""WITH {N}, {period_sql("week", op.WEEK)}, {period_sql("month", op.MONTH)},
-ends AS (SELECT symbol, period, lag({{poc: poc, vh: vh, vl: vl}}) OVER (PARTITION BY symbol ORDER BY period) AS p FROM (SELECT * FROM week QUALIFY row_number() OVER (PARTITION BY symbol, period ORDER BY bucket DESC) = 1))
+last_ AS (SELECT symbol, period, {{poc: poc, vh: vh, vl: vl}} AS e FROM week QUALIFY row_number() OVER (PARTITION BY symbol, period ORDER BY bucket DESC) = 1),
+ends AS (SELECT symbol, period, lag(e) OVER (PARTITION BY symbol ORDER BY period) AS p FROM (SELECT DISTINCT symbol, bucket // {op.WEEK} AS period FROM n) LEFT JOIN last_ USING (symbol, period))
 SELECT n.symbol, n.bucket, round(week.poc, 6) AS week_poc, round(week.vh, 6) AS week_value_high, round(week.vl, 6) AS week_value_low, round(month.poc, 6) AS month_poc, round(month.vh, 6) AS month_value_high, round(month.vl, 6) AS month_value_low,
   round(p.poc, 6) AS prior_week_poc, round(p.vh, 6) AS prior_week_value_high, round(p.vl, 6) AS prior_week_value_low, week.loc AS week_location, month.loc AS month_location,
   {factor_sql("above_value", "below_value")} AS long_factor, {factor_sql("below_value", "above_value")} AS short_factor
