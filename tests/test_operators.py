@@ -76,6 +76,15 @@ def test_as_of_carries_over_days_and_ties_see_the_same_time(spark):
     assert got == {("k", 5): None, ("k", 10): 1.0, ("k", day + 1): 2.0, ("k", 3 * day): None, ("z", 1): None}
 
 
+def test_as_of_takes_the_last_of_equal_times(spark):
+    day = 86_400_000
+    left = spark.createDataFrame([("k", t) for t in (10, day + 1)], "k string, t long")
+    for right in ([(9, 1.0, 7), (9, 2.0, 5)], [(9, 2.0, 5), (9, 1.0, 7)]):
+        right = spark.createDataFrame([("k", *r) for r in right], "k string, t long, v double, seq long").coalesce(1)
+        assert {r.v for r in joins.as_of(left, right, "k", "t", ["v"], tie=["seq"]).collect()} == {1.0}
+        assert {r.v for r in joins.as_of(left, right, "k", "t", ["v"]).collect()} == {2.0}
+
+
 def test_first_hit_prefers_the_stop(spark):
     s = spark.createDataFrame([("a", 0, 10.0, 9.0, 12.0)], "symbol string, n int, entry double, stop double, target double")
     b = spark.createDataFrame([("a", 1, 11.0, 9.5, 10.5), ("a", 2, 12.5, 8.5, 10.0)], "symbol string, n int, high double, low double, close double")
