@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RUNS = "symbol string, level long, is_bid boolean, start long, until long, qty long"
 
 
+LEVELS = pa.list_(pa.struct([("price", pa.float64()), ("qty", pa.float64())]))
+SAMPLES = pa.schema([("symbol", pa.string()), ("ts_ms", pa.int64()), ("seq", pa.int64()), ("bids", LEVELS), ("asks", LEVELS)])
+#: Samples of a batch that a replay gives.
+BATCH = 4_096
+
+
+class Side(dict):
+    """Quantity by price; ``prices`` are its keys in order, so that the best levels cost no sort of a deep side."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.prices: list[float] = []
+
+    def put(self, price: float, qty: float) -> None:
+        if qty:
+            if price not in self:
+                insort(self.prices, price)
+            self[price] = qty
+        elif self.pop(price, None) is not None:
+            del self.prices[bisect_left(self.prices, price)]
+
+    def clear(self) -> None:
+        super().clear()
+        self.prices.clear()
+
+
 @dataclass
 class Book:
     """Two sides of price and quantity; snapshots replace, deltas set, quantity 0 deletes, older messages are ignored."""
 
-    bids: dict[float, float] = field(default_factory=dict)
-    asks: dict[float, float] = field(default_factory=dict)
+    bids: Side = field(default_factory=Side)
+    asks: Side = field(default_factory=Side)
     last_ms: int = -1
 
     def apply(self, ts_ms: int, kind: str, b: Iterable, a: Iterable) -> bool:
@@ -29,40 +58,84 @@ class Book:
             self.asks.clear()
         for side, levels in ((self.bids, b), (self.asks, a)):
             for price, qty in levels:
-                if qty:
-                    side[price] = qty
-                else:
-                    side.pop(price, None)
+                side.put(price, qty)
         return True
 
+    def best(self, n: int) -> tuple[list, list]:
+        """Prices of the best ``n`` levels of both sides."""
+        return self.bids.prices[: -n - 1 : -1], self.asks.prices[:n]
+
     def top(self, n: int) -> tuple[list, list]:
-        return sorted(self.bids.items(), reverse=True)[:n], sorted(self.asks.items())[:n]
+        return tuple([(p, side[p]) for p in best] for side, best in zip((self.bids, self.asks), self.best(n), strict=True))
+
+
+def flat_levels(levels: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends, prices and quantities of lists of levels; a level without quantity is deleted, one without price is nan."""
+    held = levels.combine_chunks()
+    held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
+    price, qty = (held.values.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("price", "qty"))
+    return held.offsets.to_numpy(), price, np.nan_to_num(qty, nan=0.0)
 
 
-def book_samples(messages: DataFrame, depth: int = 25) -> DataFrame:
+def in_order(messages: pa.Table) -> Iterator[tuple]:
+    """Place, time, type and levels of both sides of messages by (ts_ms, seq), from the first snapshot on."""
+    ts, kind = messages["ts_ms"].to_numpy(), messages["type"].to_pylist()
+    order = np.lexsort((messages["seq"].to_numpy(), ts))
+    sides = [flat_levels(messages[c]) for c in ("b", "a")]
+    known = False
+    for i in order.tolist():
+        known = known or kind[i] == "snapshot"
+        if known:
+            b, a = ([(p, q) for p, q in zip(price[ends[i] : ends[i + 1]].tolist(), qty[ends[i] : ends[i + 1]].tolist(), strict=True) if p == p] for ends, price, qty in sides)
+            yield i, int(ts[i]), kind[i], b, a
+
+
+def book_samples(messages: DataFrame, depth: int = 25, slot_ms: int = 0) -> DataFrame:
     """The best ``depth`` levels after every message whose book is not crossed; a (symbol, day) replays in its own task.
 
-    A day starts with its first snapshot, so days are independent and a symbol spreads over its days.
+    With ``slot_ms`` the last such sample of each slot of time only. A day starts with its first snapshot, so days are
+    independent and a symbol spreads over its days.
     """
-    schema = "symbol string, ts_ms long, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        book, out, known = Book(), [], False
-        for m in rows.sort_values(["ts_ms", "seq"]).to_dict("records"):
-            known = known or m["type"] == "snapshot"
-            if not known:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        symbol, seq = rows["symbol"][0].as_py(), rows["seq"].to_numpy()
+        book, last = Book(), None
+        held: list[tuple] = []
+        for i, ts, kind, b, a in in_order(rows):
+            if not book.apply(ts, kind, b, a):
                 continue
-            pairs = lambda side: [(x["price"], x["qty"]) for x in side]
-            if not book.apply(m["ts_ms"], m["type"], pairs(m["b"]), pairs(m["a"])):
-                continue
-            bids, asks = book.top(depth)
-            if bids and asks and bids[0][0] < asks[0][0]:
-                named = lambda side: [{"price": p, "qty": q} for p, q in side]
-                out.append((m["symbol"], m["ts_ms"], named(bids), named(asks)))
-        return pd.DataFrame(out, columns=["symbol", "ts_ms", "bids", "asks"], dtype=object)
+            if slot_ms and last is not None and ts // slot_ms != last[0] // slot_ms:
+                held.append(last)
+                last = None
+            bids, asks = book.best(depth)
+            if bids and asks and bids[0] < asks[0]:
+                last = (ts, int(seq[i]), bids, [book.bids[p] for p in bids], asks, [book.asks[p] for p in asks])
+                if not slot_ms:
+                    held.append(last)
+            if len(held) >= BATCH:
+                yield sampled(symbol, held)
+                held = []
+        yield sampled(symbol, held + [last] * bool(slot_ms and last))
 
     day = F.floor(F.col("ts_ms") / 86_400_000)
-    return messages.withColumn("_day", day).groupBy("symbol", "_day").applyInPandas(lambda rows: run(rows.drop(columns="_day")), schema)
+    schema = "symbol string, ts_ms long, seq long, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>"
+    return messages.withColumn("_day", day).groupBy("symbol", "_day").applyInArrow(run, schema)
+
+
+def sampled(symbol: str, samples: list[tuple]) -> pa.RecordBatch:
+    def side(price: int) -> pa.Array:
+        ends = np.cumsum([0] + [len(s[price]) for s in samples])
+        flat = [pa.array(np.fromiter((x for s in samples for x in s[k]), np.float64, int(ends[-1]))) for k in (price, price + 1)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, ["price", "qty"]))
+
+    columns = [pa.array([symbol] * len(samples), pa.string()), *[pa.array([s[k] for s in samples], pa.int64()) for k in (0, 1)], side(2), side(4)]
+    return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, SAMPLES.types, strict=True)], schema=SAMPLES)
+
+
+def moment(rows: DataFrame) -> list[str]:
+    """Columns that order samples: their time, and their sequence where they have one."""
+    return [c for c in ("ts_ms", "seq") if c in rows.columns]
 
 
 def depth_of(side: str, n: int) -> Column:
@@ -104,38 +177,38 @@ def thin(side: str, n: int = 10, factor: float = 0.3, least: int = 3) -> Column:
     return F.size(F.filter(top, lambda x: x["qty"] < factor * mean)) >= least
 
 
-def book_features(samples: DataFrame) -> DataFrame:
+def book_features(samples: DataFrame, *also: Column) -> DataFrame:
     """Mid, microprice, spread, imbalances of three depths, walls and thin zones."""
     bid, ask = F.element_at("bids", 1), F.element_at("asks", 1)
     mid = (bid["price"] + ask["price"]) / 2
     micro = F.try_divide(bid["price"] * ask["qty"] + ask["price"] * bid["qty"], bid["qty"] + ask["qty"])
     return samples.select(
-        "symbol", "ts_ms", mid.alias("mid"), micro.alias("micro"), ((ask["price"] - bid["price"]) / mid * 1e4).alias("spread_bps"),
+        "symbol", *moment(samples), mid.alias("mid"), micro.alias("micro"), ((ask["price"] - bid["price"]) / mid * 1e4).alias("spread_bps"),
         *[book_imbalance(n).alias(f"obi{n}") for n in (5, 10, 20, 25)], walls("bids").alias("bid_walls"), walls("asks").alias("ask_walls"),
-        thin("bids").alias("thin_below"), thin("asks").alias("thin_above"), depth_of("bids", 25).alias("bid_depth"), depth_of("asks", 25).alias("ask_depth"),
+        thin("bids").alias("thin_below"), thin("asks").alias("thin_above"), depth_of("bids", 25).alias("bid_depth"), depth_of("asks", 25).alias("ask_depth"), *also,
     )
 
 
-def book_bars(features: DataFrame, interval_ms: int = 60_000) -> DataFrame:
+def book_bars(features: DataFrame, interval_ms: int = 60_000, also: tuple[Column, ...] = ()) -> DataFrame:
     """Means and extremes of the features of each interval, with its first and last mid."""
-    bucket = F.col("ts_ms") - F.pmod("ts_ms", F.lit(interval_ms))
+    bucket, when = F.col("ts_ms") - F.pmod("ts_ms", F.lit(interval_ms)), F.struct(*moment(features))
     return features.groupBy("symbol", bucket.alias("bucket")).agg(
         *[F.avg(f"obi{n}").alias(f"obi{n}_mean") for n in (5, 10, 20)], F.min("obi10").alias("obi10_min"), F.max("obi10").alias("obi10_max"),
-        F.avg("spread_bps").alias("spread_mean"), F.min_by("mid", "ts_ms").alias("mid_open"), F.max_by("mid", "ts_ms").alias("mid_close"), F.count(F.lit(1)).alias("n_samples"),
+        F.avg("spread_bps").alias("spread_mean"), F.min_by("mid", when).alias("mid_open"), F.max_by("mid", when).alias("mid_close"), F.count(F.lit(1)).alias("n_samples"), *also,
     )
 
 
 def book_minutes(samples: DataFrame, interval_ms: int = 60_000, n: int = 5) -> DataFrame:
-    """``book_bars`` of samples with the mean near liquidity of the best ``n`` levels, for archives of whole days."""
-    near = samples.select("symbol", "ts_ms", near_liquidity(n).alias("near")).select("symbol", (F.col("ts_ms") - F.pmod("ts_ms", F.lit(interval_ms))).alias("bucket"), "near.*")
-    means = near.groupBy("symbol", "bucket").agg(*[F.avg(c).alias(f"{c}{n}") for c in ("near_bid", "near_ask", "max_bid", "max_ask")])
-    return book_bars(book_features(samples), interval_ms).join(means, ["symbol", "bucket"])
+    """``book_bars`` of samples with the mean near liquidity of the best ``n`` levels, for archives of whole days; one pass over the samples."""
+    features = book_features(samples, near_liquidity(n).alias("near"))
+    return book_bars(features, interval_ms, tuple(F.avg(f"near.{c}").alias(f"{c}{n}") for c in ("near_bid", "near_ask", "max_bid", "max_ask")))
 
 
 def book_seconds(features: DataFrame) -> DataFrame:
     """The last sample of each second."""
     rest = [c for c in features.columns if c != "symbol"]
-    return features.groupBy("symbol", (F.col("ts_ms") - F.pmod("ts_ms", F.lit(1000))).alias("second")).agg(F.max_by(F.struct(*rest), "ts_ms").alias("f")).select("symbol", "second", "f.*")
+    last = F.max_by(F.struct(*rest), F.struct(*moment(features))).alias("f")
+    return features.groupBy("symbol", (F.col("ts_ms") - F.pmod("ts_ms", F.lit(1000))).alias("second")).agg(last).select("symbol", "second", "f.*")
 
 
 def ladder(levels: DataFrame, step: int) -> DataFrame:

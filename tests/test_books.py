@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import random
+import time
 import zipfile
 
 import pytest
 
-from marketloom.operators import search
+from marketloom.operators import depth, search
+from marketloom.operators.depth import Book
 from marketloom.sources import archives
 from marketloom.sources.trades import read_book_json
 
@@ -90,6 +92,31 @@ def test_written_archives_read_back(spark, tmp_path):
     assert archives.read_book_archives(spark, str(tmp_path / "out")).count() == 20
 
 
+def test_a_deep_book_replays_without_sorting_it():
+    """20,000 messages on sides of 10,000 levels: sorting a side at each took over a minute."""
+    book, rng, began = Book(), random.Random(3), time.process_time()
+    book.apply(0, "snapshot", [(k / 100, 1.0) for k in range(10_000)], [(1000 + k / 100, 1.0) for k in range(10_000)])
+    for k in range(20_000):
+        book.apply(k, "delta", [(rng.randrange(10_000) / 100, float(rng.randrange(3)))], [(1000 + rng.randrange(10_000) / 100, float(rng.randrange(3)))])
+        bids, asks = book.top(25)
+    assert time.process_time() - began < 10
+    assert bids == sorted(book.bids.items(), reverse=True)[:25] and asks == sorted(book.asks.items())[:25]
+
+
+def test_samples_of_slots_are_the_last_ones(spark):
+    level = "array<struct<price:double,qty:double>>"
+    rows = [("s", START + k // 3 * 400, k, "snapshot" if k == 0 else "delta", [(10.0 + k % 5, float(k % 4))], [(9.0 if k == 11 else 20.0 + k, 1.0)]) for k in range(40)]
+    rows += [("s", START + 20_000, 99, "delta", None, [(9.0, 0.0)])]
+    m = spark.createDataFrame(rows, f"symbol string, ts_ms long, seq long, type string, b {level}, a {level}")
+    last = {}
+    for r in depth.book_samples(m).collect():
+        if r.ts_ms // 1000 not in last or (r.ts_ms, r.seq) > last[r.ts_ms // 1000][1:3]:
+            last[r.ts_ms // 1000] = tuple(r)
+    assert sorted(map(tuple, depth.book_samples(m, slot_ms=1000).collect())) == sorted(last.values())
+    bars = depth.book_bars(depth.book_features(depth.book_samples(m)), 1000).orderBy("bucket").collect()
+    assert bars[-1].mid_close == (last[bars[-1].bucket // 1000][3][0][0] + last[bars[-1].bucket // 1000][4][0][0]) / 2
+
+
 @pytest.mark.parametrize("block", [1, 3, 64])
 def test_first_crossing_is_that_of_a_loop(spark, block):
     rng = random.Random(block)
