@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.clocks import DAY
-from ..operators import depth, exhaustion, microevents
+from ..operators import exhaustion, microevents
 from ..operators.indicators import rows
 from ..sources import trades as src
 from .base import N, numbered_bars, rounded
-from .books import STATE, _lines
+from .books import STATE, seconds
 
 #: As in the plan of phases: the event table's prices as cents on a dollar level.
 LEVEL = 60_000
@@ -25,8 +25,7 @@ def tired_buyers(s, d):
 
 
 def found(s, d):
-    seconds = depth.book_seconds(depth.book_features(depth.book_samples(src.read_book_json(s, _lines(s, d)))))
-    return microevents.micro_events(microevents.second_panel(seconds, src.trades(s, d)), E)
+    return microevents.micro_events(microevents.second_panel(seconds(s, d), src.trades(s, d)), E)
 
 
 def events(s, d):
