@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .depth import Book
+from .depth import in_order
 
 #: Samples of a block: about the root of a busy day's.
 BLOCK = 1024
@@ -54,28 +55,48 @@ def entry_books(messages: DataFrame, hits: DataFrame, reach: float = 3.0) -> Dat
     largest level towards the target in risks and its quantity, and the imbalance.
     """
 
-    def reached(side: dict[float, float], low: float, high: float) -> tuple[float, float, float]:
-        inside = [(q, -p) for p, q in side.items() if low <= p <= high]
-        wall = max(inside, default=(0.0, 0.0))
-        return sum(q for q, _ in inside), -wall[1], wall[0]
+    names = [c.split()[0] for c in ENTRY.split(", ")]
+    schema = pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for c, t in (c.split() for c in ENTRY.split(", "))])
 
-    def replay(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def reached(side: tuple[np.ndarray, np.ndarray], low: float, high: float) -> tuple[float, float, float]:
+        price, qty = side
+        first, end = np.searchsorted(price, low, "left"), np.searchsorted(price, high, "right")
+        if first >= end:
+            return 0.0, 0.0, 0.0
+        wall = first + int(qty[first:end].argmax())  # of equal ones the lowest price
+        return float(qty[first:end].sum()), float(price[wall]), float(qty[wall])
+
+    def replay(rows: pa.Table, asked: pa.Table) -> pa.Table:
         waiting: dict[tuple, list[dict]] = {}
-        for h in asked.to_dict("records"):
+        for h in asked.to_pylist():
             waiting.setdefault((h["hit_ms"], h["hit_seq"]), []).append(h)
-        book, known, out = Book(), False, []
-        for m in rows.sort_values(["ts_ms", "seq"]).to_dict("records") if waiting else []:
-            known = known or m["type"] == "snapshot"
-            if known and book.apply(m["ts_ms"], m["type"], *([(x["price"], x["qty"]) for x in m[s]] for s in ("b", "a"))):
-                for h in waiting.get((m["ts_ms"], m["seq"]), []):
+        out: list[tuple] = []
+        if waiting and len(rows):
+            seq, last = rows["seq"].to_pylist(), max(waiting)
+            steps = []
+            for i, ts, kind, b, a in in_order(rows):
+                if (ts, seq[i]) > last:
+                    break
+                steps.append((ts, seq[i], kind, b, a))
+            # all prices of a day in order, so that a part of a side is a slice; zero where the book holds nothing
+            prices = [np.unique(np.array([p for s in steps for p, _ in s[k]], np.float64)) for k in (3, 4)]
+            places = [{p: i for i, p in enumerate(known.tolist())} for known in prices]
+            held = [np.zeros(len(known)) for known in prices]
+            for ts, number, kind, b, a in steps:
+                for side, place, levels in zip(held, places, (b, a), strict=True):
+                    if kind == "snapshot":
+                        side[:] = 0.0
+                    for p, q in levels:
+                        side[place[p]] = q
+                for h in waiting.get((ts, number), []):
                     e, width = h["entry"], reach * h["risk"]
-                    above, below = reached(book.asks, e, e + width), reached(book.bids, e - width, e)
+                    above, below = reached((prices[1], held[1]), e, e + width), reached((prices[0], held[0]), e - width, e)
                     if above[0] > 0 and below[0] > 0:
                         (ahead, wall, qty), (behind, _, _) = (above, below) if h["is_long"] else (below, above)
                         out.append((h["id"], h["symbol"], h["hit_ms"], ahead / (behind + 1e-9), abs(wall - e) / h["risk"], qty, (ahead - behind) / (ahead + behind)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ENTRY.split(", ")])
+        return pa.Table.from_pylist([dict(zip(names, o, strict=True)) for o in out], schema)
 
     day = lambda ts: F.floor(F.col(ts) / DAY_MS).alias("_day")
     left = messages.select("symbol", "ts_ms", "seq", "type", "b", "a", day("ts_ms"))
     right = hits.where("hit_ms IS NOT NULL AND risk > 0").select("id", "symbol", "entry", "is_long", "risk", "hit_ms", "hit_seq", day("hit_ms"))
-    return left.groupBy("symbol", "_day").cogroup(right.groupBy("symbol", "_day")).applyInPandas(replay, ENTRY)
+    return left.groupBy("symbol", "_day").cogroup(right.groupBy("symbol", "_day")).applyInArrow(replay, ENTRY)

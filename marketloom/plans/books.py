@@ -38,14 +38,13 @@ def bars(s, d):
 
 
 def entries(s, d):
-    m = src.read_book_json(s, _lines(s, d))
-    best = depth.book_samples(m, 1)
+    m, at = src.read_book_json(s, _lines(s, d)), folder(s)
     bid, ask = F.get("bids", F.lit(0))["price"], F.get("asks", F.lit(0))["price"]
-    # a sample has no sequence of its own; times of one symbol do not tie in this table
-    series = best.select("symbol", "ts_ms", F.lit(0).cast("long").alias("seq"), ((bid + ask) / 2).alias("mid"))
+    depth.book_samples(m, 1).select("symbol", "ts_ms", "seq", ((bid + ask) / 2).alias("mid")).write.parquet(at)
+    series = s.read.parquet(at)
     orders = src.trades(s, d).where("seq % 5 = 0").select(F.col("seq").alias("id"), "symbol", "ts_ms", (F.round("price", 2) / 2 + 560).alias("level"), (~F.col("is_sell")).alias("below"), (100 + 3 * F.col("qty")).cast("double").alias("risk"))
-    hits = search.first_crossing(orders, series, "mid", 16)
-    hits = hits.join(m.select("symbol", F.col("ts_ms").alias("hit_ms"), "seq"), ["symbol", "hit_ms"]).select("id", "symbol", F.col("level").alias("entry"), F.col("below").alias("is_long"), "risk", "hit_ms", F.col("seq").alias("hit_seq"))
+    hits = search.first_crossing(orders, series, "mid", 256)
+    hits = hits.where("hit_ms IS NOT NULL").select("id", "symbol", F.col("level").alias("entry"), F.col("below").alias("is_long"), "risk", "hit_ms", "hit_seq")
     return rounded(search.entry_books(m, hits), "liq_ratio", "wall_dist", "book_imbalance")
 
 
@@ -55,6 +54,13 @@ def _lines(s, d):
     return at
 
 
+def seconds(s, d):
+    """Features of the book at the end of each second, as a table: what follows reads it several times, and the replay runs once."""
+    at = folder(s)
+    depth.book_seconds(depth.book_features(depth.book_samples(src.read_book_json(s, _lines(s, d)), slot_ms=1000))).write.parquet(at)
+    return s.read.parquet(at)
+
+
 #: Books by SQL: at each message the last quantity of every price that its day has set so far.
 STATE = f"""{T}, x AS (SELECT *, ts_ms // {DAY} AS day, row_number() OVER (PARTITION BY symbol, ts_ms // {DAY} ORDER BY ts_ms, seq) = 1 AS f FROM t),
 u AS (SELECT symbol, day, ts_ms, seq, 'b' AS side, round(price, 2) AS p, (qty % 4 + f :: INT) :: DOUBLE AS q FROM x WHERE is_sell OR f
