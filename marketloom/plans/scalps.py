@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.clocks import DAY
-from ..operators import depth, indicators, microevents, scalps, scan
+from ..operators import indicators, microevents, scalps, scan
 from ..operators.indicators import rows
 from ..sources import trades as src
 from .base import N, T, numbered_bars, rounded
-from .books import STATE, _lines
+from .books import STATE, seconds
 
 R = scalps.MakerRules(spread_ticks=20_000.0, least_volume=0.8, away=0.02, long_at=0.52, short_at=0.48, reward=1.2, london_score=56.0)
 FAST, SLOW = 0.3, 0.1
@@ -31,8 +31,7 @@ def flow_memory(s, d):
 
 
 def samples(s, d):
-    seconds = depth.book_seconds(depth.book_features(depth.book_samples(src.read_book_json(s, _lines(s, d)))))
-    p = microevents.second_panel(seconds, src.trades(s, d)).withColumn("share", (F.col("obi5") + 1) / 2)
+    p = microevents.second_panel(seconds(s, d), src.trades(s, d)).withColumn("share", (F.col("obi5") + 1) / 2)
     p = p.select("symbol", "ts_ms", "mid", "micro", "spread_bps", "share", "vol", "delta")
     p = scan.sample_ema(scan.sample_ema(p, "symbol", ["ts_ms"], "share", FAST, "fast"), "symbol", ["ts_ms"], "share", SLOW, "slow")
     day = Window.partitionBy("symbol", F.floor(F.col("ts_ms") / DAY)).orderBy("ts_ms")
