@@ -6,6 +6,8 @@ Definitions that share a name elsewhere are separate functions here; their frame
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -165,10 +167,29 @@ def trailing_sums(events: DataFrame, width_ms: int, short_ms: int, cascade: floa
 
     A cascade is a short sum above its level; a side dominates with more than its share.
     """
-    over = lambda ms: Window.partitionBy("symbol").orderBy("ts_ms").rangeBetween(-ms, 0)
-    sells = F.coalesce(F.sum(F.when(F.col("is_sell"), F.col("usd"))).over(over(width_ms)), F.lit(0.0))
-    buys = F.coalesce(F.sum(F.when(~F.col("is_sell"), F.col("usd"))).over(over(width_ms)), F.lit(0.0))
-    out = events.select("symbol", "ts_ms", "seq", sells.alias("sells"), buys.alias("buys"), (F.sum("usd").over(over(short_ms)) > cascade).alias("cascade"))
+    slots = F.floor(F.col("ts_ms") / width_ms).cast("long")
+    # an event counts in its own slot and as history of the next one, so a task holds two widths of a symbol
+    placed = events.select("symbol", "ts_ms", "seq", "is_sell", F.col("usd").cast("double").alias("usd"), F.posexplode(F.array(slots, slots + 1)).alias("_past", "_slot"))
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["ts_ms", "seq"], kind="stable")
+        ts, usd, sell = x["ts_ms"].to_numpy(), x["usd"].to_numpy(), x["is_sell"].to_numpy()
+        end = np.searchsorted(ts, ts, "right")
+        own = x["_past"].to_numpy() == 0
+
+        def over(values: np.ndarray, ms: int) -> np.ndarray:
+            total = np.append(np.longdouble(0), np.cumsum(values.astype(np.longdouble)))  # exact enough for differences
+            return (total[end] - total[np.searchsorted(ts, ts - ms, "left")]).astype(np.float64)
+
+        known = ~np.isnan(usd)
+        of = [over(np.where(known & (sell == which), usd, 0.0), width_ms) for which in (True, False)]
+        short, many = over(np.where(known, usd, 0.0), short_ms), over(known, short_ms)
+        cascades = pd.array(short > cascade, dtype="boolean")
+        cascades[many == 0] = pd.NA
+        out = pd.DataFrame({"symbol": x["symbol"].to_numpy(), "ts_ms": ts, "seq": x["seq"].to_numpy(), "sells": of[0], "buys": of[1], "cascade": cascades})
+        return out[own]
+
+    out = placed.groupBy("symbol", "_slot").applyInPandas(run, "symbol string, ts_ms long, seq long, sells double, buys double, cascade boolean")
     side = F.when(F.col("sells") > dominant * (F.col("sells") + F.col("buys")), "sell").when(F.col("buys") > dominant * (F.col("sells") + F.col("buys")), "buy").otherwise("none")
     return out.withColumn("dominant", side)
 

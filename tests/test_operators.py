@@ -85,6 +85,29 @@ def test_as_of_takes_the_last_of_equal_times(spark):
         assert {r.v for r in joins.as_of(left, right, "k", "t", ["v"]).collect()} == {2.0}
 
 
+def test_trailing_sums_are_those_of_a_loop(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.randrange(4_000) // 3 * 3, k, rng.random() < 0.5, rng.choice([None, *[q / 4 for q in range(60)]])) for k in range(400)]
+    found = indicators.trailing_sums(spark.createDataFrame(rows, "symbol string, ts_ms long, seq long, is_sell boolean, usd double"), 300, 90, 40.0, 0.6)
+    for r in found.collect():
+        near = lambda ms: [x for x in rows if x[0] == r.symbol and r.ts_ms - ms <= x[1] <= r.ts_ms and x[4] is not None]  # noqa: E731, B023
+        short = [x[4] for x in near(90)]
+        assert (r.sells, r.buys) == tuple(sum(x[4] for x in near(300) if x[3] == s) for s in (True, False))
+        assert r.cascade == (sum(short) > 40 if short else None)
+    assert found.count() == len(rows) and "RangeFrame" not in found._jdf.queryExecution().toString()
+
+
+def test_windows_and_joins_that_grow_with_the_input_only(spark):
+    levels = spark.createDataFrame([("a", k, 5) for k in range(4)], "symbol string, at long, level long")
+    ranges = spark.createDataFrame([("a", 1, 5, 5), ("a", 3, 0, 5)], "symbol string, at long, lo long, hi long")
+    found = bars.first_touch(levels, ranges, 5)
+    assert {r.at: r.touched for r in found.collect()} == {0: 1, 1: 3, 2: 3, 3: None}
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    rows = spark.createDataFrame([("a", k, ["x"], float(k)) for k in range(9)], "s string, o long, holds array<string>, r double")
+    plan = mining.permutation_null(rows, ["s"], "o", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [s#" in plan
+
+
 def test_first_hit_prefers_the_stop(spark):
     s = spark.createDataFrame([("a", 0, 10.0, 9.0, 12.0)], "symbol string, n int, entry double, stop double, target double")
     b = spark.createDataFrame([("a", 1, 11.0, 9.5, 10.5), ("a", 2, 12.5, 8.5, 10.0)], "symbol string, n int, high double, low double, close double")
