@@ -104,7 +104,8 @@ def first_touch(levels: DataFrame, bars: DataFrame, step: int) -> DataFrame:
     wanted = levels.select("symbol", "level").distinct()
     touches = bars.select("symbol", "at", F.explode(F.sequence("lo", "hi", F.lit(step))).alias("level")).join(wanted, ["symbol", "level"], "left_semi")
     both = levels.select("symbol", "at", "level", F.lit(None).cast("long").alias("hit")).unionByName(touches.withColumn("hit", F.col("at")))
-    later = Window.partitionBy("symbol", "level").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    # from the last bar back: a frame that only grows is one pass, one that shrinks is summed up anew for each row
+    later = Window.partitionBy("symbol", "level").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, -1)
     return both.withColumn("touched", F.min("hit").over(later)).where("hit is null").drop("hit")
 
 
