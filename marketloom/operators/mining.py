@@ -54,7 +54,8 @@ def permutation_null(rows: DataFrame, block: list[str], order: str, permutations
     copies = placed.select(*block, "_o", F.col("r").alias("drawn"), F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("k"))
     draw = F.md5(F.concat_ws(":", F.col("k").cast("string"), F.col("_o").cast("string")).cast("binary"))
     copies = copies.withColumn("place", F.row_number().over(Window.partitionBy(*block, "k").orderBy(draw, "_o"))).drop("_o")
-    met = placed.join(copies, [*block, "place"]).select("k", "drawn", F.explode("holds").alias("rule"))
+    # Spark's estimate knows nothing of the copies: without the hint it broadcasts them
+    met = placed.join(copies.hint("merge"), [*block, "place"]).select("k", "drawn", F.explode("holds").alias("rule"))
     best = met.groupBy("k", "rule").agg(F.avg("drawn").alias("mean")).groupBy("k").agg(F.max("mean").alias("best"))  # a row for each permutation
     found = rows.select("r", F.explode("holds").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"))
     nulls = best.agg(F.collect_list("best").alias("all"))  # one row
