@@ -268,6 +268,22 @@ def test_search_edge_cases(spark, vectors):
     assert ivfpq.search(spark, spark.createDataFrame([], VECTOR)).count() == 0
 
 
+def test_search_misses_nothing_on_hostile_rows(spark):
+    """Lengths of heavy tails, and dense groups that the codes cannot tell apart."""
+    rng = np.random.default_rng(11)
+    spread = rng.normal(size=(1500, 16)) * rng.lognormal(0, 2, (1500, 1))
+    dense = rng.normal(size=(3, 16)).repeat(500, 0) * 5 + rng.normal(size=(1500, 16)) * 1e-4
+    vectors = np.concatenate([spread, dense])[rng.permutation(3000)]
+    found = {}
+    for r in ivfpq.search(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"), rerank=40).collect():
+        found.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    for query, got in found.items():
+        score = vectors @ vectors[query]
+        score[query] = -np.inf
+        assert [got[k + 1] for k in range(20)] == np.lexsort((np.arange(3000), -score))[:20].tolist()
+    assert len(found) == 150
+
+
 def test_search_over_many_shards(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=6).tolist(), 0) for i in range(400)]
