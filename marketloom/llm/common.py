@@ -8,7 +8,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from typing import Any
 
 from pyspark import cloudpickle
@@ -42,16 +42,25 @@ BATCH_ROWS = 1_000
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most ``BATCH_ROWS`` rows for what is written within; all rows still go through."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+def setting(spark: SparkSession, key: str, value: Any) -> Iterator[None]:
+    """A session setting for what runs within."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def batches_of(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """Arrow batches of ``rows`` rows for what is written within; all rows still go through."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Arrow batches of at most ``BATCH_ROWS`` rows."""
+    before = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    return batches_of(spark, before if 0 < before <= BATCH_ROWS else BATCH_ROWS)
 
 
 def shared(spark: SparkSession, what: Any) -> Callable[[], Any]:
@@ -110,7 +119,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # nobody reads the shuffles of a written table again
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

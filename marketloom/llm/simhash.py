@@ -3,17 +3,17 @@
 Fingerprints link at ``RADIUS`` = 3 or fewer differing bits. An odd radius has no middle, so one of ``MASKS`` blocks of bits is left
 out at a time: two fingerprints that differ in 3 bits differ in 2 at most outside of a block that holds one of them.
 For each block every fingerprint emits all variants within half of that, 1 bit, of its other bits (132 variants for
-three blocks). Two fingerprints within 2 bits there share a variant. Variants are shuffled; fingerprints that collide are
-verified on all 64 bits, and pairs deduplicated.
+three blocks). Two fingerprints within 2 bits there share a variant. Variants are shuffled once and sorted in their tasks;
+fingerprints that collide are verified on all 64 bits, and pairs deduplicated.
 
-Buckets of two are a pair. Larger ones are compared in a task, up to ``BUCKET`` distinct fingerprints. Beyond, pairs would be
+Buckets are runs of the sorted variants, compared as they pass, up to ``BUCKET`` distinct fingerprints. Beyond, pairs would be
 too many, and the exact way is whole balls on 64 bits: radius 1 from fingerprints with an odd number of ones and radius 2
 (2,081 variants) from the others. At a variant that both kinds reach, every odd one is within 3 bits of every even one, and
 two of a kind that share a radius-1 variant are within 2 bits, so all that meet so are linked through the
 variant as a hub, without pairs.
 
-Copies share a fingerprint; graphs are over distinct fingerprints, and documents get their class by a
-salted join.
+Copies share a fingerprint; graphs are over distinct fingerprints, and documents look up their class by
+fingerprint and salt.
 
 The pipeline's stage (``keep_first``) links texts that share four fifths or more of their five-word shingles; texts with
 equal shingle sets are one node. Candidates are fingerprints in each other's balls, and, as few such texts are within 3
@@ -29,14 +29,14 @@ result. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed, salted_join, small_batches, table
+from .common import Scratch, batches_of, keyed, small_batches, table
 from .graph import components, looked_up
 
 WORDS = 3
@@ -46,6 +46,8 @@ MASKS = 3
 #: Most distinct fingerprints of a bucket that are compared with each other in one task.
 BUCKET = 2048
 CHUNK = 1 << 15
+#: Rows of variants in an Arrow batch: two longs each.
+RUN_ROWS = 1 << 16
 #: Fingerprints whose variants one task emits.
 FPS_OF_TASK = 8_192
 #: Keys up to which a table that only selects rows is broadcast; a larger one is joined by a shuffle.
@@ -105,25 +107,70 @@ def variants(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.concat(*balls)).alias("bucket"), "fp")
 
 
-def linked_in_buckets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A forest of the links within each bucket: every linked fingerprint with an earlier one."""
-    for batch in batches:
-        edges: list[tuple[int, int]] = []
-        for fps in batch["fps"]:
-            u = np.sort(np.asarray(fps, np.int64)).view(np.uint64)
-            if len(u) == 2:
-                if int(u[0] ^ u[1]).bit_count() <= RADIUS:
-                    edges.append((int(np.int64(u[0])), int(np.int64(u[1]))))
+def forest(u: np.ndarray) -> list[tuple[np.uint64, np.uint64]]:
+    """A forest of the links among the distinct fingerprints ``u``: every linked one with an earlier one."""
+    edges, label = [], np.arange(len(u))
+    for i in range(1, len(u)):
+        near = np.flatnonzero(np.bitwise_count(u[:i] ^ u[i]) <= RADIUS)
+        roots = np.unique(label[near])
+        if len(roots):  # links that join trees are enough
+            edges += [(u[near[label[near] == r][0]], u[i]) for r in roots]
+            label[np.isin(label, roots)] = roots[0]
+            label[i] = roots[0]
+    return edges
+
+
+def linked_in_runs(most: int) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Links (a, b) within each bucket of rows (bucket, fp) in the order of buckets; of a bucket of over ``most`` rows, each fingerprint as ``a`` alone.
+
+    Only the last bucket of a batch waits for the next batch, until it has more than ``most`` rows.
+    """
+
+    def links(bucket: np.ndarray, fp: np.ndarray) -> list[np.ndarray]:
+        start = np.flatnonzero(np.diff(bucket, prepend=~bucket[:1]))
+        size = np.diff(start, append=len(bucket))
+        two = start[size == 2]
+        a, b = fp[two], fp[two + 1]
+        hit = (a != b) & (np.bitwise_count(a ^ b) <= RADIUS)
+        found = [np.stack([a[hit], b[hit]], 1)]
+        for at, n in zip(start[size > 2], size[size > 2], strict=True):
+            if n <= most:
+                found.append(np.array(forest(np.unique(fp[at : at + n])), np.uint64).reshape(-1, 2))
+        return found
+
+    def table(found: list[np.ndarray], alone: list[np.ndarray]) -> pd.DataFrame:
+        pairs = np.concatenate(found or [np.empty((0, 2), np.uint64)]).view(np.int64)
+        one = np.concatenate(alone or [np.empty(0, np.uint64)]).view(np.int64)
+        a, b = np.concatenate([pairs[:, 0], one]), pd.array(np.concatenate([pairs[:, 1], one]), "Int64")
+        b[len(pairs) :] = pd.NA
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        wide = None  # a crowded bucket whose rows still come
+        for batch in batches:
+            bucket = np.concatenate([bucket, batch["bucket"].to_numpy(np.int64)])
+            fp = np.concatenate([fp, batch["fp"].to_numpy(np.int64).view(np.uint64)])
+            alone = []
+            if wide is not None:
+                more = int(np.searchsorted(bucket, wide, "right"))
+                alone.append(fp[:more])
+                bucket, fp = bucket[more:], fp[more:]
+            if not len(bucket):
+                yield table([], alone)
                 continue
-            label = np.arange(len(u))
-            for i in range(1, len(u)):
-                near = np.flatnonzero(np.bitwise_count(u[:i] ^ u[i]) <= RADIUS)
-                roots = np.unique(label[near])
-                if len(roots):  # links that join trees are enough
-                    edges += [(int(u[near[label[near] == r][0]].view(np.int64)), int(u[i].view(np.int64))) for r in roots]
-                    label[np.isin(label, roots)] = roots[0]
-                    label[i] = roots[0]
-        yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+            last = int(np.searchsorted(bucket, bucket[-1]))
+            found = links(bucket[:last], fp[:last])
+            start = np.flatnonzero(np.diff(bucket[:last], prepend=~bucket[:1]))
+            alone += [fp[at : at + n] for at, n in zip(start, np.diff(start, append=last), strict=True) if n > most]
+            bucket, fp, wide = bucket[last:], fp[last:], None
+            if len(bucket) > most:
+                alone.append(fp)
+                bucket, fp, wide = bucket[:0], fp[:0], bucket[0]
+            yield table(found, alone)
+        yield table(links(bucket, fp), [])
+
+    return run
 
 
 def ball_hubs(fps: DataFrame) -> DataFrame:
@@ -155,20 +202,13 @@ def ball_hubs(fps: DataFrame) -> DataFrame:
 
 
 def fingerprint_links(fps: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect distinct fingerprints as all links within ``RADIUS`` do."""
+    """Edges (a, b) that connect distinct fingerprints as all links within ``RADIUS`` do. Variants are shuffled once."""
     parts = max(8, -(-fps.count() // FPS_OF_TASK))
-    reach = variants(fps.repartition(parts))
-    # variants are nearly all distinct: they are shuffled as they are, not counted before
-    sizes = reach.repartition(parts, "bucket").groupBy("bucket").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = scratch.save(sizes, "sizes")
-    pairs = sizes.where("n = 2").select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
-    met = reach.join(sizes.where("n > 2").select("bucket", "n"), "bucket")
-    small = met.where(F.col("n") <= bucket).groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
-    links = pairs.unionByName(small.select("fps").mapInPandas(linked_in_buckets, "a long, b long"))
-    if not sizes.where(F.col("n") > bucket).isEmpty():
-        crowded = scratch.save(met.where(F.col("n") > bucket).select("fp").distinct(), "crowded")
-        links = links.unionByName(ball_hubs(crowded))
-    return links.distinct()
+    reach = variants(fps.repartition(parts)).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    with batches_of(scratch.spark, RUN_ROWS):
+        met = scratch.save(reach.mapInPandas(linked_in_runs(bucket), "a long, b long").distinct(), "ball-links")
+    links, crowded = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("fp"))
+    return links if crowded.isEmpty() else links.unionByName(ball_hubs(crowded)).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -182,7 +222,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET)
     classed = first.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = classed.groupBy("label").agg(F.min("first").alias("component_id"))
     component = scratch.save(looked_up(classed, "label", "fp", smallest).select("fp", "component_id"), "components")
-    out = salted_join(found, component, "fp", F.col("doc_id"))
+    out = looked_up(found, "fp", "doc_id", component)
     return scratch.finish(out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 

@@ -212,6 +212,44 @@ def test_planted_fingerprints_meet_within_three_bits(spark):
         assert all(len(v) == 1 for v in classes.values()) and len(classes) == len(set(wanted.values()))
 
 
+def test_variants_of_fingerprints_are_shuffled_once(spark, monkeypatch, capsys):
+    """With many buckets of more than two, too: they are compared in runs of sorted variants, however batches cut these."""
+    rng = np.random.default_rng(5)
+    near = [int(b) ^ 1 << int(i) for b in rng.integers(0, 1 << 62, 200) for i in rng.integers(0, 64, 4)]
+    signed = sorted({x - (1 << 64) if x >= 1 << 63 else x for x in near})
+    save, shuffles = Scratch.save, []
+
+    def counted(self, df, name):
+        df.explain()
+        shuffles.append(capsys.readouterr().out.count("hashpartitioning(bucket"))
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    s = Scratch(spark, "t")
+    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), s)
+    links.explain()
+    assert sum(shuffles) + capsys.readouterr().out.count("hashpartitioning(bucket") == 1
+    found = {(r.a, r.b) for r in links.collect()}
+    assert found and all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in found)
+
+
+@pytest.mark.parametrize("most", [2, 5, 100])
+def test_runs_of_buckets_go_on_from_batch_to_batch(most):
+    import pandas as pd
+
+    buckets = {1: 1, 2: 2, 5: 4, 6: 1, 7: 5, 9: 40, 10: 2, 11: 3}
+    rows = pd.DataFrame([(b, b << 32 | k) for b, n in buckets.items() for k in range(n)], columns=["bucket", "fp"], dtype="int64")
+    seen = []
+    for size in (1, 3, 7, 100):
+        got = pd.concat(simhash.linked_in_runs(most)(rows[at : at + size] for at in range(0, len(rows), size)))
+        alone = {int(a) for a in got["a"][got["b"].isna()]}
+        assert alone == {f for b, f in rows.itertuples(index=False) if buckets[b] > most}
+        seen.append({(int(a), int(b)) for a, b in got.dropna().itertuples(index=False)})
+    assert all(x == seen[0] for x in seen)
+    assert all((a ^ b).bit_count() <= 3 for a, b in seen[0])
+    assert len(seen[0]) == sum(n - 1 for n in buckets.values() if n <= most)  # low numbers of up to six bits: each bucket is one tree
+
+
 def test_fingerprint_of_words(spark):
     import xxhash
 
