@@ -129,10 +129,14 @@ class Scratch:
     def finish(self, df: DataFrame) -> DataFrame:
         """``df``, written as the only table that stays."""
         out = self.save(df, "result")
-        for name in [n for n in self.paths if n != "result"]:
-            self.drop(name)
+        self.keep("result")
         return out
 
+    def keep(self, *names: str) -> None:
+        """Drop all tables but these."""
+        for name in [n for n in self.paths if n not in names]:
+            self.drop(name)
+
     def close(self) -> None:
         self._delete(self.base)
         self.paths.clear()

@@ -18,9 +18,12 @@ fingerprint and salt.
 The pipeline's stage (``keep_first``) links texts that share four fifths or more of their five-word shingles; texts with
 equal shingle sets are one node. Candidates are fingerprints in each other's balls, and, as few such texts are within 3
 bits, nodes that agree in a band of shingle minima. In each bucket the nodes are held against two drawn members.
-Buckets whose nodes are still in several classes are searched whole, in pairs of blocks: those of over ``BLOCK`` nodes are first dealt anew,
-by every other band beside their own. Minima rule out pairs that are far from alike, and every link is checked on the
-whole shingle sets. No task emits pairs: blocks say which nodes have anything near, and then give forests of links.
+Buckets whose nodes are still in several classes are searched whole, whatever their size, in pairs of blocks of ``BLOCK``
+nodes: every two nodes of different classes are compared, in the first band in which they agree. Minima rule out pairs
+that are far from alike, and every link is checked on the whole shingle sets. No task emits pairs: blocks say which nodes
+have anything near, and then give forests of links. What the largest class of a bucket holds is not compared with itself,
+so that near copies of one text, however many, cost in proportion; many texts that agree in a band and are in as many
+classes cost the square of their number, a block at a time.
 
 Edge cases: a null text has no words, like an empty one: fingerprint zero, linked like any
 other. A null doc_id gets a class from the others of its class. Repeated rows are repeated in the
@@ -58,6 +61,9 @@ STAGE_WORDS, FIFTHS = 5, 4
 BANDS, MINIMA = 14, 4
 #: Share of equal minima under which a pair is not checked: 3.4 standard errors below four fifths.
 NEAR = 0.62
+#: Most drawn nodes that a node is held to by its whole set; what else is alike comes to light in the buckets that are still apart.
+NEAREST = 2
+#: Nodes of a bucket that are compared with each other, or with another block, in one go: larger buckets take all pairs of blocks.
 BLOCK = 512
 
 
@@ -287,7 +293,7 @@ def with_both(pairs: DataFrame, found: DataFrame, column: str) -> DataFrame:
 
 
 def nearest_by_sketch(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For each ``a`` of the pairs (a, b) the b that agrees with it in most minima, if that is a share ``NEAR`` of them. (An ``a`` has few pairs.)"""
+    """For each ``a`` of the pairs (a, b) those ``NEAREST`` b that agree with it in most minima, if that is a share ``NEAR`` of them. (An ``a`` has few pairs.)"""
 
     @F.pandas_udf("double")
     def share(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -295,7 +301,8 @@ def nearest_by_sketch(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         return pd.Series((x == y).mean(axis=1))
 
     found = with_both(pairs, nodes, "sketch").select("a", "b", share("of_a", "of_b").alias("share")).where(F.col("share") >= NEAR)
-    return found.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("share", "b")), asc=False), 1, NEAREST)
+    return found.groupBy("a").agg(best.alias("best")).select("a", F.explode("best.b").alias("b"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -306,42 +313,58 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def in_blocks(members: DataFrame, found: DataFrame, payload: str) -> DataFrame:
-    """Pairs of blocks of each bucket of ``members`` (bucket, node, label): ``bucket``, ``one``, ``other``.
+    """Pairs of blocks of each bucket of ``members`` (bucket, band, node, label): ``bucket``, ``band``, ``one``, ``other``.
 
     Both are lists of (node, label, ``payload`` of ``found``) of at most about ``BLOCK``; ``other`` is empty where a block meets
-    itself. The payload joins last, as a node is in few buckets and its blocks.
+    itself. Every two nodes of different classes meet. In a bucket of several blocks those of the largest class have blocks of
+    their own, which meet the blocks of the rest only. The payload joins last, as a node is in few buckets and its blocks.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), (F.min("label") < F.max("label")).alias("apart"))
-    cut = looked_up(members, "bucket", "node", sizes.where("apart")).where("apart")
-    own = F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int")
-    cut = cut.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    classes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("many"))
+    sizes = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("many").alias("all"), F.max(F.struct("many", "label")).alias("most"))
+    sizes = sizes.where("classes > 1").select("bucket", "all", F.col("most.label").alias("largest"), (F.col("all") - F.col("most.many")).alias("rest"))
+    cut = looked_up(members, "bucket", "node", sizes).where("all is not null")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    whole, large = F.col("all") <= BLOCK, F.col("label") == F.col("largest")
+    of_rest, of_all = blocks(F.col("rest")), blocks(F.col("rest")) + blocks(F.col("all") - F.col("rest"))
+    draw = F.xxhash64("node", "bucket")
+    own = F.when(whole, 0).when(large, of_rest + F.pmod(draw, of_all - of_rest).cast("int")).otherwise(F.pmod(draw, of_rest).cast("int"))
+    last = F.when(whole, 0).when(large, of_rest - 1).otherwise(of_all - 1)
+    cut = cut.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), last))).select("bucket", "band", "node", "label", "own", "with")
     cut = cut.join(found.select("node", payload), "node")
     row = F.struct("node", "label", payload)
-    cut = cut.groupBy("bucket", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
+    cut = cut.groupBy("bucket", "band", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
     lists = cut.agg(F.collect_list(F.when(F.col("own") <= F.col("with"), row)).alias("one"), F.collect_list(F.when(F.col("own") > F.col("with"), row)).alias("other"))
-    return lists.where("low = high or (size(one) > 0 and size(other) > 0)").select("bucket", "one", "other")
+    return lists.where("low = high or (size(one) > 0 and size(other) > 0)").select("bucket", "band", "one", "other")
 
 
-def apart(one: list, other: list) -> tuple[list, int, np.ndarray]:
-    """Members of a pair of blocks, the number of rows that are held against the columns after it, and which pairs are in two classes."""
-    rows = [*one, *(other or [])]
+def apart(one: list, other: list) -> tuple[list, np.ndarray]:
+    """Members of a pair of blocks, and which pairs of them are in two classes and meet here."""
+    rows = [*one, *other]
     label = np.array([r["label"] for r in rows], np.int64)
     ask = label[:, None] != label[None]
     if len(other):
         ask[: len(one), : len(one)] = ask[len(one) :, len(one) :] = False
-    return rows, len(one), ask
+    return rows, ask
 
 
 def with_near(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members of a bucket that agree in a share ``NEAR`` of minima with one of another class."""
+    """Members of a bucket that agree in a share ``NEAR`` of minima with one of another class, in no earlier band as a whole."""
     for batch in batches:
         out = []
-        for bucket, one, other in zip(batch["bucket"], batch["one"], batch["other"], strict=True):
-            rows, _, ask = apart(list(one), list(other))
+        for bucket, band, one, other in zip(batch["bucket"], batch["band"], batch["one"], batch["other"], strict=True):
+            rows, ask = apart(list(one), list(other))
             sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
-            near = [ask[i] & ((sketch == sketch[i]).mean(axis=1) >= NEAR) for i in range(len(rows))]
-            out += [(bucket, r["node"], r["label"]) for r, n in zip(rows, near, strict=True) if n.any()]
-        yield pd.DataFrame(out, columns=["bucket", "node", "label"], dtype="int64")
+            near = np.zeros(len(rows), bool)
+            for i in range(len(rows)):
+                at = np.flatnonzero(ask[i])
+                same = sketch[at] == sketch[i]
+                close = np.flatnonzero(same.sum(axis=1) >= NEAR * same.shape[1])
+                if len(close) and band:  # who meets in an earlier band is compared there
+                    close = close[~same[close, : MINIMA * band].reshape(len(close), band, MINIMA).all(axis=2).any(axis=1)]
+                near[at[close]] = True
+                near[i] |= len(close) > 0
+            out += [(bucket, band, rows[i]["node"], rows[i]["label"]) for i in np.flatnonzero(near)]
+        yield pd.DataFrame(out, columns=["bucket", "band", "node", "label"], dtype="int64")
 
 
 def linked_by_sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -349,7 +372,7 @@ def linked_by_sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         edges: list[tuple[int, int]] = []
         for one, other in zip(batch["one"], batch["other"], strict=True):
-            rows, _, ask = apart(list(one), list(other))
+            rows, ask = apart(list(one), list(other))
             size = np.array([len(r["shingles"]) for r in rows])
             at = np.repeat(np.arange(len(rows)), size)
             _, column, many = np.unique(np.concatenate([r["shingles"] for r in rows]), return_inverse=True, return_counts=True)
@@ -361,13 +384,14 @@ def linked_by_sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held = np.zeros((len(rows), 4096), np.float32)
                 held[at[here], column[here] - low] = 1
                 both += held @ held.T
-            hit = np.argwhere(np.triu(ask & (5 * both >= FIFTHS * (size[:, None] + size[None] - both)), 1))
-            root = {r["label"]: r["label"] for r in rows}
-            for i, j in hit:
-                x, y = root[rows[i]["label"]], root[rows[j]["label"]]
-                if x != y:
-                    root = {k: x if v == y else v for k, v in root.items()}
-                    edges.append((rows[i]["node"], rows[j]["node"]))
+            hit = ask & (5 * both >= FIFTHS * (size[:, None] + size[None] - both))
+            root = np.unique([r["label"] for r in rows], return_inverse=True)[1]
+            for i in np.flatnonzero(hit.any(axis=1)):
+                near = np.flatnonzero(hit[i])
+                for r in np.unique(root[near]):
+                    if r != root[i]:
+                        edges.append((rows[i]["node"], rows[near[root[near] == r][0]]["node"]))
+                        root[root == r] = root[i]
         yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
@@ -396,28 +420,23 @@ def alike_links(rows: DataFrame, key: Sequence[str], nodes: DataFrame, scratch:
     balls = balls.select(F.col("node_b").alias("a"), F.col("node_a").alias("b"))
     # in bands: each node with two drawn ones of its bucket
     reach = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    drawn = [F.min_by("node", F.xxhash64("node", F.lit(turn))).alias(f"drawn_{turn}") for turn in range(2)]
+    drawn = [F.min_by("node", F.xxhash64("node", "bucket", F.lit(turn))).alias(f"drawn_{turn}") for turn in range(2)]
     sizes = scratch.save(reach.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), *drawn).where("many > 1"), "sizes-of-bands")
     met = scratch.save(looked_up(reach, "bucket", "node", sizes).where("many > 1"), "met")
     stars = met.select("node", "drawn_0", "drawn_1")
     stars = stars.select(F.col("node").alias("a"), F.explode(F.array("drawn_0", "drawn_1")).alias("b")).where("a <> b")
-    # each node is held to its nearest of these; what else is alike comes to light below
+    # each node is held to its nearest ones of these; what else is alike comes to light below
     pairs = scratch.save(of_fp.unionByName(balls).unionByName(stars).distinct(), "pairs")
     pairs = scratch.save(nearest_by_sketch(pairs, nodes), "near-pairs")
     links = scratch.save(alike(pairs, sets_of(ends(pairs), "sets")), "links")
     label = scratch.save(components(links, scratch, "star-labels"), "star-label")
-    # buckets that are still apart, whole; crowded ones dealt anew by the other bands
-    seen = looked_up(met.select("bucket", "node", "band", "many"), "node", "bucket", label).withColumn("label", F.coalesce("label", "node"))
-    split = seen.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("apart")).where("apart")
-    seen = looked_up(seen, "bucket", "node", split).where("apart").drop("apart")
-    dealt = looked_up(seen.where(F.col("many") > BLOCK), "node", "bucket", nodes.select("node", "bands"))
-    dealt = dealt.select("bucket", "band", "node", "label", F.posexplode("bands").alias("again", "by")).where("again <> band")
-    dealt = dealt.select(F.xxhash64("bucket", "again", "by").alias("bucket"), "node", "label")
-    members = scratch.save(seen.where(F.col("many") <= BLOCK).select("bucket", "node", "label").unionByName(dealt), "members")
-    near = in_blocks(members, nodes, "sketch").mapInPandas(with_near, "bucket long, node long, label long")
+    # buckets that are still apart, whole: every two nodes of different classes
+    seen = looked_up(met.select("bucket", "node", "band"), "node", "bucket", label).withColumn("label", F.coalesce("label", "node"))
+    seen = scratch.save(seen.select("bucket", "band", "node", "label"), "members")
+    near = in_blocks(seen, nodes, "sketch").mapInPandas(with_near, "bucket long, band long, node long, label long")
     near = scratch.save(near.distinct(), "near")
     sets = sets_of(near.select("node").distinct(), "rest-sets")
-    rest = in_blocks(near, sets, "shingles").mapInPandas(linked_by_sets, "a long, b long")
+    rest = in_blocks(near, sets, "shingles").select("one", "other").mapInPandas(linked_by_sets, "a long, b long")
     rest = scratch.save(rest.distinct(), "rest-links")
     return components(links.unionByName(rest), scratch, "all-labels")
 
@@ -439,6 +458,7 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     gone = keys.where(F.col("first").isNull() | F.lit(False).eqNullSafe(F.struct(*key) == F.struct(*[F.col("first")[k].alias(k) for k in key])))
     gone = scratch.save(gone.select(*key).distinct(), "gone")
     again = scratch.save(found.groupBy(*key).count().where("count > 1").select(*key).join(gone, key, "left_anti"), "again")
+    scratch.keep("gone", "again")
     left = rows.join(if_small(gone), key, "left_anti")
     once = left.join(if_small(again), key, "left_anti").unionByName(left.join(if_small(again), key, "left_semi").dropDuplicates(key))
     return once.select(docs.columns)

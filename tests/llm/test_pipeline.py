@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import random
 import re
 import subprocess
 import sys
@@ -141,6 +143,52 @@ def test_crowded_buckets_are_dealt_anew_and_blocks_meet(spark, monkeypatch):
     assert sorted(r.doc_id for r in got.collect()) == [*range(30), 100]
 
 
+def agree_in(one: str, other: str) -> list[int]:
+    """Bands in which two texts agree."""
+    x, y = (simhash.minima(simhash.shingle_hashes(t)).reshape(simhash.BANDS, simhash.MINIMA) for t in (one, other))
+    return [k for k in range(simhash.BANDS) if (x[k] == y[k]).all()]
+
+
+def test_links_in_one_crowded_band_only_are_found(spark, monkeypatch):
+    """Two alike texts agree in a single band, in which a crowd of others agrees with them: no other band brings them together."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng, base = random.Random(7), words(3, 150)
+
+    def changed() -> str:
+        w = base.split()
+        for at in rng.sample(range(5, 145, 6), 3):
+            w[at] = f"c{rng.random()}"
+        return " ".join(w)
+
+    copy = next(t for t in iter(changed, None) if len(agree_in(base, t)) == 1 and 5 * len(shingles(base) & shingles(t)) >= 4 * len(shingles(base) | shingles(t)))
+    (band,) = agree_in(base, copy)
+    low = simhash.minima(simhash.shingle_hashes(base)).reshape(simhash.BANDS, -1)[band]
+    own = [g for g in zip(*[base.split()[i:] for i in range(5)], strict=False) if (simhash.minima(simhash.shingle_hashes(" ".join(g))).reshape(simhash.BANDS, -1)[band] == low).any()]
+    crowd: list[str] = []
+    while len(crowd) < 30:
+        text = " ".join([*(" ".join(g) + f" e{rng.random()}" for g in rng.sample(own, len(own))), words(rng.randrange(1 << 30), 25)])
+        if agree_in(base, text) == [band]:
+            crowd.append(text)
+    rows = [(1, base), (2, copy), *[(10 + i, t) for i, t in enumerate(crowd)]]
+    got = simhash.keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert not {r.doc_id for r in got.collect()} & {2}
+
+
+def test_nodes_of_two_classes_meet_once_and_a_large_class_not_with_itself(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    label = {i: 0 if i < 400 else i for i in range(420)}
+    members = spark.createDataFrame([(5, 1, i, k) for i, k in label.items()] + [(6, 1, i, 3) for i in range(9)], "bucket long, band long, node long, label long")
+    blocks = simhash.in_blocks(members, members.select("node", F.col("node").alias("payload")).distinct(), "payload").collect()
+    met, rows = Counter(), 0
+    for b in blocks:
+        assert b.bucket == 5 and (b.one or b.other)
+        one, other = ([r.node for r in x] for x in (b.one, b.other))
+        rows += len(one) + len(other)
+        met.update(frozenset(p) for p in ([(i, j) for i in one for j in other] or itertools.combinations(one, 2)) if label[p[0]] != label[p[1]])
+    assert len(met) == 400 * 20 + 20 * 19 // 2 and set(met.values()) == {1}
+    assert rows < 4 * 400 + 20 * 100  # 420 nodes in 53 blocks would be 22,000
+
+
 @pytest.mark.parametrize("name", ["op2_pii_bilstm_crf", "op4_pseudo_likelihood", "op7_language_viterbi", "op10_ivf_pq"])
 def test_tasks_need_no_installed_package(name, sf_dir, tmp_path):
     code = f"""import sys
