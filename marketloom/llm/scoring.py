@@ -6,10 +6,10 @@ and on the right by position, and predicts the masked token between them in two
 that class, by a softmax of the class's own. Of its 64 cell mates a token has its share of the corpus counts. A document's
 score is the sum over its tokens of the logarithm of all three.
 
-Counts cover every token of all documents. The network trains on one in ``every`` tokens of all documents, chosen by a hash
-of the window, so that what it learns from grows with the corpus; ``every=1`` takes all (README.md has the losses of both).
-Windows are dealt to parts of bounded size by their contents, each part takes steps of Adam in numpy from the common
-weights, and the weights are averaged through a tree of groups, once for each epoch: reruns agree, however the rows lie.
+Counts cover every token of all documents, and the network trains on every token (``every`` takes one in so many, by a hash
+of the window). Blocks of tokens are dealt to parts of bounded size by contents, doc_id and place, so that copies of a text spread,
+each part takes steps of Adam in numpy from the common weights, and the weights are averaged through a tree of groups,
+once for each epoch: reruns agree, however the rows lie.
 Only averaged weights and bucket counts reach the driver, whose sizes do not depend on the corpus.
 
 Edge cases: a text that is null or blank has no tokens and score 0. Repeated rows are counted and scored each for
@@ -35,11 +35,11 @@ BUCKETS = NODES << LEAF_BITS
 SIDE = 2
 WIDTH = 2 * SIDE + 1
 HIDDEN = 16
-EVERY = 8
+EVERY = 1
 EPOCHS = 1
-BATCH = 512
+BATCH, STEPS = 512, 128  # the least windows of a step of Adam, and the most steps of a part
 RATE = 0.03
-PART = 65_536
+PART = 524_288
 FAN = 16
 CHUNK = 1 << 13
 EDGE = NODES  # the cell beyond the ends of a text
@@ -58,10 +58,11 @@ def buckets(known: Generations, text: str | None) -> np.ndarray:
     return np.array(list(map(known.__getitem__, (text or "").encode("utf-8", "surrogatepass").lower().split())), np.int32)
 
 
-def windows_of(cells: np.ndarray, every: int) -> np.ndarray:
-    """Windows of the tokens to train on (rows of ``WIDTH`` cells, the token in the middle), one in ``every`` by a hash of the window."""
-    padded = np.concatenate([np.full(SIDE, EDGE), cells, np.full(SIDE, EDGE)]).astype(np.uint16)
+def windows_of(padded: np.ndarray, every: int) -> np.ndarray:
+    """Windows (rows of ``WIDTH`` cells, the token in the middle) of a block with its margins, or one in ``every`` by a hash of the window."""
     whole = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)
+    if every == 1:
+        return whole
     h = np.zeros(len(whole), np.uint32)
     for k in range(WIDTH):
         h = (h ^ whole[:, k]) * np.uint32(0x9E3779B1)
@@ -69,25 +70,23 @@ def windows_of(cells: np.ndarray, every: int) -> np.ndarray:
     return whole[h < np.uint32(min(0xFFFFFFFF, (1 << 32) // every))]
 
 
-def gather(every: int) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Counts of a task's tokens by bucket, and the windows to train on, those of a text in blocks of ``CHUNK`` tokens."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = word_buckets(), np.zeros(BUCKETS, np.int64)
-        none = pd.DataFrame({"bucket": pd.array([], "Int32"), "n": pd.array([], "Int64"), "windows": pd.Series([], dtype=object)})
-        for batch in batches:
-            found, all_ = [], [np.zeros(0, np.int32)]
-            for text in batch["text"]:
-                b = buckets(known, text)
-                all_.append(b)
-                some = windows_of(b >> LEAF_BITS, every) if len(b) else np.zeros((0, WIDTH), np.uint16)
-                found += [some[at : at + CHUNK].tobytes() for at in range(0, len(some), CHUNK)]
-            counts += np.bincount(np.concatenate(all_), minlength=BUCKETS)
-            yield pd.concat([none, pd.DataFrame({"n": pd.array([len(f) // (2 * WIDTH) for f in found], "Int64"), "windows": found})]).astype({"bucket": "Int32"})
-        some = np.flatnonzero(counts)
-        yield pd.DataFrame({"bucket": pd.array(some, "Int32"), "n": pd.array(counts[some], "Int64"), "windows": pd.Series([None] * len(some), dtype=object)})
-
-    return run
+def gather(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of a task's tokens by bucket, and the cells of each text in blocks of ``CHUNK`` tokens with ``SIDE`` cells before and after them."""
+    known, counts = word_buckets(), np.zeros(BUCKETS, np.int64)
+    edge = np.full(SIDE, EDGE, np.uint16)
+    kinds = {"bucket": "Int32", "n": "Int64", "id": "Int64", "place": "Int32"}
+    for batch in batches:
+        found, all_ = [], [np.zeros(0, np.int32)]
+        for id_, text in zip(batch["doc_id"], batch["text"], strict=True):
+            b = buckets(known, text)
+            all_.append(b)
+            padded = np.concatenate([edge, (b >> LEAF_BITS).astype(np.uint16), edge])
+            for at in range(0, len(b), CHUNK):
+                found.append((pd.NA, min(CHUNK, len(b) - at), id_, at // CHUNK, padded[at : at + CHUNK + 2 * SIDE].tobytes()))
+        counts += np.bincount(np.concatenate(all_), minlength=BUCKETS)
+        yield pd.DataFrame(found, columns=[*kinds, "cells"]).astype(kinds)
+    some = np.flatnonzero(counts)
+    yield pd.DataFrame({"bucket": some, "n": counts[some], "id": pd.NA, "place": pd.NA, "cells": pd.Series([None] * len(some), dtype=object)}).astype(kinds)
 
 
 @dataclass
@@ -165,17 +164,20 @@ class Network:
             dh[own] += d @ self.ww[k].T
         dh *= 1 - h * h
         for k in range(2 * SIDE):
-            np.add.at(g.t[k], around[:, k], dh)
+            order = np.argsort(around[:, k].astype(np.uint16), kind="stable")
+            cells = around[order, k]
+            first = np.flatnonzero(np.diff(cells, prepend=-1))
+            g.t[k][cells[first]] = np.add.reduceat(dh[order], first, axis=0)
         g.b[:] = dh.sum(0)
         return float(loss / n), np.concatenate([x.ravel() for x in g.parts()]) / np.float32(n)
 
     def trained(self, windows: np.ndarray, seed: int) -> Network:
-        """One pass of Adam over ``windows`` of cells."""
+        """One pass of Adam over ``windows`` of cells, in ``STEPS`` steps or fewer."""
         x, rng = self.flat().astype(np.float32), np.random.default_rng(seed)
         m, v = np.zeros_like(x), np.zeros_like(x)
-        order = rng.permutation(len(windows))
-        for step, at in enumerate(range(0, len(order), BATCH), 1):
-            some = windows[order[at : at + BATCH]].astype(np.int64)
+        order, batch = rng.permutation(len(windows)), max(BATCH, -(-len(windows) // STEPS))
+        for step, at in enumerate(range(0, len(order), batch), 1):
+            some = windows[order[at : at + batch]].astype(np.int64)
             _, g = Network.of(x).gradient(np.delete(some, SIDE, axis=1), some[:, SIDE])
             m += np.float32(0.1) * (g - m)
             v += np.float32(0.01) * (g * g - v)
@@ -245,35 +247,42 @@ def averaged(parts: DataFrame) -> np.ndarray:
     return np.frombuffer(parts.first()["flat"], np.float32)
 
 
-def trainer(network: Callable[[], Network], epoch: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def trainer(network: Callable[[], Network], epoch: int, every: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """What a part makes of the common weights: one pass over its windows."""
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         part = int(rows["part"].iloc[0])
-        windows = np.frombuffer(b"".join(sorted(rows["windows"])), np.uint16).reshape(-1, WIDTH)
+        windows = np.concatenate([windows_of(np.frombuffer(x, np.uint16), every) for x in sorted(rows["cells"])])
         flat = network().trained(windows, 1000 * epoch + part % 997).flat()
-        return pd.DataFrame({"part": [part], "n": [len(windows)], "flat": [flat.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"part": [part], "n": [max(1, len(windows))], "flat": [flat.astype(np.float32).tobytes()]})
 
     return train
 
 
+def dealt(blocks: DataFrame, every: int) -> tuple[DataFrame, int]:
+    """``part``, ``cells`` of blocks (n, id, place, cells), in parts of about ``PART`` windows, and their number."""
+    parts = -(-(blocks.agg(F.sum("n")).first()[0] or 0) // (PART * every))
+    return blocks.select("cells", F.pmod(F.xxhash64("cells", "id", "place"), F.lit(max(1, parts))).alias("part")), parts
+
+
 def fit(spark: SparkSession, docs: DataFrame, scratch: Scratch, epochs: int = EPOCHS, every: int = EVERY) -> Model:
-    """Counts of all tokens, and the network trained on windows from all documents, one token in ``every``."""
-    found = scratch.save(docs.select("text").mapInPandas(gather(every), "bucket int, n long, windows binary"), "gathered")
+    """Counts of all tokens, and the network trained on the windows of all tokens of ``docs`` (doc_id, text), or one in ``every``."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    found = scratch.save(rows.mapInPandas(gather, "bucket int, n long, id long, place int, cells binary"), "gathered")
     counts = np.zeros(BUCKETS, np.int64)
     got = found.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
     counts[got["bucket"]] = got["n"]
     network = Network.new(counts.reshape(NODES, -1).sum(1))
-    windows = found.where("windows is not null")
-    parts = -(-(windows.agg(F.sum("n")).first()[0] or 0) // PART)
+    blocks, parts = dealt(found.where("cells is not null"), every)
     if parts:
-        dealt = windows.select("windows", F.pmod(F.xxhash64("windows"), F.lit(parts)).alias("part"))
-        dealt = scratch.save(dealt.repartition(min(parts, 2048), "part"), "windows")
+        blocks = scratch.save(blocks.repartition(min(parts, 2048), "part"), "blocks")
+        scratch.drop("gathered")
         for epoch in range(epochs):
-            train = trainer(shared(spark, network), epoch)
-            trained = scratch.save(dealt.groupBy("part").applyInPandas(train, "part long, n long, flat binary"), f"weights-{epoch}")
+            train = trainer(shared(spark, network), epoch, every)
+            trained = scratch.save(blocks.groupBy("part").applyInPandas(train, "part long, n long, flat binary"), f"weights-{epoch}")
             network = Network.of(averaged(trained))
             scratch.drop(f"weights-{epoch}")
+        scratch.drop("blocks")
     return Model(shares(counts), network)
 
 

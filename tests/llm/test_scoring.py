@@ -94,6 +94,24 @@ def test_weights_do_not_depend_on_the_partitions(spark, docs):
     assert (one.network.flat() == other.network.flat()).all() and (one.share == other.share).all()
 
 
+def test_every_token_is_trained_on(spark, docs, monkeypatch):
+    """Also across blocks, each once; a repeated text is dealt over the parts."""
+    monkeypatch.setattr(scoring, "CHUNK", 50)
+    monkeypatch.setattr(scoring, "PART", 4_000)
+    rows = docs.select("doc_id", "text").limit(20).unionByName(spark.range(2_000).select((F.col("id") + 10_000).alias("doc_id"), F.lit("one two three four five six").alias("text")))
+    blocks = scoring.gather(iter([rows.toPandas()]))
+    import pandas as pd
+
+    got = pd.concat(list(blocks))
+    cells = [c for x in got["cells"].dropna() for c in scoring.windows_of(np.frombuffer(x, np.uint16), scoring.EVERY)[:, scoring.SIDE].tolist()]
+    known = scoring.word_buckets()
+    assert sorted(cells) == sorted(c for r in rows.collect() for c in (scoring.buckets(known, r.text) >> scoring.LEAF_BITS).tolist())
+    some = spark.createDataFrame(got.dropna(subset=["cells"])[["n", "id", "place", "cells"]].astype({"n": "int64", "id": "int64", "place": "int64"}))
+    parts, many = scoring.dealt(some, 1)
+    largest = max(r.n for r in parts.groupBy("part").agg(F.sum(F.length("cells") / 2 - 2 * scoring.SIDE).alias("n")).collect())
+    assert many > 2 and largest < 2 * scoring.PART
+
+
 def test_both_sides_help_and_order_matters(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(("the red fox runs", "a blue bird sings", "der alte Mann geht")) for _ in range(120))) for i in range(150)]
