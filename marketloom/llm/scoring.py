@@ -44,18 +44,28 @@ FAN = 16
 CHUNK = 1 << 13
 EDGE = NODES  # the cell beyond the ends of a text
 CACHE = 200_000
+SAFE = 40  # exponentials of scores up to it, their sums and those times a batch fit single floats
+
+
+def class_of(ending: bytes) -> int:
+    return zlib.crc32(ending) & 63
 
 
 def bucket(word: bytes) -> int:
-    return (zlib.crc32(word[-2:]) & 63) << 12 | zlib.crc32(word) >> 20
+    return class_of(word[-2:]) << 12 | zlib.crc32(word) >> 20
 
 
 def word_buckets() -> Generations:
-    return worker_wide("word buckets", lambda: Generations(bucket, CACHE))
+    """The classes of endings. Whole words are hashed anew: in large tables so many occur once that to look them up costs more."""
+    return worker_wide("word endings", lambda: Generations(class_of, CACHE))
 
 
 def buckets(known: Generations, text: str | None) -> np.ndarray:
-    return np.array(list(map(known.__getitem__, (text or "").encode("utf-8", "surrogatepass").lower().split())), np.int32)
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    out = np.fromiter(map(known.__getitem__, [w[-2:] for w in words]), np.int32, len(words))
+    out <<= 12
+    out |= (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) >> np.uint32(20)).astype(np.int32)
+    return out
 
 
 def windows_of(padded: np.ndarray, every: int) -> np.ndarray:
@@ -129,79 +139,115 @@ class Network:
         return cls(*[x.reshape(s) for x, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), cls.shapes(), strict=True)])
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.b + self.t[0][around[:, 0]]
+        h = self.t[0].take(around[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            h += self.t[k][around[:, k]]
+            h += self.t[k].take(around[:, k], axis=0)
+        h += self.b
         return np.tanh(h, out=h)
 
+    def own_scores(self, h: np.ndarray, runs: list[tuple[int, slice]], z: np.ndarray) -> np.ndarray:
+        """Each row's scores of the cells of its own class, written over ``z``."""
+        for k, own in runs:
+            np.matmul(h[own], self.ww[k], out=z[own])
+            z[own] += self.cc[k]
+        return z
+
     def log_probability(self, around: np.ndarray, middle: np.ndarray) -> np.ndarray:
         """Of each row's ``middle`` cell, from the cells ``around`` it."""
-        h = self.hidden(around)
-        cls, cell = middle // CELLS, middle % CELLS
-        out = picked(h @ self.w + self.c, cls)
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in np.flatnonzero(np.diff(ends)):
-            own = order[ends[k] : ends[k + 1]]
-            out[own] += picked(h[own] @ self.ww[k] + self.cc[k], cell[own])
+        order, runs = by_class(middle)
+        h, middle = self.hidden(around.T.take(order, axis=1).T), middle.take(order)
+        z = h @ self.w
+        z += self.c
+        found = picked(z, middle // CELLS)
+        found += picked(self.own_scores(h, runs, z), middle % CELLS)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradient(self, around: np.ndarray, middle: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean negative log-probability and its gradient, flat."""
-        h, n = self.hidden(around), len(middle)
-        g = Network.of(np.zeros(sum(int(np.prod(s)) for s in self.shapes()), np.float32))
-        cls, cell = middle // CELLS, middle % CELLS
-        loss, d = missed(h @ self.w + self.c, cls)
-        g.w[:], g.c[:] = h.T @ d, d.sum(0)
+        order, runs = by_class(middle)
+        sides, middle = around.T.take(order, axis=1), middle.take(order)
+        h, n = self.hidden(sides.T), len(middle)
+        flat = np.zeros(sum(int(np.prod(s)) for s in self.shapes()), np.float32)
+        g, ones = Network.of(flat), np.ones(n, h.dtype)
+        z = h @ self.w
+        z += self.c
+        loss, d = missed(z, middle // CELLS)
+        g.w[:], g.c[:] = h.T @ d, ones @ d
         dh = d @ self.w.T
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in np.flatnonzero(np.diff(ends)):
-            own = order[ends[k] : ends[k + 1]]
-            part, d = missed(h[own] @ self.ww[k] + self.cc[k], cell[own])
-            loss += part
-            g.ww[k], g.cc[k] = h[own].T @ d, d.sum(0)
-            dh[own] += d @ self.ww[k].T
-        dh *= 1 - h * h
+        part, d = missed(self.own_scores(h, runs, z), middle % CELLS)
+        for k, own in runs:
+            g.ww[k], g.cc[k] = h[own].T @ d[own], ones[own] @ d[own]
+            dh[own] += d[own] @ self.ww[k].T
+        h *= h
+        dh *= np.subtract(1, h, out=h)
+        g.b[:] = ones @ dh
+        pairs = dh.astype(np.float32, copy=False).view(np.complex64).ravel()  # two units as one number: half as many additions
+        unit = np.arange(HIDDEN // 2)
         for k in range(2 * SIDE):
-            order = np.argsort(around[:, k].astype(np.uint16), kind="stable")
-            cells = around[order, k]
-            first = np.flatnonzero(np.diff(cells, prepend=-1))
-            g.t[k][cells[first]] = np.add.reduceat(dh[order], first, axis=0)
-        g.b[:] = dh.sum(0)
-        return float(loss / n), np.concatenate([x.ravel() for x in g.parts()]) / np.float32(n)
+            np.add.at(g.t[k].view(np.complex64).reshape(-1), (sides[k][:, None] * (HIDDEN // 2) + unit).ravel(), pairs)
+        return (loss + part) / n, flat
 
     def trained(self, windows: np.ndarray, seed: int) -> Network:
-        """One pass of Adam over ``windows`` of cells, in ``STEPS`` steps or fewer."""
+        """One pass of Adam over ``windows`` of cells, in ``STEPS`` steps or fewer.
+
+        ``m`` and ``v`` are ten and a hundred times the usual means, all in place: the constants are part of the step's.
+        """
         x, rng = self.flat().astype(np.float32), np.random.default_rng(seed)
-        m, v = np.zeros_like(x), np.zeros_like(x)
+        m, v, step_of = np.zeros_like(x), np.zeros_like(x), np.empty_like(x)
         order, batch = rng.permutation(len(windows)), max(BATCH, -(-len(windows) // STEPS))
         for step, at in enumerate(range(0, len(order), batch), 1):
-            some = windows[order[at : at + batch]].astype(np.int64)
-            _, g = Network.of(x).gradient(np.delete(some, SIDE, axis=1), some[:, SIDE])
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.01) * (g * g - v)
-            x -= np.float32(RATE / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+            some = windows.take(order[at : at + batch], axis=0).T.astype(np.int64, order="C")
+            _, g = Network.of(x).gradient(np.delete(some, SIDE, axis=0).T, some[SIDE])
+            m *= np.float32(0.9)
+            m += g
+            g *= g
+            v *= np.float32(0.99)
+            v += g
+            unbiased = np.sqrt(0.01 / (1 - 0.99**step))
+            np.sqrt(v, out=step_of)
+            step_of += np.float32(1e-8 / unbiased)
+            np.divide(m, step_of, out=step_of)
+            step_of *= np.float32(RATE * 0.1 / (1 - 0.9**step) / unbiased)
+            x -= step_of
         return Network.of(x)
 
 
+def by_class(middle: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of the rows by the class of their ``middle`` cell, and each class with its run of rows in it."""
+    cls = (middle // CELLS).astype(np.uint8)
+    ends = np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()
+    runs = [(k, slice(low, high)) for k, (low, high) in enumerate(zip([0, *ends], ends, strict=False)) if low < high]
+    return np.argsort(cls, kind="stable"), runs
+
+
+def exponentials(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Their sum for each row of ``z``, which turns into them; where they could leave float32 first less the row's largest, as ``own``, the row's at one place."""
+    if max(z.max(initial=0), -z.min(initial=0)) > SAFE:
+        top = z.max(axis=1)
+        z -= top[:, None]
+        own -= top
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
 def picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row at one place."""
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(z)), at]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    """Log-softmax of each row at one place; ``z`` is used up."""
+    own = z.ravel().take(np.arange(0, z.size, z.shape[1]) + at)
+    own -= np.log(exponentials(z, own))
+    return own
 
 
 def missed(z: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray]:
-    """Sum of the negative log-softmax at one place of each row, and its derivative."""
-    rows = np.arange(len(z))
-    z -= z.max(axis=1, keepdims=True)
-    own = z[rows, at].sum(dtype=np.float64)
-    np.exp(z, out=z)
-    whole = z.sum(axis=1, keepdims=True)
-    z /= whole
-    z[rows, at] -= 1
-    return float(np.log(whole).sum(dtype=np.float64) - own), z
+    """Sum of the negative log-softmax at one place of each row, and the derivative of its mean, written over ``z``."""
+    places = np.arange(0, z.size, z.shape[1]) + at
+    own = z.ravel().take(places)
+    whole = exponentials(z, own)
+    loss = float((np.log(whole) - own).sum(dtype=np.float64))
+    z *= (1 / (whole * z.dtype.type(len(z))))[:, None]
+    z.reshape(-1)[places] -= z.dtype.type(1 / len(z))
+    return loss, z
 
 
 @dataclass

@@ -72,6 +72,76 @@ def test_gradient_is_that_of_the_loss():
         assert slope == pytest.approx(g[at], rel=0.05, abs=1e-4)
 
 
+def test_words_have_the_buckets_of_their_letters():
+    text = "A bb \t the The THE re-read x\u00e9 \u4e2d\u6587\u5b57 \ud800 " + " ".join(f"w{i}" for i in range(3_000))
+    words = [w.encode("utf-8", "surrogatepass").lower() for w in text.split()]
+    for _ in range(2):  # cold and warm
+        assert scoring.buckets(scoring.word_buckets(), text).tolist() == [scoring.bucket(w) for w in words]
+
+
+@pytest.mark.parametrize("scale", [1, 500])
+def test_probabilities_and_loss_are_those_of_a_plain_softmax(scale):
+    """Also where scores are too large for the exponentials of single floats."""
+    rng = np.random.default_rng(4)
+    net = scoring.Network.of((scoring.Network.new(rng.integers(0, 9, scoring.NODES)).flat() * scale).astype(np.float32))
+    around, middle = rng.integers(0, scoring.NODES + 1, (80, 4)), rng.integers(0, scoring.NODES, 80)
+    h = np.tanh(net.b + sum(net.t[k].astype(float)[around[:, k]] for k in range(4)))
+    z, own = h @ net.w + net.c, np.einsum("ni,nij->nj", h, net.ww[middle // 64].astype(float)) + net.cc[middle // 64]
+    plain = [log_softmax(a)[m // 64] + log_softmax(b)[m % 64] for a, b, m in zip(z, own, middle, strict=True)]
+    assert (np.abs(z).max() > scoring.SAFE) == (scale > 1)
+    assert np.allclose(net.log_probability(around, middle), plain, rtol=1e-4, atol=1e-3)
+    assert net.gradient(around, middle)[0] == pytest.approx(-np.mean(plain), rel=1e-4)
+
+
+@pytest.mark.parametrize("top", [35, 79, 300])
+def test_loss_and_its_derivative_where_scores_are_large(top):
+    """A batch of 5,000 rows, all with scores of ``top``."""
+    z = np.random.default_rng(6).normal(top, 0.2, (5_000, 64))
+    at = np.arange(5_000) % 64
+    shares = np.exp(z - z.max(1, keepdims=True))
+    shares /= shares.sum(1, keepdims=True)
+    loss, d = scoring.missed(z.astype(np.float32), at)
+    assert loss == pytest.approx(-np.log(shares[np.arange(5_000), at]).sum(), rel=1e-4)
+    assert np.allclose(d * 5_000, shares - np.eye(64)[at], atol=1e-4)
+    assert np.allclose(scoring.picked(z.astype(np.float32), at), np.log(shares[np.arange(5_000), at]), atol=1e-3)
+
+
+def test_training_is_plain_adam(monkeypatch):
+    monkeypatch.setattr(scoring, "BATCH", 64)
+    rng = np.random.default_rng(5)
+    net, windows = scoring.Network.new(rng.integers(0, 9, scoring.NODES)), rng.integers(0, 300, (500, 5)).astype(np.uint16)
+    order = np.random.default_rng(7).permutation(500)
+    x = net.flat().astype(float)
+    m, v = np.zeros_like(x), np.zeros_like(x)
+    for step in range(1, 9):
+        some = windows[order[64 * step - 64 : 64 * step]].astype(int)
+        g = scoring.Network.of(x.astype(np.float32)).gradient(np.delete(some, 2, axis=1), some[:, 2])[1].astype(float)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        x -= scoring.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    off = np.abs(net.trained(windows, 7).flat() - x)
+    assert np.quantile(off, 0.999) < 1e-4 and off.max() < 0.03
+
+
+def test_softmaxes_take_all_rows_at_once(monkeypatch):
+    """Not those of a class at a time: these small calls took most of a step's time."""
+    calls = []
+    for name in ("missed", "picked"):
+        monkeypatch.setattr(scoring, name, lambda z, *rest, name=name, do=getattr(scoring, name): (calls.append((name, len(z))), do(z, *rest))[1])
+    rng = np.random.default_rng(0)
+    net = scoring.Network.new(rng.integers(0, 9, scoring.NODES))
+    around, middle = rng.integers(0, scoring.NODES + 1, (4_096, 4)), rng.integers(0, scoring.NODES, 4_096)
+    net.gradient(around, middle)
+    net.log_probability(around, middle)
+    assert calls == [("missed", 4_096)] * 2 + [("picked", 4_096)] * 2
+
+
+def test_words_that_occur_once_fill_no_cache():
+    known = scoring.word_buckets()
+    before = len(known)
+    scoring.buckets(known, " ".join(f"once{i}" for i in range(20_000)))
+    assert len(known) - before <= 110  # endings of two digits, or of a letter and one
+
+
 def losses(model, docs):
     """Mean negative log-probability of a token: by the model, by the shares of classes with context, and by shares alone."""
     known = scoring.word_buckets()
