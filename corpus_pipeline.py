@@ -22,7 +22,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("simhash_near_dedup", lambda spark, docs, sf_dir: simhash.keep_first(spark, docs)),
     ("personal_data", lambda spark, docs, sf_dir: pii.redacted(spark, docs)),
     ("source_mix", lambda spark, docs, sf_dir: mixing.mixed(spark, docs)),
-    ("best_fit_packing", lambda spark, docs, sf_dir: packing.best_fit(spark, docs)),
+    ("best_fit_packing", lambda spark, docs, sf_dir: packing.best_fit(spark, docs, cache=packing.STAGE_CACHE, keep=False)),
 ]
 #: Learned models, drawn copies and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None

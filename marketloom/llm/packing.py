@@ -45,6 +45,8 @@ RANGE_ROWS = 8_192
 AGAIN = 16
 #: Entries of each generation of the word caches (chunks between blanks, and their parts).
 CACHE = 200_000
+#: The same in the pipeline, whose other stages share the memory of the workers.
+STAGE_CACHE = 50_000
 
 
 class WordEncoder:
@@ -62,7 +64,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.chunks, self.parts = Generations(self._chunk, bound), Generations(self._part, bound)
+        self.bound = bound
+        self.forget()
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         as_char = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -73,30 +76,42 @@ class WordEncoder:
 
     def _chunk(self, chunk: str) -> bytes:
         if m := self.SIMPLE.fullmatch(chunk):
-            return self.parts[m[1].lower()] + self.parts[m[2]]
+            word = m[1].lower()
+            return self.parts[chunk if word == chunk else word] + self.parts[m[2]]  # one key for both caches
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b""
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def forget(self) -> None:
+        """Start with empty caches."""
+        self.chunks, self.parts = Generations(self._chunk, self.bound), Generations(self._part, self.bound)
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """A row for each piece of each document: ids of the text, then ``end_id``, cut at ``capacity``."""
+
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, cache: int = CACHE, keep: bool = True) -> DataFrame:
+    """A row for each piece of each document: ids of the text, then ``end_id``, cut at ``capacity``.
+
+    Caches of ``cache`` entries; without ``keep`` they go with their task: Spark takes turns with idle workers, all of which would hold them.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_wide(f"encoder {tokenizer_path}", lambda: WordEncoder(tokenizer_path))
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                ids = encoder.encode(text) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names(PIECES))
+        encoder = worker_wide(f"encoder {cache} {tokenizer_path}", lambda: WordEncoder(tokenizer_path, cache))
+        try:
+            for batch in batches:
+                rows = []
+                for doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    ids = encoder.encode(text) + end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                columns = zip(*rows, strict=True) if rows else [()] * 5
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names(PIECES))
+        finally:
+            if not keep:
+                encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 
@@ -273,15 +288,15 @@ def pack(found: DataFrame, scratch: Scratch, capacity: int = 2048, range_rows: i
     return scratch.finish(out)
 
 
-def best_fit(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 2048) -> DataFrame:
-    """Tokenize, cut and pack ``docs`` (doc_id, text)."""
+def best_fit(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 2048, cache: int = CACHE, keep: bool = True) -> DataFrame:
+    """Tokenize, cut and pack ``docs`` (doc_id, text); ``cache`` and ``keep`` as in ``pieces``."""
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     scratch = Scratch(spark, "packing")
     with small_batches(spark):
-        found = scratch.save(pieces(docs, tokenizer_path, capacity).withColumn("item", F.monotonically_increasing_id()), "pieces")
+        found = scratch.save(pieces(docs, tokenizer_path, capacity, cache=cache, keep=keep).withColumn("item", F.monotonically_increasing_id()), "pieces")
     return pack(found, scratch, capacity)
 
 

@@ -11,11 +11,12 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marketloom.llm import mixing, pii, simhash
+from marketloom.llm import common, mixing, packing, pii, simhash
 
 ROOT = Path(__file__).resolve().parents[2]
 STAGE = dict(corpus_pipeline.STAGES)
@@ -123,6 +124,27 @@ def test_packing_stage_places_every_piece(spark, docs):
         assert r.start == 2048 * r.piece
 
 
+def test_packing_stage_leaves_no_full_caches_in_idle_workers(spark, docs):
+    """Idle workers stay beside those of other stages: their encoders hold no words once a task is over."""
+
+    def held(batches):
+        for batch in batches:
+            found = vars(sys.modules.get("marketloom_worker", sys)).items()
+            sizes = [(x.bound, len(x.chunks) + len(x.chunks.older) + len(x.parts) + len(x.parts.older)) for name, x in found if name.startswith(f"encoder {packing.STAGE_CACHE} ")]
+            yield pd.DataFrame(sizes, columns=["bound", "entries"])
+
+    STAGE["best_fit_packing"](spark, docs, "")
+    got = spark.range(0, 64, 1, 64).mapInPandas(held, "bound long, entries long").collect()
+    assert got and {(r.bound, r.entries) for r in got} == {(packing.STAGE_CACHE, 0)}
+
+
+def test_training_windows_of_personal_data_come_in_small_batches(spark, docs, monkeypatch):
+    asked, small = [], pii.small_batches
+    monkeypatch.setattr(pii, "small_batches", lambda session: asked.append(common.BATCH_ROWS) or small(session))
+    pii.fit(docs)
+    assert asked == [common.BATCH_ROWS]
+
+
 @pytest.mark.parametrize("name", list(STAGE))
 def test_stages_of_nothing_give_nothing(spark, docs, name):
     assert STAGE[name](spark, docs.limit(0), "").count() == 0
