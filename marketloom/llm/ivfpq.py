@@ -2,13 +2,14 @@
 
 Centroids and codebooks are fitted on at most ``SAMPLE`` vectors, drawn by hash; every row is indexed. A
 vector goes to the list of its nearest centroid, and its residual is coded by the nearest codeword of
-each of ``PARTS`` parts. Lists are dealt to shards of about ``SHARD`` rows, lists of more rows to several.
+each of ``PARTS`` parts. Lists are dealt to shards of ``SHARD`` to ``SHARD_MOST`` rows, lists of more rows to several.
 A query asks the lists whose centroids have the largest inner products with it: a share ``PROBE`` of
 them, and more until they hold ``k`` candidates beside itself. In each shard with such lists, its
-table of inner products with all codewords gives every candidate an asymmetric score; the best
+inner products with what their list and codewords say give all candidates asymmetric scores, for a block of queries at once; the best
 ``RERANK`` are ranked by exact inner products of the original vectors in double precision, and so are all
 others that the error of their codes would let into the best ``k``. The best ``k`` of each shard meet in the query's final
 ranking. With all lists asked (the setting) nothing near is missed, whatever the rows; the work then grows with queries times rows.
+No task holds more than a shard, ``QUERIES`` queries and a block of scores; a query goes to each shard with the lists that it asks there.
 
 Unclustered vectors in 64 dimensions have neighbours in most lists, so all are asked: README.md has
 the measured recalls.
@@ -39,8 +40,12 @@ SAMPLE = 16_384
 #: Vectors of the sample to a list at least: lists grow with the square root of the rows up to ``SAMPLE / OF_LIST``, a bound of the driver's tables.
 OF_LIST = 16
 PARTS, WORDS = 16, 256
-SHARD = 4_096
-QUERIES = 1_024
+#: Rows of a shard; more, up to ``SHARD_MOST``, where there would be over ``SHARDS``, as each takes a copy of the queries.
+SHARD, SHARD_MOST, SHARDS = 4_096, 32_768, 32
+#: Queries of a group that meets a copy of the shards.
+QUERIES = 16_384
+#: Scores of a block of queries with a shard, pairs that are scored exactly at once, and routed queries of a batch.
+BLOCK, PAIRS, ROUTED = 1 << 20, 8_192, 1_000
 PROBE = 1.0
 RERANK = 400
 
@@ -86,60 +91,74 @@ class Quantiser:
         codes = [nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
         return own, np.stack(codes, 1).astype(np.uint8)
 
-    def tables(self, query: np.ndarray) -> np.ndarray:
-        """Inner products of the query's parts with all codewords: (parts, words)."""
-        out = np.zeros((len(self.books), WORDS))
-        for k, (a, b, book) in enumerate(zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)):
-            out[k, : len(book)] = book @ query[a:b]
-        return out
-
-
-def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` largest scores, ties to the smaller id."""
-    if len(score) > 4 * k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        some = np.flatnonzero(score >= least)
-    else:
-        some = np.arange(len(score))
-    return some[np.lexsort((ids[some], -score[some]))][:k]
+    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What list and codes, (parts, vectors), say of each vector."""
+        return self.centres[lists] + np.concatenate([book[c] for book, c in zip(self.books, codes, strict=True)], axis=1)
 
 
 def search_shard(q: Quantiser, index: pd.DataFrame, asked: pd.DataFrame, k: int, rerank: int) -> pd.DataFrame:
     """The best ``k`` of a shard's rows for each query, among the lists that it asks."""
-    none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-    if index.empty or asked.empty:
-        return none
-    index = index.sort_values(["list", "vec_id"], kind="stable")
-    lists, ids = index["list"].to_numpy(), index["vec_id"].to_numpy()
-    vectors = np.stack(list(index["v"])).astype(np.float64)
-    codes = np.frombuffer(b"".join(index["codes"]), np.uint8).reshape(len(index), -1).T.astype(np.int64)
-    # how far each vector is from what its list and codes say: a score is off by at most that times the query's length
-    coded = q.centres[lists] + np.concatenate([book[c] for book, c in zip(q.books, codes, strict=True)], axis=1)
-    off = np.linalg.norm(vectors - coded, axis=1) * (1 + 1e-9) + 1e-12
-    held, first = np.unique(lists, return_index=True)
-    end = np.append(first[1:], len(lists))
-    out = []
-    for query_id, v, probes in zip(asked["query_id"], asked["v"], asked["probes"], strict=True):
-        v = np.asarray(v, np.float64)
-        hit = np.flatnonzero(np.isin(held, probes))
-        rows = np.concatenate([np.arange(first[h], end[h]) for h in hit]) if len(hit) else np.zeros(0, np.int64)
-        rows = rows[ids[rows] != query_id]
-        if not len(rows):
-            continue
-        if len(rows) > rerank:
-            tables = q.tables(v)
-            rough = (q.centres[held] @ v)[np.searchsorted(held, lists[rows])]
-            for part in range(len(codes)):
-                rough = rough + tables[part][codes[part][rows]]
-            first_ones = np.argpartition(-rough, rerank - 1)[:rerank]
-            at_k = np.sort(vectors[rows[first_ones]] @ v)[-min(k, rerank)]
-            could = rough + np.linalg.norm(v) * off[rows] * (1 + 1e-9) >= at_k - 1e-9 * abs(at_k)
-            could[first_ones] = True
-            rows = rows[could]
-        score = vectors[rows] @ v
-        top = best(score, ids[rows], k)
-        out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[rows[top]], "score": score[top]}))
-    return pd.concat(out) if out else none
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(index) and len(asked):
+        index = index.sort_values(["list", "vec_id"], kind="stable")
+        lists, ids = index["list"].to_numpy(), index["vec_id"].to_numpy()
+        vectors = np.stack(list(index["v"])).astype(np.float64)
+        coded = q.decode(lists, np.frombuffer(b"".join(index["codes"]), np.uint8).reshape(len(index), -1).T)
+        # how far each vector is from what its list and codes say: a score is off by at most that times the query's length
+        long = np.linalg.norm(vectors, axis=1)
+        off = np.linalg.norm(vectors - coded, axis=1) * (1 + 1e-9) + 1e-12 * (1 + long)
+        held, place = np.unique(lists, return_inverse=True)
+        queries, asks = asked["query_id"].to_numpy(), list(asked["v"])
+        step = max(1, BLOCK // len(ids))
+        for i in range(0, len(asked), step):
+            own, v = queries[i : i + step], np.stack(asks[i : i + step]).astype(np.float64)
+            among = ids != own[:, None]
+            hit = np.stack([np.isin(held, probes) for probes in asked["probes"].iloc[i : i + step]])
+            if not hit.all():
+                among &= hit[:, place]
+            length = np.linalg.norm(v, axis=1)[:, None]
+            if len(ids) > rerank:
+                rough = np.where(among, v @ coded.T, -np.inf)
+                first_ones = np.argpartition(rough, len(ids) - rerank, axis=1)[:, len(ids) - rerank :]
+                exact = np.stack([vectors[rows] @ x for rows, x in zip(first_ones, v, strict=True)])
+                exact[~np.take_along_axis(among, first_ones, 1)] = -np.inf
+                at_k = np.sort(exact, axis=1)[:, -min(k, rerank), None]
+                at_k -= 1e-9 * np.where(np.isfinite(at_k), abs(at_k), 0) + 1e-12 * length * long.max()
+                among &= rough + length * off >= at_k
+            else:
+                at_k = np.full((len(v), 1), -np.inf)
+            some = np.flatnonzero(among.any(axis=0))  # rows that some query of the block needs exactly
+            which, row = np.nonzero(among[:, some] & (v @ (vectors[some] if len(some) < len(ids) else vectors).T >= at_k))
+            row = some[row]
+            # of equal vectors equal, wherever they stand; there may be as many as the block has scores
+            score = np.concatenate([(vectors[row[j : j + PAIRS]] * v[which[j : j + PAIRS]]).sum(axis=1) for j in range(0, max(1, len(row)), PAIRS)])
+            order = np.lexsort((ids[row], -score, which))
+            which, row, score = which[order], row[order], score[order]
+            best = np.arange(len(which)) - np.searchsorted(which, which) < k
+            out.append((own[which[best]], ids[row[best]], score[best]))
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+
+def routed(batches: Iterable[pd.DataFrame], q: Quantiser, counts: np.ndarray, base: np.ndarray, split: np.ndarray, k: int, probe: float) -> Iterator[pd.DataFrame]:
+    """A row for each query and shard with lists that it asks, with these lists: list ``p`` lies in ``split[p]`` shards from ``base[p]`` on."""
+    out, names = [], ["query_id", "v", "probes", "shard"]
+    for batch in batches:
+        for query_id, v, own in zip(batch["vec_id"], batch["v"], batch["own"], strict=True):
+            by = np.argsort(-(q.centres @ np.asarray(v)), kind="stable")
+            by = by[counts[by] > 0]
+            # the query's own rows may be among the candidates that the lists hold
+            enough = int(np.searchsorted(np.cumsum(counts[by]), k + own)) + 1
+            shards: dict[int, list[int]] = {}
+            for p in by[: max(int(np.ceil(probe * len(by))), enough)].tolist():
+                for s in range(int(base[p]), int(base[p] + split[p])):
+                    shards.setdefault(s, []).append(p)
+            for s, there in shards.items():
+                out.append((query_id, v, np.array(there, np.int32), s))
+                if len(out) >= ROUTED:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+    if out:
+        yield pd.DataFrame(out, columns=names)
 
 
 def search(spark: SparkSession, rows: DataFrame, k: int = K, every: int = EVERY, probe: float = PROBE, rerank: int = RERANK, shard: int = SHARD) -> DataFrame:
@@ -169,26 +188,15 @@ def search(spark: SparkSession, rows: DataFrame, k: int = K, every: int = EVERY,
     counts = np.zeros(len(quantiser.centres), np.int64)
     for r in index.groupBy("list").count().collect():  # a row for each list
         counts[r["list"]] = r["count"]
-    base = (np.cumsum(counts) - counts) // shard
-    split = -(-counts // shard)
+    shard = max(shard, min(SHARD_MOST, rows_in // SHARDS))
+    base, split = (np.cumsum(counts) - counts) // shard, -(-counts // shard)
     base_of, split_of = (F.array(*[F.lit(int(x)) for x in xs]) for xs in (base, np.maximum(1, split)))
     part = F.pmod(F.xxhash64("vec_id", F.lit("part")), F.get(split_of, F.col("list")))
     queries = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
     asks = max(1, -(-queries.count() // QUERIES))  # groups of queries, each of which meets a copy of a shard
 
     def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = fitted()
-        for batch in batches:
-            out = []
-            for query_id, v, own in zip(batch["vec_id"], batch["v"], batch["own"], strict=True):
-                by = np.argsort(-(q.centres @ np.asarray(v)), kind="stable")
-                by = by[counts[by] > 0]
-                # the query's own rows may be among the candidates that the lists hold
-                enough = int(np.searchsorted(np.cumsum(counts[by]), k + own)) + 1
-                probes = by[: max(int(np.ceil(probe * len(by))), enough)]
-                shards = {int(base[p] + s) for p in probes for s in range(split[p])}
-                out += [(query_id, v, probes.astype(np.int32), s) for s in sorted(shards)]
-            yield pd.DataFrame(out, columns=["query_id", "v", "probes", "shard"])
+        return routed(batches, fitted(), counts, base, split, k, probe)
 
     asked = queries.mapInPandas(route, "query_id long, v array<double>, probes array<int>, shard long")
     asked = asked.withColumn("ask", F.pmod(F.xxhash64("query_id"), F.lit(asks)))

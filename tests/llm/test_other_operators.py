@@ -11,6 +11,7 @@ from html import unescape
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +298,41 @@ def test_search_over_many_shards(spark):
         assert [ranks[k] for k in range(1, 21)] == [i for _, i in sorted((-(v[q] @ x), i) for i, x in v.items() if i != q)[:20]]
 
 
+def test_routes_go_in_small_frames_with_the_lists_of_their_shard():
+    """One frame of all queries and shards, each with all lists, took the executor's memory."""
+    rng = np.random.default_rng(3)
+    q = ivfpq.Quantiser(rng.normal(size=(40, 8)), np.array([0, 8]), [np.zeros((1, 8))])
+    counts = np.full(40, 90)
+    counts[[3, 7]] = 0
+    base, split = (np.cumsum(counts) - counts) // 200, -(-counts // 200)
+    batch = pd.DataFrame({"vec_id": np.arange(300), "v": list(rng.normal(size=(300, 8))), "own": 1})
+    frames = list(ivfpq.routed([batch, batch[:0]], q, counts, base, split, 20, 1.0))
+    assert len(frames) > 5 and max(map(len, frames)) <= ivfpq.ROUTED
+    asked = defaultdict(list)
+    for f in frames:
+        for query_id, probes, shard in zip(f["query_id"], f["probes"], f["shard"], strict=True):
+            assert all(base[p] == shard for p in probes)
+            asked[query_id] += probes.tolist()
+    assert len(asked) == 300 and all(sorted(x) == np.flatnonzero(counts).tolist() for x in asked.values())
+
+
+def test_equal_vectors_of_a_shard_rank_by_id():
+    """As many pairs as there are scores reach the exact step; equal vectors score equal, wherever they stand."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3001, 24))
+    v[rng.permutation(3001)[:2900]] = v[0] * 3
+    ids = rng.permutation(3001)
+    q = ivfpq.Quantiser.fit(v[:500], 4)
+    own, codes = q.encode(v)
+    index = pd.DataFrame({"vec_id": ids, "v": list(v), "list": own.astype(np.int32), "codes": [c.tobytes() for c in codes]})
+    asked = pd.DataFrame({"query_id": ids[:50], "v": list(v[:50]), "probes": [np.arange(4, dtype=np.int32)] * 50})
+    found = ivfpq.search_shard(q, index, asked, 20, 40)
+    for x, i in zip(v[:50], ids[:50], strict=True):
+        score = (v * x).sum(axis=1)
+        score[ids == i] = -np.inf
+        assert found[found.query_id == i].vec_id.tolist() == ids[np.lexsort((ids, -score))[:20]].tolist()
+
+
 # pipeline
 
 
