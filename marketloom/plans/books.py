@@ -38,14 +38,9 @@ def bars(s, d):
 
 
 def entries(s, d):
-    m, at = src.read_book_json(s, _lines(s, d)), folder(s)
-    bid, ask = F.get("bids", F.lit(0))["price"], F.get("asks", F.lit(0))["price"]
-    depth.book_samples(m, 1).select("symbol", "ts_ms", "seq", ((bid + ask) / 2).alias("mid")).write.parquet(at)
-    series = s.read.parquet(at)
-    orders = src.trades(s, d).where("seq % 5 = 0").select(F.col("seq").alias("id"), "symbol", "ts_ms", (F.round("price", 2) / 2 + 560).alias("level"), (~F.col("is_sell")).alias("below"), (100 + 3 * F.col("qty")).cast("double").alias("risk"))
-    hits = search.first_crossing(orders, series, "mid", 256)
-    hits = hits.where("hit_ms IS NOT NULL").select("id", "symbol", F.col("level").alias("entry"), F.col("below").alias("is_long"), "risk", "hit_ms", "hit_seq")
-    return rounded(search.entry_books(m, hits), "liq_ratio", "wall_dist", "book_imbalance")
+    price, qty = F.round("price", 2) / 2 + 560, (100 + 3 * F.col("qty")).cast("double")
+    orders = src.trades(s, d).where("seq % 5 = 0").select(F.col("seq").alias("id"), "symbol", "ts_ms", price.alias("entry"), (~F.col("is_sell")).alias("is_long"), qty.alias("risk"))
+    return rounded(search.order_books(src.read_book_json(s, _lines(s, d)), orders), "liq_ratio", "wall_dist", "book_imbalance")
 
 
 def _lines(s, d):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import random
 import time
 import zipfile
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marketloom.operators import depth, search
 from marketloom.operators.depth import Book
@@ -149,3 +152,59 @@ def test_entry_books(spark):
     got = {r.id: tuple(r)[3:] for r in search.entry_books(m, hits).collect()}
     assert set(got) == {1, 2}
     assert got[1] == pytest.approx((9 / 5, abs(110 - 100.5) / 5, 4.0, 4 / 14)) and got[2] == pytest.approx((7 / 9, 0.1, 5.0, -2 / 16))
+
+
+LEVEL = "array<struct<price:double,qty:double>>"
+
+
+def test_orders_meet_the_book_of_a_loop(spark):
+    """Days with snapshots amid them, empty and crossed books, messages of one time, levels without price and orders that nothing meets."""
+    rng, rows, orders = random.Random(8), [], []
+    for day, symbol in itertools.product((0, 1), "ab"):
+        for k in range(250):
+            side = lambda low: [(None if rng.random() < 0.02 else low + rng.randrange(12), rng.choice([0.0, None, 1.0, 2.0, 3.0])) for _ in range(rng.randrange(3))]
+            kind = "snapshot" if k and rng.random() < 0.03 else "delta"
+            rows.append((symbol, START + day * DAY + rng.choice([k, k - k % 3]) * 1000, k, kind, side(90.0), side(100.0)))
+        orders += [(len(orders) + k, symbol, START + day * DAY + rng.randrange(-10, 260) * 1000, 98.0 + rng.randrange(8) / 2, rng.random() < 0.5, rng.choice([0.0, 1.0, 2.0])) for k in range(60)]
+    m = spark.createDataFrame(rows, f"symbol string, ts_ms long, seq long, type string, b {LEVEL}, a {LEVEL}")
+    o = spark.createDataFrame(orders + [(999, "c", START, 100.0, True, 1.0), (998, "a", START, None, True, 1.0)], "id long, symbol string, ts_ms long, entry double, is_long boolean, risk double")
+    wanted = {}
+    for id_, symbol, ts, entry, is_long, risk in orders:
+        own, book, known = sorted((r for r in rows if r[0] == symbol and r[1] // DAY == ts // DAY), key=lambda r: r[1:3]), Book(), False
+        for _, at, _, kind, b, a in own:
+            known = known or kind == "snapshot"
+            if known:
+                book.apply(at, kind, *[[(p, q or 0.0) for p, q in side if p is not None] for side in (b, a)])
+            bids, asks = book.best(1)
+            if at < ts or not bids or not asks or bids[0] >= asks[0]:
+                continue
+            mid = (bids[0] + asks[0]) / 2
+            if (mid <= entry if is_long else mid >= entry) and risk:
+                below = [(q, -p) for p, q in book.bids.items() if entry - 3 * risk <= p <= entry]
+                above = [(q, -p) for p, q in book.asks.items() if entry <= p <= entry + 3 * risk]
+                if below and above:
+                    ahead, behind = (above, below) if is_long else (below, above)
+                    x, y = (sum(q for q, _ in side) for side in (ahead, behind))
+                    wanted[id_] = (symbol, at, x / (y + 1e-9), abs(-max(ahead)[1] - entry) / risk, max(ahead)[0], (x - y) / (x + y))
+            if mid <= entry if is_long else mid >= entry:
+                break
+    found = search.order_books(m, o)
+    got = {r.id: tuple(r)[1:] for r in found.collect()}
+    assert set(got) == set(wanted) and len(got) > 30
+    assert all(got[k][:2] == wanted[k][:2] and got[k][2:] == pytest.approx(wanted[k][2:]) for k in wanted)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # no order met blocks of samples: they grew with the density of days
+    # as by the two steps
+    bid, ask = (F.get(side, F.lit(0))["price"] for side in ("bids", "asks"))
+    series = depth.book_samples(m, 1).select("symbol", "ts_ms", "seq", ((bid + ask) / 2).alias("mid"))
+    hits = search.first_crossing(o.withColumns({"level": F.col("entry"), "below": F.col("is_long")}), series, "mid", 16)
+    assert sorted(search.entry_books(m, hits).collect()) == sorted(found.collect())
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 64, 100])
+def test_first_places_by_a_tree(n):
+    rng = np.random.default_rng(n)
+    values, start, below = rng.normal(size=n).round(1), rng.integers(0, n + 2, 200), rng.random(200) < 0.5
+    level = rng.normal(size=200).round(1) * 2
+    level[:9] = [np.nan] * 3 + [np.inf] * 3 + [-np.inf] * 3
+    hit = [[j for j in range(i, n) if (values[j] <= x if b else values[j] >= x)] for i, x, b in zip(start, level, below, strict=True)]
+    assert search.first_at_or_beyond(values, start, level, below).tolist() == [h[0] if h else -1 for h in hit]
