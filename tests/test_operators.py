@@ -327,3 +327,13 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_reports_divide_by_nothing(spark):
     o = spark.createDataFrame([("a", "fill")], "k string, event string")
     assert reports.fill_ratio(o, "k").first().fill_ratio is None
+
+
+def test_band_pairs_are_dealt_by_slots(spark):
+    """A side that looked small was broadcast, and the tasks were the files of the other side, however many pairs each made."""
+    rng = random.Random(4)
+    a, b = ([(1, rng.randrange(3000), k) for k in range(120)] for _ in "ab")
+    found = joins.band(spark.createDataFrame(a, "k int, ta long, a long"), spark.createDataFrame(b, "k int, tb long, b long"), "k", "ta", "tb", 100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted((x, y) for _, s, x in a for _, t, y in b if abs(s - t) <= 100)
